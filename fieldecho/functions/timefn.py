@@ -95,7 +95,7 @@ def sun_times(day: Column, lat: Column, lon: Column) -> Column:
              / (F.cos(rad(lat)) * F.cos(decl)))
     half_day = F.when(F.abs(cos_h) <= 1, deg(F.acos(cos_h)) / 360.0)
     # days since 2000-01-01 12:00 UTC -> microseconds
-    at = lambda d: F.timestamp_micros((F.lit(946_728_000) * SECOND + F.round(d * 86400) * SECOND).cast("bigint"))
+    at = lambda d: F.timestamp_micros((F.lit(946_728_000 * SECOND) + F.round(d * 86400) * SECOND).cast("bigint"))
     return F.struct(at(transit - half_day).alias("sunrise"), at(transit + half_day).alias("sunset"))
 
 

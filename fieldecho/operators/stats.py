@@ -87,9 +87,11 @@ def array_percentiles(df: DataFrame, by: list[str], array: str, probs: dict[str,
     """Element-wise percentiles over the arrays of a key, re-assembled in position order."""
     cells = df.select(*by, F.posexplode(array).alias("__pos", "__x"))
     per_cell = exact_percentiles(cells, [*by, "__pos"], "__x", probs)
-    return per_cell.groupBy(*by).agg(F.max("n").alias("n"), *[
-        F.transform(F.array_sort(F.collect_list(F.struct("__pos", name))), lambda s, name=name: s[name]).alias(name)
-        for name in probs])
+
+    def rebuilt(name: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct("__pos", name))), lambda s: s[name]).alias(name)
+
+    return per_cell.groupBy(*by).agg(F.max("n").alias("n"), *[rebuilt(name) for name in probs])
 
 
 def delta_report(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:

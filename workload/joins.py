@@ -110,7 +110,7 @@ def anti_resume(spark, d):
 
 
 @query("semi_used_flag", """WITH u AS (SELECT DISTINCT o_orderpriority AS g, l_suppkey AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_tax > 0.07)
-SELECT g, s_suppkey AS r, u.r IS NOT NULL AS used FROM (SELECT DISTINCT o_orderpriority AS g FROM orders) , supplier LEFT JOIN u USING (g) WHERE u.r = s_suppkey OR u.r IS NULL""")
+SELECT p.g, s_suppkey AS r, u.r IS NOT NULL AS used FROM (SELECT DISTINCT o_orderpriority AS g FROM orders) p CROSS JOIN supplier LEFT JOIN u ON u.g = p.g AND u.r = s_suppkey""")
 def semi_used_flag(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_tax > 0.07")
     ev = (li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_orderkey", F.col("o_orderpriority").alias("g"))

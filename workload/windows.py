@@ -60,7 +60,7 @@ _CELL = "c AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE
 
 @query("rolling_max", f"""WITH {_CELL}, p AS (SELECT vec_id, k, x FROM c UNION ALL SELECT vec_id, k, 0.0 FROM (SELECT DISTINCT vec_id FROM c), (VALUES (-3),(-2),(-1),(64),(65),(66)) v(k)),
 w AS (SELECT vec_id, k, max(x) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM p)
-SELECT vec_id, k, m FROM w WHERE k BETWEEN 0 AND 63""")
+SELECT vec_id, CAST(k AS INT) AS k, m FROM w WHERE k BETWEEN 0 AND 63""")
 def rolling_max(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", arrays.rolling_max(F.col("embedding"), 3).alias("a"))
     return e.select("vec_id", F.posexplode("a").alias("k", "m"))
@@ -68,7 +68,7 @@ def rolling_max(spark, d):
 
 @query("rolling_argmax", f"""WITH {_CELL}, p AS (SELECT vec_id, k, x FROM c UNION ALL SELECT vec_id, k, 0.0 FROM (SELECT DISTINCT vec_id FROM c), (VALUES (-2),(-1),(64),(65)) v(k)),
 w AS (SELECT vec_id, k, arg_max(k, (x, -k)) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM p)
-SELECT vec_id, k, CAST(m - k AS INT) AS off FROM w WHERE k BETWEEN 0 AND 63""")
+SELECT vec_id, CAST(k AS INT) AS k, CAST(m - k AS INT) AS off FROM w WHERE k BETWEEN 0 AND 63""")
 def rolling_argmax(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", arrays.rolling_argmax(F.col("embedding"), 2).alias("a"))
     return e.select("vec_id", F.posexplode("a").alias("k", "off"))
@@ -76,7 +76,7 @@ def rolling_argmax(spark, d):
 
 @query("moving_average", f"""WITH {_CELL}, p AS (SELECT vec_id, k, x FROM c UNION ALL SELECT vec_id, k, 0.0 FROM (SELECT DISTINCT vec_id FROM c), (VALUES (-2),(-1),(64),(65)) v(k)),
 w AS (SELECT vec_id, k, avg(x) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM p)
-SELECT vec_id, k, round(m, 9) AS m FROM w WHERE k BETWEEN 0 AND 63""")
+SELECT vec_id, CAST(k AS INT) AS k, round(m, 9) AS m FROM w WHERE k BETWEEN 0 AND 63""")
 def moving_average(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", arrays.moving_average(F.col("embedding"), 5).alias("a"))
     return e.select("vec_id", F.posexplode("a").alias("k", "m")).withColumn("m", F.round("m", 9))
