@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda is otherwise recomputed for every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
@@ -21,29 +29,34 @@ def sparse_pairs(probs: Column, threshold: float) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
-    n = F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.when(n < eps, F.transform(v, lambda x: x.cast("double"))).otherwise(
-        F.transform(v, lambda x: x.cast("double") / n))
+    norm = F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
+    return let(F.when(norm < eps, F.lit(1.0)).otherwise(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def peak_scale(v: Column, target: float = 1.0, eps: float = 1e-7) -> Column:
     """Scale so the largest magnitude is ``target``; unchanged below ``eps``."""
-    m = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    return F.transform(v, lambda x: F.when(m < eps, x.cast("double")).otherwise(x.cast("double") * (target / m)))
+    return _scale(v, F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), target, eps)
+
+
+def _scale(v: Column, top: Column, target: float, eps: float) -> Column:
+    gain = F.when(top < eps, F.lit(1.0)).otherwise(F.lit(target) / top)
+    return let(gain, lambda g: F.transform(v, lambda x: x.cast("double") * g))
 
 
 def percentile_abs(v: Column, p: float = 99.0) -> Column:
     """Linear-interpolated percentile of the magnitudes of one array."""
-    s = F.array_sort(F.transform(v, lambda x: F.abs(x.cast("double"))))
     pos = (F.size(v) - 1) * F.lit(p / 100.0)
     lo = F.floor(pos).cast("int")
-    a, b = F.get(s, lo), F.coalesce(F.get(s, lo + 1), F.get(s, lo))
-    return F.coalesce(a + (pos - lo) * (b - a), F.lit(0.0))
+
+    def between(s: Column) -> Column:
+        a, b = F.get(s, lo), F.coalesce(F.get(s, lo + 1), F.get(s, lo))
+        return a + (pos - lo) * (b - a)
+
+    return F.coalesce(let(F.array_sort(F.transform(v, lambda x: F.abs(x.cast("double")))), between), F.lit(0.0))
 
 
 def percentile_scale(v: Column, p: float = 99.0, target: float = 0.99, eps: float = 1e-7) -> Column:
-    m = percentile_abs(v, p)
-    return F.transform(v, lambda x: F.when(m < eps, x.cast("double")).otherwise(x.cast("double") * (target / m)))
+    return let(percentile_abs(v, p), lambda top: _scale(v, top, target, eps))
 
 
 def argmax(a: Column) -> Column:
@@ -55,26 +68,27 @@ def rolling_max(a: Column, w: int) -> Column:
     """Centered maximum over +-w samples; outside the array counts as zero."""
     if w == 0:
         return a
-    pad = F.array_repeat(F.lit(0.0), w)
-    padded = F.concat(pad, F.transform(a, lambda x: x.cast("double")), pad)
-    return F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: F.array_max(F.slice(padded, i, 2 * w + 1)))
+    return let(_padded(a, w, w), lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(a)), lambda i: F.array_max(F.slice(p, i, 2 * w + 1))))
+
+
+def _padded(a: Column, left: int, right: int) -> Column:
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return F.concat(zeros(left), F.transform(a, lambda x: x.cast("double")), zeros(right))
 
 
 def rolling_argmax(a: Column, w: int) -> Column:
     """Offset in [-w, w] of the centered maximum (earliest on ties, outside counts as zero)."""
     if w == 0:
         return F.transform(a, lambda x: F.lit(0))
-    pad = F.array_repeat(F.lit(0.0), w)
-    padded = F.concat(pad, F.transform(a, lambda x: x.cast("double")), pad)
-    return F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: argmax(F.slice(padded, i, 2 * w + 1)) - w)
+    return let(_padded(a, w, w), lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(a)), lambda i: let(F.slice(p, i, 2 * w + 1), argmax) - w))
 
 
 def moving_average(a: Column, w: int) -> Column:
     """Centered mean of ``w`` samples, zero beyond the ends, same length as the input."""
-    left = F.array_repeat(F.lit(0.0), w // 2)
-    right = F.array_repeat(F.lit(0.0), (w - 1) // 2)
-    padded = F.concat(left, F.transform(a, lambda x: x.cast("double")), right)
-    return F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: total(F.slice(padded, i, w)) / w)
+    return let(_padded(a, w // 2, (w - 1) // 2), lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(a)), lambda i: total(F.slice(p, i, w)) / w))
 
 
 def runs_of_ones(a: Column) -> Column:
@@ -89,12 +103,12 @@ def runs_of_ones(a: Column) -> Column:
 def half_energy_index(a: Column) -> Column:
     """First index whose running energy reaches half of the total; 0 for silence."""
     energy = F.transform(a, lambda x: x.cast("double") * x.cast("double"))
-    half = total(energy) / 2
     start = F.struct(F.lit(0.0).alias("run"), F.lit(-1).alias("hit"), F.lit(0).alias("i"))
-    return F.when(half > 0, F.aggregate(energy, start, lambda s, v: F.struct(
+    first = let(total(energy) / 2, lambda half: F.aggregate(energy, start, lambda s, v: F.struct(
         (s["run"] + v).alias("run"),
         F.when((s["hit"] < 0) & (s["run"] + v >= half), s["i"]).otherwise(s["hit"]).alias("hit"),
-        (s["i"] + 1).alias("i")), lambda s: s["hit"])).otherwise(F.lit(0))
+        (s["i"] + 1).alias("i")), lambda s: s["hit"]))
+    return F.greatest(first, F.lit(0))
 
 
 def local_pairs(recorders: Column, pairs: Column) -> Column:
@@ -108,5 +122,5 @@ def signed_pair_error(recorders: Column, pairs: Column, errors: Column) -> Colum
     """Per-recorder sum of pair errors: +e for the first, -e for the second."""
     zipped = F.zip_with(pairs, errors, lambda p, e: F.struct(p["i"].alias("i"), p["j"].alias("j"), e.alias("e")))
     idx = F.sequence(F.lit(0), F.size(recorders) - 1)
-    return F.transform(idx, lambda k: F.aggregate(zipped, F.lit(0.0), lambda s, z: s + F.when(
-        z["i"] == k, z["e"]).when(z["j"] == k, -z["e"]).otherwise(F.lit(0.0))))
+    return let(zipped, lambda zs: F.transform(idx, lambda k: F.aggregate(zs, F.lit(0.0), lambda s, z: s + F.when(
+        z["i"] == k, z["e"]).when(z["j"] == k, -z["e"]).otherwise(F.lit(0.0)))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Recorder file-name patterns, tried in this order, first match wins.
 # Columns: name, pattern, start format, recorder type, gps sync.
 FILENAME_PATTERNS = (
@@ -77,37 +79,40 @@ def parse_filename(path: Column) -> Column:
     def ts(key: str, text: Column) -> Column:
         return F.try_to_timestamp(text, F.lit(pats[key][2]))
 
-    hit = F.when(F.lit(False), F.lit(""))
+    matched = F.when(F.lit(False), F.lit(""))
     for key, pattern, *_ in FILENAME_PATTERNS:
-        hit = hit.when(name.rlike(pattern), F.lit(key))
-
-    def choose(values: dict[str, Column], default=None) -> Column:
-        out = F.when(F.lit(False), next(iter(values.values())))
-        for key, value in values.items():
-            out = out.when(hit == key, value)
-        return out if default is None else out.otherwise(F.lit(default))
-
-    solar = recorder_from_path(folder)
-    return F.struct(
-        path.alias("filepath"), folder.alias("dirpath"), name.alias("filename"),
-        F.when(hit.isNull(), F.lit("")).otherwise(choose({
-            "span_gps": solar, "span_gps_segment": solar, "rec_gps": solar, "rec": solar,
-            "segment": grp("segment", 1), "synced_dollar": grp("synced_dollar", 1),
-            "synced": grp("synced", 1)})).alias("recorder"),
-        choose({p[0]: F.lit(p[3]) for p in FILENAME_PATTERNS}, "").alias("recorder_type"),
-        choose({"segment": grp("segment", 2)}).alias("channel"),
-        choose({p[0]: F.lit(p[4]) for p in FILENAME_PATTERNS}, False).alias("gps_sync"),
-        choose({
-            **{k: ts(k, grp(k, 1)) for k in ("span_gps", "span_gps_segment", "rec_gps", "rec")},
-            "segment": fixed_offset_time(grp("segment", 3)),
-            "synced_dollar": fixed_offset_time(F.concat_ws("_", grp("synced_dollar", 2), grp("synced_dollar", 3))),
-            "synced": fixed_offset_time(grp("synced", 2))}).alias("start_datetime"),
-        choose({k: ts(k, grp(k, 2)) for k in ("span_gps", "span_gps_segment")}).alias("end_datetime"),
-        choose({"span_gps": grp("span_gps", 3), "span_gps_segment": grp("span_gps_segment", 3),
-                "rec_gps": grp("rec_gps", 2)}).try_cast("double").alias("latitude"),
-        choose({"span_gps": grp("span_gps", 4), "span_gps_segment": grp("span_gps_segment", 4),
-                "rec_gps": grp("rec_gps", 3)}).try_cast("double").alias("longitude"),
-    )
+        matched = matched.when(name.rlike(pattern), F.lit(key))
+
+    def fields(hit: Column) -> Column:
+        def choose(values: dict[str, Column], default=None) -> Column:
+            out = F.when(F.lit(False), next(iter(values.values())))
+            for key, value in values.items():
+                out = out.when(hit == key, value)
+            return out if default is None else out.otherwise(F.lit(default))
+
+        solar = recorder_from_path(folder)
+        return F.struct(
+            path.alias("filepath"), folder.alias("dirpath"), name.alias("filename"),
+            F.when(hit.isNull(), F.lit("")).otherwise(choose({
+                "span_gps": solar, "span_gps_segment": solar, "rec_gps": solar, "rec": solar,
+                "segment": grp("segment", 1), "synced_dollar": grp("synced_dollar", 1),
+                "synced": grp("synced", 1)})).alias("recorder"),
+            choose({p[0]: F.lit(p[3]) for p in FILENAME_PATTERNS}, "").alias("recorder_type"),
+            choose({"segment": grp("segment", 2)}).alias("channel"),
+            choose({p[0]: F.lit(p[4]) for p in FILENAME_PATTERNS}, False).alias("gps_sync"),
+            choose({
+                **{k: ts(k, grp(k, 1)) for k in ("span_gps", "span_gps_segment", "rec_gps", "rec")},
+                "segment": fixed_offset_time(grp("segment", 3)),
+                "synced_dollar": fixed_offset_time(F.concat_ws("_", grp("synced_dollar", 2), grp("synced_dollar", 3))),
+                "synced": fixed_offset_time(grp("synced", 2))}).alias("start_datetime"),
+            choose({k: ts(k, grp(k, 2)) for k in ("span_gps", "span_gps_segment")}).alias("end_datetime"),
+            choose({"span_gps": grp("span_gps", 3), "span_gps_segment": grp("span_gps_segment", 3),
+                    "rec_gps": grp("rec_gps", 2)}).try_cast("double").alias("latitude"),
+            choose({"span_gps": grp("span_gps", 4), "span_gps_segment": grp("span_gps_segment", 4),
+                    "rec_gps": grp("rec_gps", 3)}).try_cast("double").alias("longitude"))
+
+    # the pattern tests run once per name, not once per field
+    return let(matched, fields)
 
 
 def birdcode(common_name: Column) -> Column:

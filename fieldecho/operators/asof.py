@@ -18,7 +18,7 @@ from .running import with_neighbours
 
 def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str] = (),
               direction: str = "backward", tolerance: int | None = None, width: int = HOUR,
-              right_width: int = 30 * DAY, span: tuple[int, int] | None = None) -> DataFrame:
+              right_width: int = 30 * DAY, span: tuple | None = None) -> DataFrame:
     """Left as-of join on BIGINT microseconds; readings must be unique per (by, time).
 
     ``nearest`` gives a tie to the earlier reading. Readings farther than

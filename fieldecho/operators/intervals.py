@@ -38,7 +38,7 @@ STRICT = BoundPolicy(lower_inclusive=False)                          # begin < t
 
 def stab_join(points: DataFrame, intervals: DataFrame, by: list[str], point: str,
               lo: str = "lo", hi: str = "hi", width: int = HOUR, how: str = "left",
-              open_ended: bool = True, span: tuple[int, int] | None = None) -> DataFrame:
+              open_ended: bool = True, span: tuple | None = None) -> DataFrame:
     """Join each point to every interval of its key that holds it.
 
     Intervals are exploded to the buckets they touch; a point lies in one bucket, so
@@ -51,7 +51,8 @@ def stab_join(points: DataFrame, intervals: DataFrame, by: list[str], point: str
     a, z = F.col(lo), F.col(hi)
     if open_ended:
         if span:
-            first, last = F.lit(span[0]), F.lit(span[1] + 1)
+            first, last = (s if isinstance(s, Column) else F.lit(s) for s in span)
+            last = last + 1
         else:
             ends = points.agg(F.struct(F.min(point).alias("a"), (F.max(point) + 1).alias("z")).alias("s")).scalar()
             first, last = ends["a"], ends["z"]
@@ -132,8 +133,9 @@ def resolve_intervals(df: DataFrame, by: list[str], picks: list[Column], lo: str
         edges = edges.unionByName(iv.select(*by, low.alias("at")))
     segs = with_neighbours(edges.distinct(), by, "at", width, next="seg_hi")
     inner = iv.select(*by, "__lo", "__hi", *[c for c in df.columns if c not in (*by, lo, hi)])
+    ends = df.agg(F.struct(F.min(F.least(lo, hi)).alias("a"), F.max(F.greatest(lo, hi)).alias("z")).alias("s")).scalar()
     covered = stab_join(segs.where(F.col("at") != low).select(*by, "at"), inner, by, "at",
-                        "__lo", "__hi", width, "inner")
+                        "__lo", "__hi", width, "inner", span=(ends["a"], ends["z"]))
     # intervals open below also cover the segment that starts at minus infinity
     since_ever = inner.where("__lo IS NULL").withColumn("at", low)
     agg = (covered.unionByName(since_ever).groupBy(*by, "at")

@@ -14,7 +14,7 @@ from ..operators.ranking import seeded_sample
 from ..operators.relate import used_flag
 from ..operators.stats import exact_percentiles, histogram
 from ..signal import solve
-from .localize import _stack, locate_sources
+from .localize import _stack, locate_sources, spread
 
 
 def recorder_usage(catalog: DataFrame, results: DataFrame, group: str = "recorder_group") -> DataFrame:
@@ -144,7 +144,7 @@ def perturb(df: DataFrame, distances: list[float], seed: int = 0, coords: str =
 
     dirs = F.transform(F.sequence(F.lit(0), F.size(coords) - 1), lambda i: F.array(*[normal(i, k) for k in range(3)]))
     scale = lambda v: d / F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    return (df.withColumn("perturb", F.explode(F.array(*[F.lit(float(x)) for x in distances])))
+    return (spread(df, key).withColumn("perturb", F.explode(F.array(*[F.lit(float(x)) for x in distances])))
             .withColumn("__dirs", dirs).withColumn("__scale", F.transform(moved, scale))
             .withColumn("__dirs", F.zip_with(moved, "__scale", lambda v, s: F.transform(v, lambda g: g * s)))
             .withColumn(coords, F.zip_with(F.col(coords), moved, lambda r, v: F.zip_with(r, v, lambda c, g: c + g)))
@@ -160,7 +160,7 @@ def perturbation_control(events: DataFrame, distances: list[float] = (0.0, 5.0,
     df = events if n is None else seeded_sample(events, ["call_id"], n, seed)
     df = perturb(df.withColumnRenamed("x_est", "x_ref").withColumnRenamed("mean_error", "__stored")
                  .withColumnRenamed("c_est", "__c"), list(distances), seed)
-    out = locate_sources(df, pairs="pairs", speed="__c", spread_by="call_id")
+    out = locate_sources(df, pairs="pairs", speed="__c")
     moved = lambda k: geo.distance(F.slice("x_est", 1, k), F.slice("x_ref", 1, k))
     return out.select("call_id", "perturb", (F.col("mean_error") * 1000).alias("resid_ms"), moved(3).alias("moved_m"),
                       moved(2).alias("moved_h"), (F.col("__stored") * 1000).alias("stored_ms"))

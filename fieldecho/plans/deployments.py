@@ -11,7 +11,8 @@ from ..operators.intervals import (CLOSED, END_OF_DAY, BoundPolicy, resolve_inte
 from ..operators.ranking import keep_first, keep_last
 from ..operators.stats import exact_percentiles
 
-WIDTH = 30 * DAY
+# deployments last for months: wide buckets keep the explosion of open-ended ones small
+WIDTH = 365 * DAY
 
 
 def _intervals(dep: DataFrame, policy: BoundPolicy, order: str) -> DataFrame:

@@ -144,7 +144,8 @@ def correlate_events(clips: DataFrame, cfg: LocalizeConfig = LocalizeConfig()) -
         if name not in clips.columns:
             clips = clips.withColumn(name, F.lit(None).cast("array<double>"))
     cols = ["call_id", "recorder", "x", "y", "z", "samples", "freqs", "profile"]
-    return clips.where("samples IS NOT NULL").select(*cols).groupBy("call_id").applyInPandas(_event_pairs(cfg), EVENT_SCHEMA)
+    ready = spread(clips.where("samples IS NOT NULL").select(*cols), "call_id")
+    return ready.groupBy("call_id").applyInPandas(_event_pairs(cfg), EVENT_SCHEMA)
 
 
 def pair_rows(correlated: DataFrame) -> DataFrame:
@@ -173,7 +174,20 @@ def select_pairs(correlated: DataFrame, qualcut: float = 0.1, max_pairs: int = 1
 _CHOICE = ("array<struct<candidate_label:string,geometry_score:double,peak_indexes:array<int>,tdoas:array<double>>>")
 
 
-def choose_peaks(events: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), min_pairs: int = 0) -> DataFrame:
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Hash-partition small rows ahead of a costly per-row step; None leaves the plan alone.
+
+    The partition count is fixed because adaptive execution would merge small rows into one task.
+    """
+    if key is None:
+        return df
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
+
+
+def choose_peaks(events: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), min_pairs: int = 0,
+                 spread_by: str | None = None) -> DataFrame:
     """Add ``choices`` (labelled peak choices) or ``error_type``/``error_msg`` per event."""
     schema = f"choices {_CHOICE}, error_type string, error_msg string"
     need = max(1, min_pairs)
@@ -197,7 +211,7 @@ def choose_peaks(events: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), min_
                 rows.append((None, type(e).__name__, str(e)))
         return pd.DataFrame(rows, columns=["choices", "error_type", "error_msg"])
 
-    return events.withColumn("__c", pick("pairs_used", "peak_tdoas")).select("*", "__c.*").drop("__c")
+    return spread(events, spread_by).withColumn("__c", pick("pairs_used", "peak_tdoas")).select("*", "__c.*").drop("__c")
 
 
 SOLUTION = "struct<x_est:array<double>,c_est:double,cost:double,optimality:double>"
@@ -246,9 +260,7 @@ def locate_sources(df: DataFrame, coords: str = "coords", pairs: str = "pairs_us
     ``spread_by`` hash-partitions the small rows first, for inputs of few splits: the
     solve costs far more than moving them. Rows with nulls stay unsolved.
     """
-    if spread_by:  # a fixed number of partitions: adaptive execution would merge these small rows into one task
-        parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        df = df.repartition(parts, spread_by)
+    df = spread(df, spread_by)
     c, p = F.col(coords), F.col(pairs)
     nth = lambda k: F.transform(c, lambda r: r[k])
     axis = lambda fn: F.array(*[fn(nth(k)) for k in range(3)])

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..signal import spectra
+from .localize import spread
 
 
 def temporal_support(clips: DataFrame, rate: int, smooth_ms: float = 10.0, points: int = 400) -> DataFrame:
@@ -21,7 +22,7 @@ def temporal_support(clips: DataFrame, rate: int, smooth_ms: float = 10.0, point
                 rows.append((pdf["call_id"][0], pdf["recorder"][i], pdf["recorder"][j], np.linspace(0, m - 1, points) / rate,
                              spectra.support(env[i], env[j], rate, smooth_ms, points)))
         return pd.DataFrame(rows, columns=["call_id", "ri", "rj", "t", "support"])
-    return clips.select("call_id", "recorder", "samples").groupBy("call_id").applyInPandas(
+    return spread(clips.select("call_id", "recorder", "samples"), "call_id").groupBy("call_id").applyInPandas(
         run, "call_id string, ri string, rj string, t array<double>, support array<double>")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldecho.functions import geo
+from fieldecho.functions.arrays import let
 from fieldecho.plans import analysis, localize, refine, support
 from fieldecho.plans.localize import LocalizeConfig
 from fieldecho.plans.profiles import profile_table
@@ -109,7 +110,7 @@ def choose_peaks(spark, d):
     ev = table(spark, d, "orders").select(
         "o_orderkey", F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _P4]).alias("pairs_used"),
         F.array(*[F.array(peak(n, 0), peak(n, 1)) for n in range(6)]).alias("peak_tdoas"))
-    out = localize.choose_peaks(ev, LocalizeConfig(n_best=3, include_toppeak=False))
+    out = localize.choose_peaks(ev, LocalizeConfig(n_best=3, include_toppeak=False), spread_by="o_orderkey")
     return out.select("o_orderkey", F.inline("choices")).select("o_orderkey", "candidate_label", F.round("geometry_score", 6).alias("geometry_score"))
 
 
@@ -165,7 +166,7 @@ def intensity_falloff(spark, d):
     clips = sounding_clips(spark, d)
     dist = geo.distance(F.array("x", "y", "z"), F.col("src"))
     # the window starts at the first arrival of the earliest recorder
-    quiet = clips.withColumn("samples", F.transform("samples", lambda v: v / dist)).withColumn("x_est", F.col("src")).withColumn("c_est", F.lit(343.0))
+    quiet = clips.withColumn("samples", let(dist, lambda m: F.transform("samples", lambda v: v / m))).withColumn("x_est", F.col("src")).withColumn("c_est", F.lit(343.0))
     first = quiet.withColumn("candidate_index", F.lit(0))
     amps = localize.peak_amplitudes(first, 2000, lead_seconds=0.175, window=0.25)
     return localize.falloff_score(amps, ["call_id"]).withColumn("score", F.round("score", 5))
