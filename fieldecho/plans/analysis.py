@@ -14,7 +14,7 @@ from ..operators.ranking import seeded_sample
 from ..operators.relate import used_flag
 from ..operators.stats import exact_percentiles, histogram
 from ..signal import solve
-from .localize import _stack, locate_sources, spread
+from .localize import _stack, locate_sources, once, spread
 
 
 def recorder_usage(catalog: DataFrame, results: DataFrame, group: str = "recorder_group") -> DataFrame:
@@ -101,7 +101,7 @@ def _svd_udf():
             yield pd.DataFrame({"cond": np.where(few, np.inf, cond), "s_min": np.where(few, 0.0, lo),
                                 "s_max": pd.Series(hi, dtype="Float64").mask(few), "worst_axis": np.where(few, -1, axis),
                                 "worst_z": pd.Series(z, dtype="Float64").mask(few)})
-    return run
+    return once(run)
 
 
 def identifiability(df: DataFrame, coords: str = "coords", pairs: str = "pairs", x: str = "x_est") -> DataFrame:

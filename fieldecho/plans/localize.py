@@ -171,7 +171,14 @@ def select_pairs(correlated: DataFrame, qualcut: float = 0.1, max_pairs: int = 1
             .withColumn("quals", F.transform("pairs", lambda p: p["qual"])).drop("__u", "pairs"))
 
 
-_CHOICE = ("array<struct<candidate_label:string,geometry_score:double,peak_indexes:array<int>,tdoas:array<double>>>")
+def once(udf):
+    """Keep a costly UDF from being evaluated twice.
+
+    The optimizer copies a deterministic UDF into filters it infers (for example from an
+    explode of its output) and pushes them below the shuffle; marking it otherwise
+    stops the copy.
+    """
+    return udf.asNondeterministic()
 
 
 def spread(df: DataFrame, key: str | None) -> DataFrame:
@@ -189,32 +196,35 @@ def spread(df: DataFrame, key: str | None) -> DataFrame:
 def choose_peaks(events: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), min_pairs: int = 0,
                  spread_by: str | None = None) -> DataFrame:
     """Add ``choices`` (labelled peak choices) or ``error_type``/``error_msg`` per event."""
-    schema = f"choices {_CHOICE}, error_type string, error_msg string"
     need = max(1, min_pairs)
 
-    @F.pandas_udf(schema)
-    def pick(pairs: pd.Series, tdoas: pd.Series) -> pd.DataFrame:
+    # flat arrays cross the Arrow boundary cheaply; nested structs are rebuilt in the JVM
+    @F.pandas_udf("labels array<string>, scores array<double>, ids array<int>, error_type string, error_msg string")
+    def pick(left: pd.Series, right: pd.Series, flat: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         rows = []
-        for pr, pk in zip(pairs, tdoas):
+        for i, j, values, size in zip(left, right, flat, sizes):
             try:
-                if pr is None or len(pr) < need:
+                if i is None or len(i) < need:
                     raise ValueError(f"fewer than {need} usable pairs")
-                ij = [(int(p["i"]), int(p["j"])) for p in pr]
-                peaks = [np.asarray(p, float) for p in pk]
-                got = combos.choose(peaks, ij, cfg.n_best, cfg.include_toppeak, cfg.include_disjoint, cfg.prefer_zeros,
-                                    cfg.top_only, cfg.max_outlier_pairs, cfg.shallow_cap,
+                peaks = np.split(np.asarray(values, float), np.cumsum(size)[:-1])
+                got = combos.choose(peaks, list(zip(i.tolist(), j.tolist())), cfg.n_best, cfg.include_toppeak, cfg.include_disjoint,
+                                    cfg.prefer_zeros, cfg.top_only, cfg.max_outlier_pairs, cfg.shallow_cap,
                                     time.monotonic() + cfg.time_limit_s)
-                rows.append(([{"candidate_label": lb, "geometry_score": s, "peak_indexes": list(ids),
-                               "tdoas": [float(p[k]) if len(p) else 0.0 for p, k in zip(peaks, ids)]}
-                              for lb, s, ids in got], None, None))
+                rows.append(([g[0] for g in got], [g[1] for g in got], [k for g in got for k in g[2]], None, None))
             except Exception as e:  # one bad event becomes an error row, never a failed job
-                rows.append((None, type(e).__name__, str(e)))
-        return pd.DataFrame(rows, columns=["choices", "error_type", "error_msg"])
-
-    return spread(events, spread_by).withColumn("__c", pick("pairs_used", "peak_tdoas")).select("*", "__c.*").drop("__c")
-
+                rows.append((None, None, None, type(e).__name__, str(e)))
+        return pd.DataFrame(rows, columns=["labels", "scores", "ids", "error_type", "error_msg"])
 
-SOLUTION = "struct<x_est:array<double>,c_est:double,cost:double,optimality:double>"
+    side = lambda k: F.transform("pairs_used", lambda p: p[k].cast("int"))
+    out = spread(events, spread_by).withColumn("__c", once(pick)(side("i"), side("j"), F.flatten("peak_tdoas"), F.transform("peak_tdoas", F.size)))
+    n = F.size("peak_tdoas")
+    ids = lambda k: F.slice("__c.ids", k * n + 1, n)
+    delays = lambda k: F.zip_with("peak_tdoas", ids(k), lambda t, i: F.coalesce(F.get(t, i), F.lit(0.0)))
+    choices = F.transform(F.sequence(F.lit(0), F.size("__c.labels") - 1), lambda k: F.struct(
+        F.get("__c.labels", k).alias("candidate_label"), F.get("__c.scores", k).alias("geometry_score"),
+        ids(k).alias("peak_indexes"), delays(k).alias("tdoas")))
+    return (out.withColumn("choices", F.when(F.col("__c.error_type").isNull(), choices))
+            .withColumn("error_type", F.col("__c.error_type")).withColumn("error_msg", F.col("__c.error_msg")).drop("__c"))
 
 
 def _stack(col: pd.Series, width: int) -> np.ndarray:
@@ -243,7 +253,7 @@ def solve_udf(fit_speed: bool = False, speed_margin: float = 2.0, multistart: bo
                                            speed.to_numpy(float), fit_speed, speed_margin, multistart)
             got = pd.DataFrame({"x_est": list(x), "c_est": c, "cost": cost, "optimality": opt}, index=a.index)
             yield got if known.all() else got.reindex(cols[0].index).astype(object).where(known, None)
-    return run
+    return once(run)
 
 
 def _flat(coords: Column, pairs: Column, side: str) -> Column:

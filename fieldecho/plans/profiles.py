@@ -14,6 +14,7 @@ from ..operators.ranking import top_n
 from ..operators.relate import merge_fill
 from ..operators.stats import array_percentiles
 from ..signal import spectra
+from .localize import once
 
 
 def clip_profile_udf(rate: int, nperseg: int = 1024, noverlap: int = 512, low: float = 500.0, high: float = 15000.0):
@@ -24,7 +25,7 @@ def clip_profile_udf(rate: int, nperseg: int = 1024, noverlap: int = 512, low: f
             rows = [spectra.clip_profile(y, rate, nperseg, noverlap, low, high) if y is not None and len(y) > 1 and any(y) else (None, None)
                     for y in clips]
             yield pd.DataFrame(rows, columns=["freqs", "profile"])
-    return run
+    return once(run)
 
 
 def profile_table(clips: DataFrame, rate: int, **options) -> DataFrame:
