@@ -240,9 +240,8 @@ def solve_udf(fit_speed: bool = False, speed_margin: float = 2.0, multistart: bo
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
             known = np.logical_and.reduce([c.notna() for c in cols])
-            out = pd.DataFrame(None, index=cols[0].index, columns=["x_est", "c_est", "cost", "optimality"], dtype=object)
             if not known.any():
-                yield out
+                yield pd.DataFrame(None, index=cols[0].index, columns=["x_est", "c_est", "cost", "optimality"], dtype=object)
                 continue
             a, b, dt, lo, hi, mid, speed = (c[known] for c in cols)
             width = max(1, int(dt.map(len).max()))
@@ -252,7 +251,7 @@ def solve_udf(fit_speed: bool = False, speed_margin: float = 2.0, multistart: bo
             x, c, cost, opt = solve.locate(flat(a), flat(b), _stack(dt, width), mask, rows(lo), rows(hi), rows(mid),
                                            speed.to_numpy(float), fit_speed, speed_margin, multistart)
             got = pd.DataFrame({"x_est": list(x), "c_est": c, "cost": cost, "optimality": opt}, index=a.index)
-            yield got if known.all() else got.reindex(cols[0].index).astype(object).where(known, None)
+            yield got.reindex(cols[0].index)  # missing rows become nulls
     return once(run)
 
 

@@ -1,6 +1,6 @@
 """Audio archives: listing, headers, and sample ranges read where they lie.
 
-Listing never reads file contents (the ``content`` column is pruned). Headers and
+Listing never opens a file. Headers and
 clips are read by path with a seek, so a 300 MB hour-long recording costs a few
 kilobytes for its header and under a megabyte per clip. Paths must be readable from
 the executors (a shared or mounted file system).
@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..schemas import WAV_HEADER
@@ -23,11 +24,38 @@ from ..schemas import WAV_HEADER
 MARKER = "donotindex.txt"
 
 
-def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Every file below the roots: file (plain path), dir, name, length, modified."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-             .select(F.regexp_replace("path", r"^file:(//)?", "").alias("file"), "length", F.col("modificationTime").alias("modified")))
-    return files.withColumn("dir", text.dirname(F.col("file"))).withColumn("name", text.basename(F.col("file")))
+def list_files(spark: SparkSession, roots: list[str], depth: int = 2) -> DataFrame:
+    """Every file below the roots: file, dir, name, length, modified.
+
+    The upper ``depth`` folder levels are read here; what lies below is walked by the
+    executors, one task per batch of folders. Spark's own file sources skip empty
+    files, and the marker that hides a folder is usually empty.
+    """
+    frontier, shallow = list(roots), []
+    for _ in range(depth):
+        shallow += frontier
+        frontier = [e.path for d in frontier for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+    work = [(d, False) for d in shallow] + [(d, True) for d in frontier]
+    dirs = spark.createDataFrame(work, "path string, deep boolean").repartition(
+        max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism)), "path")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file", "dir", "name", "length", "modified"]
+        for pdf in batches:
+            rows = []
+            for path, deep in zip(pdf["path"], pdf["deep"]):
+                for folder, _, files in os.walk(path):
+                    for f in files:
+                        full = os.path.join(folder, f)
+                        st = os.stat(full)
+                        rows.append((full, folder, f, st.st_size, pd.Timestamp(st.st_mtime_ns // 1000, unit="us")))
+                    if len(rows) > 10_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                    if not deep:
+                        break
+            yield pd.DataFrame(rows, columns=names)
+    return dirs.mapInPandas(walk, "file string, dir string, name string, length bigint, modified timestamp")
 
 
 def pruned(files: DataFrame, marker: str = MARKER, ignore_case: bool = False) -> DataFrame:
@@ -108,7 +136,7 @@ def read_clips(requests: DataFrame, rate: int, keep: list[str]) -> DataFrame:
     """
     spread = (requests.withColumn("__part", F.floor(F.col("first_sample") / 2_000_000))
               .repartition("file", "__part").sortWithinPartitions("file", "first_sample"))
-    schema = spread.select(*keep).schema.add("samples", "array<float>")
+    schema = spread.select(*keep).schema.add("samples", T.ArrayType(T.FloatType()))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

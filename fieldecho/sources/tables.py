@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import geo, text
+from .audio import list_files
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -31,11 +32,14 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
 def window_sidecars(spark: SparkSession, roots: list[str], folder: str = "_bn_grid_wprobs") -> DataFrame:
     """Classifier output below the roots, only ``emb_*.parquet`` inside its own folder.
 
-    ``probs`` may be stored as structs or as [class, probability] lists; both read as structs.
+    Spark hides folders whose name starts with an underscore from recursive reads, so
+    the folders are found by listing and named one by one. ``probs`` may be stored as structs or as [class, probability] lists; both read as structs.
     """
-    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "emb_*.parquet")
-           .option("ignoreCorruptFiles", True).parquet(*roots)
-           .where(F.col("_metadata.file_path").rlike(f"/{folder}/[^/]*$")))
+    files = list_files(spark, roots).where((text.basename(F.col("dir")) == folder) & F.col("name").rlike(r"^emb_.*\.parquet$"))
+    dirs = [r["dir"] for r in files.select("dir").distinct().toLocalIterator()]  # path list of the scan, as any file index holds
+    if not dirs:
+        raise RuntimeError(f"no {folder}/emb_*.parquet below {roots}")
+    raw = spark.read.option("pathGlobFilter", "emb_*.parquet").option("ignoreCorruptFiles", True).parquet(*dirs)
     return raw.withColumn("probs", as_pairs(raw))
 
 
