@@ -251,7 +251,9 @@ def solve_udf(fit_speed: bool = False, speed_margin: float = 2.0, multistart: bo
             x, c, cost, opt = solve.locate(flat(a), flat(b), _stack(dt, width), mask, rows(lo), rows(hi), rows(mid),
                                            speed.to_numpy(float), fit_speed, speed_margin, multistart)
             got = pd.DataFrame({"x_est": list(x), "c_est": c, "cost": cost, "optimality": opt}, index=a.index)
-            yield got.reindex(cols[0].index)  # missing rows become nulls
+            full = got.reindex(cols[0].index)
+            full["x_est"] = [v if k else None for v, k in zip(full["x_est"], known)]
+            yield full
     return once(run)
 
 
