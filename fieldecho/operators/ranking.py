@@ -36,5 +36,5 @@ def custom_order(df: DataFrame, column: str, order: list[str], *then: str) -> Da
     return df.orderBy(F.when(pos == 0, F.lit(len(order) + 1)).otherwise(pos), *then)
 
 
-def deepest_first(df: DataFrame, path: str) -> DataFrame:
-    return df.orderBy(F.size(F.split(path, "/")).desc(), path)
+def deepest_first(df: DataFrame, path: str, *then: str) -> DataFrame:
+    return df.orderBy(F.size(F.split(path, "/")).desc(), path, *then)

@@ -139,6 +139,7 @@ def deepest_first_rank(spark, d):
     from pyspark.sql import Window
     from fieldecho.operators.ranking import deepest_first
     p = table(spark, d, "pages").select("page_id", "url")
-    top = deepest_first(p, "url").limit(100_000_000)
+    # a top-k report: the rank runs over the two hundred rows kept
+    top = deepest_first(p, "url", "page_id").limit(200)
     w = Window.orderBy(F.size(F.split("url", "/")).desc(), "url", "page_id")
-    return top.select("page_id", F.row_number().over(w).alias("pos")).where("pos <= 200")
+    return top.select("page_id", F.row_number().over(w).alias("pos"))
