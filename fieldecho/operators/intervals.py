@@ -51,13 +51,12 @@ def stab_join(points: DataFrame, intervals: DataFrame, by: list[str], point: str
     a, z = F.col(lo), F.col(hi)
     if open_ended:
         if span:
-            first, last = (s if isinstance(s, Column) else F.lit(s) for s in span)
-            last = last + 1
+            known = F.struct(*[(s if isinstance(s, Column) else F.lit(s)).alias(n) for s, n in zip(span, "az")])
         else:
-            ends = points.agg(F.struct(F.min(point).alias("a"), (F.max(point) + 1).alias("z")).alias("s")).scalar()
-            first, last = ends["a"], ends["z"]
-        iv = (iv.withColumn("__a", F.greatest(F.coalesce(a, first), first))
-              .withColumn("__z", F.least(F.coalesce(z, last), last)))
+            known = points.agg(F.struct(F.min(point).alias("a"), F.max(point).alias("z"))).scalar()
+        first, last = F.col("__span.a"), F.col("__span.z") + 1
+        iv = (iv.withColumn("__span", known).withColumn("__a", F.greatest(F.coalesce(a, first), first))
+              .withColumn("__z", F.least(F.coalesce(z, last), last)).drop("__span"))
     else:
         iv = iv.withColumn("__a", a).withColumn("__z", z)
     bucket = lambda c: F.expr(f"({c} - pmod({c}, {width}L)) div {width}L")
