@@ -183,3 +183,27 @@ def card_totals(spark, d):
     f = table(spark, d, "documents").select(F.concat(F.lit("c"), F.col("doc_id") % 7).alias("card"), F.col("n_chars").alias("length"),
                                             F.concat(F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, ".WAV").otherwise(".txt")).alias("file"))
     return totals(f)
+
+
+_BIN = lambda v, lo, w, n: f"least(floor(({v} - ({lo})) / ({w})), {n - 1})::INT"
+
+
+@query("consistency_histograms", f"""WITH r AS (SELECT l_orderkey AS k, max(l_tax) FILTER (WHERE l_linenumber = 1) AS a, max(l_discount) FILTER (WHERE l_linenumber = 2) AS b, max(l_tax) AS m FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey AS k, max(l_discount) / 10 AS x FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
+v AS (SELECT 'mean_error' AS panel, {_BIN('m', 0, '0.1::DOUBLE / 99', 99)} AS bin FROM r WHERE m BETWEEN 0 AND 0.1
+  UNION ALL SELECT 'rank_vs_top', {_BIN('(a - b)', '-0.1::DOUBLE', '0.2::DOUBLE / 99', 99)} FROM r WHERE a IS NOT NULL AND b IS NOT NULL AND least(a, b) < 0.005 AND a - b BETWEEN -0.1 AND 0.1
+  UNION ALL SELECT 'rerun', {_BIN('(x - m / 10)', '-0.01::DOUBLE', '0.02::DOUBLE / 24', 24)} FROM s JOIN r USING (k) WHERE x - m / 10 BETWEEN -0.01 AND 0.01)
+SELECT panel, bin, count(*) AS n FROM v GROUP BY 1, 2""")
+def consistency_histograms(spark, d):
+    """Three histograms in one tidy table: errors, best choice against top peaks, strict re-run against the first."""
+    li = table(spark, d, "lineitem")
+    r = li.groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linenumber") == 1, F.col("l_tax"))).alias("a"),
+                                     F.max(F.when(F.col("l_linenumber") == 2, F.col("l_discount"))).alias("b"), F.max("l_tax").alias("m"))
+    cand = F.filter(F.array(F.struct(F.lit("rank_0").alias("candidate_label"), F.col("a").alias("mean_error")),
+                            F.struct(F.lit("toppeak_per_pair").alias("candidate_label"), F.col("b").alias("mean_error"))), lambda c: c["mean_error"].isNotNull())
+    res = r.select(F.col("l_orderkey").alias("call_id"), F.col("m").alias("mean_error"), cand.alias("candidates"))
+    rerun = li.where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("call_id")).agg((F.max("l_discount") / 10).alias("mean_error"))
+    tenth = res.withColumn("mean_error", F.col("mean_error") / 10)
+    first = analysis.consistency_histograms(res).select("panel", "bin", "n")
+    last = analysis.consistency_histograms(tenth, rerun).where("panel = 'rerun'").select("panel", "bin", "n")
+    return first.unionByName(last)

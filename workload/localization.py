@@ -247,3 +247,18 @@ def frequency_profiles(spark, d):
     clips = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("birdcode"), F.col("embedding").alias("samples"))
     t = profile_table(clips, 8000, nperseg=32, noverlap=16, low=100.0, high=3900.0)
     return t.select("birdcode", "n_clips", F.posexplode("specmax").alias("bin", "specmax"))
+
+
+@query("weighted_correlation", "SELECT vec_id // 4 AS call_id, a::INT AS i, b::INT AS j, 0.0::DOUBLE AS tdoa FROM embeddings, range(4) x(a), range(4) y(b) WHERE vec_id % 4 = 0 AND a < b")
+def weighted_correlation(spark, d):
+    """A flat profile, with and without whitening, leaves a clip correlated with itself at lag zero."""
+    from dataclasses import replace
+    first = vector_clips(spark, d).where("recorder = '0'").select("call_id", "samples")
+    same = (vector_clips(spark, d).drop("samples").join(first, "call_id")
+            .withColumn("freqs", F.array(F.lit(0.0), F.lit(0.5))).withColumn("profile", F.array(F.lit(2.0), F.lit(2.0))))
+    cfg = LocalizeConfig(rate=1, max_peaks_per_pair=1, fallback_to_max=True)
+    plain = localize.pair_rows(localize.correlate_events(same, cfg))
+    white = localize.pair_rows(localize.correlate_events(same, replace(cfg, use_phat=True)))
+    both = plain.select("call_id", "i", "j", F.col("peaks")[0]["tdoa"].alias("p")).join(
+        white.select("call_id", "i", "j", F.col("peaks")[0]["tdoa"].alias("w")), ["call_id", "i", "j"])
+    return both.select(F.col("call_id").cast("bigint").alias("call_id"), "i", "j", F.greatest(F.abs("p"), F.abs("w")).alias("tdoa"))
