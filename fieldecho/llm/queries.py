@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, packing, simhash
+from . import chat, decontam, langid, lines, packing, pages, quality, secret_scan, shards, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +25,61 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark, sf_dir):
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "votes", "quality")
+
+
+@query("op2_chat_format", r"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+    SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id""")
+def op2_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    found = chat.conversations(chat.linear(turns.unionByName(probe)))
+    said, taught = chat.read_back(F.col("formatted")), chat.learned(F.col("formatted"), F.col("loss"))
+    whole = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(F.col("tree").alias("conv_id"), F.size(said).cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+                        F.char_length(taught).cast("long").alias("loss_chars"), F.sha2(taught, 256).alias("loss_sha256"),
+                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kind = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kind) - F.size(F.array_remove(kind, k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts[:3], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), counts[3])
+
+
+@query("op4_page_text")
+def op4_page_text(spark, sf_dir):
+    found = pages.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.col("path").alias("host_path"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_kd_shards")
+def op6_kd_shards(spark, sf_dir):
+    found = shards.kd_shards(table(spark, sf_dir, "documents"), shards=16)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op7_packing")
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,3 +110,11 @@ def op9_decontamination(spark, sf_dir):
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    test = langid.held_out(F.col("doc_id"))
+    found = langid.predict(docs, "lang", ~test & F.col("doc_id").isNotNull())
+    return found.select("doc_id", test.alias("held_out"), "lang_pred", "score", "ambiguous")
