@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -34,14 +35,16 @@ KEYWORDS = ("passw", "secret", "token", "api")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "crf")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\W\d_]+|[^\s]")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\W\d_]+|\S")
 O, B, I = range(3)
 #: Documents sampled for training, with a pattern's match and without, and windows taken from each.
 SAMPLE, WINDOWS, REACH = 1000, 4, 12
-#: Feature places, and neighbours looked at (offsets).
-PLACES, AROUND = 1 << 14, (-3, -2, -1, 0, 1)
+#: Feature places, features of a token, and neighbours looked at (offsets).
+PLACES, WIDTH, AROUND = 1 << 12, 8, (-3, -2, -1, 0, 1)
+KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "bearer", "akia", "credential", "pass", "auth")
+SIGNS = {**dict.fromkeys(range(48, 58), "0"), **dict.fromkeys(range(65, 91), "A"), **dict.fromkeys(range(97, 123), "a")}
 FILE_KINDS = 8
-#: Distinct tokens remembered per worker before it starts afresh.
+#: Distinct words remembered per worker before it starts afresh.
 REMEMBERED = 300_000
 
 
@@ -64,21 +67,28 @@ def value_spans(text: str) -> list[tuple[int, int]]:
     return sorted(out + [m.span() for m in HEX.finditer(text)])
 
 
-def shape(token: str) -> str:
-    """Upper, lower and digit runs as single signs; anything else stands for itself."""
-    signs = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in token[:64])
-    return re.sub(r"(.)\1+", r"\1", signs)[:8]
-
-
-def features(token: str) -> list[int]:
-    """Places of a token's features for offset 0; other offsets shift them (see ``Tables``)."""
-    n, low = len(token), token.lower()
-    digits, upper = sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
-    kinds = (digits > 0) + 2 * (upper > 0) + 4 * (n - digits - upper > 0)
-    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    key = next((k for k in ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "bearer", "akia") if k in low), "")
-    named = (f"s:{shape(token)}", f"n:{min(n, 64).bit_length()}:{n >= 8}", f"k:{kinds}:{n >= 16}", f"c:{min(changes, 6)}:{n >= 8}",
-             f"w:{key}", f"d:{4 * digits // n}:{n >= 8}", f"v:{sum(c in 'aeiou' for c in low) * 5 // n}:{n >= 12}", f"p:{token if n == 1 and not token.isalnum() else ''}")
+def signature(token: str) -> tuple:
+    """What the features of a token are made of; tokens with the same one score alike."""
+    n = len(token)
+    if n == 1 and not token.isalnum():
+        return (token,)
+    low = token.lower()
+    key = next((k for k in KEYS if k in low), "")
+    size = (n >= 8) + (n >= 16) + (n >= 32)
+    if token.isalpha():
+        return "word", size, token.islower() or token.istitle(), key
+    signs = token.translate(SIGNS)
+    runs = re.sub(r"(.)\1+", r"\1", signs)
+    vowels = sum(map(low.count, "aeiou"))
+    return "mixed", size, ("0" in signs) + 2 * ("A" in signs) + 4 * ("a" in signs), min(len(runs) // 3, 4), 4 * signs.count("0") // n, 5 * vowels // n, key
+
+
+def features(sig: tuple) -> list[int]:
+    """Places of a signature's features, always ``WIDTH`` of them."""
+    kind, size, key = sig[0], sig[1] if len(sig) > 1 else 0, sig[-1] if len(sig) > 1 else ""
+    mixed = sig[0] == "mixed"
+    named = (f"t:{kind}", f"n:{kind}:{size}", f"w:{key}", f"k:{sig[2] if mixed else sig[2:3]}", f"r:{sig[3] if mixed else ''}", f"d:{sig[4] if mixed else ''}",
+             f"v:{sig[5] if mixed else ''}:{size >= 1}", f"m:{mixed and sig[3] > 1}:{size}")
     return [crc32(f.encode("utf-8", "surrogatepass")) % PLACES for f in named]
 
 
@@ -91,39 +101,45 @@ def file_kind(text: str) -> int:
 
 
 class Tables:
-    """Scores of tokens by offset: a token's row holds its part of the tag scores of its neighbours and of itself."""
+    """Scores of tokens by offset and tag, relative to outside. Words, cut at blanks, are remembered as the signatures of their tokens."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights  # (offsets, PLACES, 3)
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.row: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(AROUND), 3))
-
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self.row) > REMEMBERED:
-            self._fresh()
-        row = self.row
-        for t in set(tokens).difference(row):
-            at = row[t] = len(row)
-            if at >= len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = self.weights[:, features(t), :].sum(axis=1)
-        return np.array([row[t] for t in tokens], dtype=np.int64)
-
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        ids = self.rows(tokens)
-        out = self.scores[ids, AROUND.index(0)]
-        n = len(ids)
-        for k, d in enumerate(AROUND):
-            if d and n > abs(d):
-                part = self.scores[ids, k]
-                if d < 0:
-                    out[-d:] += part[:d]
-                else:
-                    out[:-d] += part[d:]
-        return out
+        self.row: dict[tuple, int] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.scores = np.zeros((len(AROUND), 2, 1024))
+
+    def _row(self, sig: tuple) -> int:
+        at = self.row.get(sig)
+        if at is None:
+            at = self.row[sig] = len(self.row)
+            if at >= self.scores.shape[2]:
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)], axis=2)
+            w = self.weights[:, features(sig), :].sum(axis=1)
+            self.scores[:, :, at] = w[:, 1:] - w[:, :1]
+        return at
+
+    def rows(self, text: str) -> np.ndarray:
+        words, known = text.split(), self.words
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = tuple(self._row(signature(t)) for t in TOKEN.findall(w))
+        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int64)
+
+    def emissions(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of begin and of inside, less that of outside, for every token."""
+        ids = self.rows(text)
+        out = []
+        for tag in (0, 1):
+            score = self.scores[AROUND.index(0), tag][ids]
+            for k, d in enumerate(AROUND):
+                if d < 0 and len(ids) > -d:
+                    score[-d:] += self.scores[k, tag][ids[:d]]
+                elif d > 0 and len(ids) > d:
+                    score[:-d] += self.scores[k, tag][ids[d:]]
+            out.append(score)
+        return out[0], out[1]
 
 
 def viterbi(scores: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -139,54 +155,44 @@ def viterbi(scores: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.array(tags[::-1])
 
 
-def decode(scores: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Best tags of a text. ``lead`` bounds what a tag other than outside can win at its two transitions."""
+def decode(begin: np.ndarray, inside: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Best tags of a text from scores relative to outside. ``lead`` bounds what another tag can win at its two transitions."""
     gains = [step[a, x] + step[x, b] - step[a, O] - step[O, b] for a in range(3) for b in range(3) for x in (B, I)]
     lead = max(0.0, max(gains))
-    tags = np.zeros(len(scores), dtype=np.int64)
-    open_ = np.flatnonzero(scores[:, O] - scores[:, 1:].max(axis=1) <= lead)
+    tags = np.zeros(len(begin), dtype=np.int64)
+    open_ = np.flatnonzero(np.maximum(begin, inside) >= -lead)
     if len(open_):
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            tags[run] = viterbi(scores[run], step)
+            tags[run] = viterbi(np.stack([np.zeros(len(run)), begin[run], inside[run]], axis=1), step)
     return tags
 
 
-def train(windows: list[tuple[list[str], list[int], int]], rounds: int = 80, rate: float = 0.3, decay: float = 1e-4):
-    """Weights (offsets, PLACES, 3), file weights (FILE_KINDS, 3) and transitions, by full-batch AdaGrad on the log likelihood."""
-    rng = len(windows)
-    long = max(len(w[0]) for w in windows)
-    place = np.full((rng, long, 8), -1)
-    gold, mask = np.zeros((rng, long), dtype=int), np.zeros((rng, long), dtype=bool)
-    seen: dict[str, list[int]] = {}
+def train(windows: list[tuple[list[str], list[int], int]], rounds: int = 60, rate: float = 0.2, decay: float = 1e-4, dropped: float = 0.4):
+    """Weights (offsets, PLACES, 3), file weights (FILE_KINDS, 3) and transitions, by full-batch AdaGrad on the log likelihood.
+    Every round hides a share of the features, so that none becomes indispensable."""
+    n, long = len(windows), max(len(w[0]) for w in windows)
+    place = np.zeros((n, long, WIDTH), dtype=np.int64)
+    gold, mask = np.zeros((n, long), dtype=int), np.zeros((n, long), dtype=bool)
     for i, (tokens, tags, _) in enumerate(windows):
-        for t in tokens:
-            if t not in seen:
-                seen[t] = features(t)
-        place[i, :len(tokens)] = [seen[t] for t in tokens]
+        place[i, :len(tokens)] = [features(signature(t)) for t in tokens]
         gold[i, :len(tokens)], mask[i, :len(tokens)] = tags, True
-    kind = np.array([w[2] for w in windows])
+    kind, rng = np.array([w[2] for w in windows]), np.random.default_rng(11)
     weights, file_w, step = np.zeros((len(AROUND), PLACES, 3)), np.zeros((FILE_KINDS, 3)), np.zeros((3, 3))
     past = [np.full_like(x, 1e-6) for x in (weights, file_w, step)]
-
-    def shifted(d: int) -> np.ndarray:
-        out = np.full_like(place, -1)
-        if d < 0:
-            out[:, -d:] = place[:, :d]
-        elif d:
-            out[:, :-d] = place[:, d:]
-        else:
-            out = place
-        return out
-
-    at = [shifted(d) for d in AROUND]
+    # for each offset: the window and token it speaks about, and its places
+    said = []
+    for d in AROUND:
+        i, t = np.nonzero(mask[:, max(0, -d):long - max(0, d)] & mask[:, max(0, d):long - max(0, -d)])
+        said.append((i, t + max(0, -d), place[i, t + max(0, d)]))
     one = np.eye(3)[gold] * mask[..., None]
     pairs = mask[:, 1:]
     gold_step = np.einsum("ita,itb->ab", one[:, :-1] * pairs[..., None], one[:, 1:])
     for _ in range(rounds):
         e = np.repeat(file_w[kind][:, None, :], long, axis=1)
-        for k, p in enumerate(at):
-            e = e + (weights[k][p] * (p >= 0)[..., None]).sum(axis=2)
-        forward, backward = np.zeros((rng, long, 3)), np.zeros((rng, long, 3))
+        shown = [rng.random(p.shape) >= dropped for _, _, p in said]
+        for k, (i, t, p) in enumerate(said):
+            e[i, t] += (weights[k][p] * shown[k][..., None]).sum(axis=1)
+        forward, backward = np.zeros((n, long, 3)), np.zeros((n, long, 3))
         forward[:, 0] = e[:, 0]
         for t in range(1, long):
             new = _logsum(forward[:, t - 1, :, None] + step, 1) + e[:, t]
@@ -199,13 +205,12 @@ def train(windows: list[tuple[list[str], list[int], int]], rounds: int = 80, rat
         edge = np.exp(forward[:, :-1, :, None] + step + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pairs[..., None, None]
         gap = one - node
         grads = [np.zeros_like(weights), np.zeros_like(file_w), gold_step - edge.sum(axis=(0, 1))]
-        for k, p in enumerate(at):
-            for j in range(p.shape[2]):
-                ok = p[..., j] >= 0
-                np.add.at(grads[0][k], p[..., j][ok], gap[ok])
+        for k, (i, t, p) in enumerate(said):
+            for tag in range(3):
+                grads[0][k][:, tag] = np.bincount(p.ravel(), weights=(gap[i, t, tag][:, None] * shown[k]).ravel(), minlength=PLACES)
         np.add.at(grads[1], kind, gap.sum(axis=1))
         for x, g, h in zip((weights, file_w, step), grads, past):
-            g -= decay * rng * x
+            g -= decay * n * x
             h += g * g
             x += rate * g / np.sqrt(h)
     return weights, file_w, step
@@ -269,14 +274,15 @@ def scan(docs: DataFrame) -> DataFrame:
 def spans_of(text: str, tables: Tables | None, model) -> list[tuple[int, int, int]]:
     """(start, kind, end), patterns first, then what the field tags beside them."""
     base = base_spans(text)
-    tokens = TOKEN.findall(text) if model else []
-    if not tokens:
+    if not model or not text.strip():
         return base
-    tags = decode(tables.emissions(tokens) + model[1][file_kind(text)], model[2])
+    begin, inside = tables.emissions(text)
+    extra = model[1][file_kind(text)]
+    tags = decode(begin + extra[B] - extra[O], inside + extra[I] - extra[O], model[2])
     if not tags.any():
         return base
     at = [m.span() for m in TOKEN.finditer(text)]
-    found, last = [], O
+    found, last = [], -2
     for i in np.flatnonzero(tags).tolist():
         if found and tags[i] == I and last == i - 1:
             found[-1][1] = at[i][1]
