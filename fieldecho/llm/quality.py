@@ -107,25 +107,25 @@ def pattern() -> Column:
     return F.concat(*[F.when(bad, str(BAD)).when(good, str(GOOD)).otherwise("0") for bad, good in rules().values()])
 
 
-def _bounded(rates: np.ndarray, most_false: float) -> np.ndarray:
-    """``rates`` with the good class's bad votes cut to ``most_false``; what is cut goes to its other outcomes in proportion."""
+def _bounded(rates: np.ndarray, most_false: float, least_praise: float) -> np.ndarray:
+    """``rates`` within the bounds of ``fit``; what a bound takes from one outcome goes to the others in proportion."""
     out = rates.copy()
-    bad = np.minimum(out[0, :, BAD], most_false)
-    rest = out[0, :, :BAD].sum(axis=1)
-    out[0, :, :BAD] *= ((1 - bad) / np.maximum(rest, 1e-12))[:, None]
-    out[0, :, BAD] = bad
+    for c, k, value in ((0, BAD, np.minimum(out[0, :, BAD], most_false)), (1, GOOD, np.maximum(out[1, :, GOOD], least_praise * out[0, :, GOOD]))):
+        rest = [v for v in range(3) if v != k]
+        out[c][:, rest] *= ((1 - value) / np.maximum(out[c][:, rest].sum(axis=1), 1e-12))[:, None]
+        out[c, :, k] = value
     return out
 
 
-def fit(votes: dict[str, int], rounds: int = 200, prior: float = 0.02, most_false: float = 0.005) -> dict[str, float]:
+def fit(votes: dict[str, int], rounds: int = 200, prior: float = 0.02, most_false: float = 0.001, least_praise: float = 0.7) -> dict[str, float]:
     """Posterior probability of the good class for every pattern of votes.
 
     Expectation: the class probabilities of each pattern under the current rates. Maximisation: the
     share of good documents and each rule's rates, smoothed by ``prior`` of all documents in favour
-    of rules that rarely vote against the class. What a bad vote means is kept fixed by a bound: no
-    rule votes bad on more than ``most_false`` of the good documents; without it, a fault that one
-    rule alone sees would be explained as a habit of good documents. Starts from that belief and
-    stops when nothing moves.
+    of rules that rarely vote against the class. Two bounds keep what votes mean: no rule votes bad
+    on more than ``most_false`` of the good documents, and poor ones get at least ``least_praise``
+    of the good votes that good ones get. Without them, a fault that one rule alone sees would be
+    explained as a habit of good documents. Starts from that belief and stops when nothing moves.
     """
     if not votes:
         return {}
@@ -136,14 +136,14 @@ def fit(votes: dict[str, int], rounds: int = 200, prior: float = 0.02, most_fals
     can = is_vote.max(axis=0) > 0
     start = np.where(can, 1.0, 0.0)[None] * belief[:, None, :]
     start /= start.sum(axis=2, keepdims=True)
-    rates, share, weight = _bounded(start, most_false), np.array([0.85, 0.15]), prior * n.sum()
+    rates, share, weight = _bounded(start, most_false, least_praise), np.array([0.85, 0.15]), prior * n.sum()
     for _ in range(rounds):
         joint = np.log(share) + np.einsum("prv,crv->pc", is_vote, np.log(np.maximum(rates, 1e-12)))
         post = np.exp(joint - joint.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         mass = post * n[:, None]
         seen = np.einsum("pc,prv->crv", mass, is_vote) + weight * start
-        new, share = _bounded(seen / seen.sum(axis=2, keepdims=True), most_false), (mass.sum(axis=0) + weight * share) / (n.sum() + weight)
+        new, share = _bounded(seen / seen.sum(axis=2, keepdims=True), most_false, least_praise), (mass.sum(axis=0) + weight * share) / (n.sum() + weight)
         moved, rates = np.abs(new - rates).max(), new
         if moved < 1e-9:
             break
