@@ -116,7 +116,8 @@ def bit_weights(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, label: str, train: Column, ambiguous_below: float = 0.1) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``, learned from the rows where ``train`` holds."""
+    """``docs`` without ``text`` and with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``, learned from the rows where
+    ``train`` holds."""
     rows = docs.withColumn("_train", train)
     languages, counts = learn(rows.filter("_train"), label)
     code = codebook(len(languages))

@@ -74,7 +74,7 @@ def signature(token: str) -> tuple:
         return (token,)
     low = token.lower()
     key = next((k for k in KEYS if k in low), "")
-    size = (n >= 8) + (n >= 16) + (n >= 32)
+    size = (n >= 8) + (n >= 16)
     if token.isalpha():
         return "word", size, token.islower() or token.istitle(), key
     signs = token.translate(SIGNS)
