@@ -1,6 +1,6 @@
 """Reply trees as chat conversations, in DataFrame operations only.
 
-Messages name their parent. Self-joins that double the distance enumerate every root-to-leaf path;
+Messages name their parent. Self-joins that double the distance, and joins that halve it again, enumerate every root-to-leaf path;
 a path's score is the mean score of its messages; the best paths of a tree are formatted, each as
 one conversation.
 
@@ -47,6 +47,10 @@ def _same(a: list[str], b: list[str]) -> Column:
     return cond
 
 
+def _target(jump: DataFrame) -> DataFrame:
+    return jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, dist): every message on the path of every leaf, ``dist`` steps above it. ``messages`` have one row per (tree, id)."""
     nodes = messages.select("tree", F.col("id").alias("node"), F.col("parent").alias("up"))
@@ -54,16 +58,18 @@ def paths(messages: DataFrame) -> DataFrame:
     steps = stored(nodes.join(known, _same(["tree", "up"], ["_t", "_n"]), "left_semi").filter("up is not null"), "replies")
     above = steps.select(F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
     leaves = nodes.join(above, _same(["tree", "node"], ["_t", "_n"]), "left_anti")
-    out = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
     longest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jump = steps
-    for k in range((longest - 1).bit_length() if longest > 1 else 0):
-        far = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
-        here = F.struct(F.col("node").alias("node"), F.col("dist").alias("dist"))
+    jumps = [steps] if longest > 1 else []
+    while 1 << len(jumps) < longest:  # jumps[k] leads 2 ** k steps up
+        far = _target(jumps[-1])
+        jumps.append(stored(jumps[-1].join(far, _same(["tree", "up"], ["_t", "_n"])).select("tree", "node", F.col("_up").alias("up")), "replies"))
+    out = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
+    here = F.struct(F.col("node").alias("node"), F.col("dist").alias("dist"))
+    for k in reversed(range(len(jumps))):  # so far every 2 ** (k + 1)th message of a path, and now those between
         there = F.struct(F.col("_up").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
         both = F.when(F.col("_up").isNull(), F.array(here)).otherwise(F.array(here, there))
-        out = out.join(far, _same(["tree", "node"], ["_t", "_n"]), "left").select("tree", "leaf", F.explode(both).alias("x")).select("tree", "leaf", "x.node", "x.dist")
-        jump = stored(jump.join(far, _same(["tree", "up"], ["_t", "_n"])).select("tree", "node", F.col("_up").alias("up")), "replies")
+        met = out.join(_target(jumps[k]), _same(["tree", "node"], ["_t", "_n"]), "left")
+        out = met.select("tree", "leaf", F.explode(both).alias("x")).select("tree", "leaf", "x.node", "x.dist")
     out = stored(out, "paths")
     rooted = out.join(steps.select(F.col("tree").alias("_t"), F.col("node").alias("_n")), _same(["tree", "node"], ["_t", "_n"]), "left_anti")
     rooted = rooted.select(F.col("tree").alias("_t"), F.col("leaf").alias("_n")).distinct()
