@@ -79,7 +79,7 @@ def _localize(spark, cfg, a):
     if a.groups:
         cand = cand.where(F.col("recorder_group").isin(a.groups))
     if a.limit:
-        cand = cand.orderBy("call_id").limit(a.limit)
+        cand = cand.orderBy("event_id").limit(a.limit)
     old = tables.read_if_present(spark, a.out)
     if old is not None:
         cand = pending(cand, localize.results_of(old), localize.errors_of(old), retry_errors=a.retry_errors)
@@ -88,13 +88,16 @@ def _localize(spark, cfg, a):
         cat = cat.where(F.col("recorder_type").isin(a.recorder_types))
     conf = localize.LocalizeConfig(rate=cfg.sample_rate, clip_seconds=a.winsize, lead_seconds=a.dt_in_win, qualcut=a.qualcut,
                                    max_peaks_per_pair=a.max_peaks_per_pair, fit_speed=not a.fixed_speed, max_outlier_pairs=a.max_outlier_pairs,
-                                   shallow_cap=a.outlier_shallow_cap, time_limit_s=a.task_timeout or 1e9)
+                                   shallow_cap=a.outlier_shallow_cap, most_blocks=a.most_blocks)
     req = localize.clip_requests(localize.active_files(cand, cat), conf)
-    placed = deployments.match(req, deployments.with_metres(spark.read.parquet(a.deployments), a.utm_zone), "call_datetime", ["x", "y", "z"]).where("matched")
-    clips = audio.read_clips(placed, conf.rate, ["call_id", "recorder", "x", "y", "z"])
-    prof = localize.attach_profiles(cand.select("call_id", "common_name"), spark.read.parquet(a.profiles))
-    clips = clips.join(prof.select("call_id", "freqs", "profile"), "call_id", "left")
-    sinks.append_run(localize.localize(clips, cand, conf), a.out, a.run_id)
+    placed = deployments.match(req, deployments.with_metres(spark.read.parquet(a.deployments), a.utm_zone), "call_datetime", ["x", "y", "z"])
+    lost = deployments.unplaced(placed, localize.KEY)
+    placed = placed.join(lost.select(localize.KEY), localize.KEY, "left_anti")
+    clips = audio.read_clips(placed, conf.rate, ["event_id", "recorder", "x", "y", "z"])
+    prof = localize.attach_profiles(cand.select("event_id", "common_name"), spark.read.parquet(a.profiles))
+    clips = clips.join(prof.select("event_id", "freqs", "profile"), "event_id", "left")
+    outcomes = localize.localize(clips, cand.join(lost, localize.KEY, "left_anti"), conf)
+    sinks.append_run(outcomes.unionByName(cand.join(lost, localize.KEY), allowMissingColumns=True), a.out, a.run_id)
     sinks.record_invocation(spark, f"{a.out.rstrip('/')}-invocations")
 
 
@@ -103,13 +106,11 @@ def _sun(spark, cfg, a):
 
 
 def _archive(spark, cfg, a):
-    if a.undo:
-        return archive.apply_moves(spark.createDataFrame([], "current string"), a.undo, undo=True)
     cat = spark.read.parquet(a.catalog) if a.catalog else None
     plan = archive.scan(audio.list_files(spark, [a.scan]), cat, tables.read_zones(spark, a.zones) if a.zones else None)
     archive.report(plan).show()
-    if a.execute:
-        return archive.apply_moves(archive.move_list(plan), a.manifest)
+    if a.moves:
+        archive.move_list(plan).write.mode("overwrite").json(a.moves)
 
 
 def _ingest(spark, cfg, a):
@@ -117,8 +118,8 @@ def _ingest(spark, cfg, a):
     archive.card_identity(files).join(archive.card_dates(files), "card").show(truncate=False)
     jobs = archive.card_plan(files, "dest")
     archive.card_totals(jobs).show()
-    if not a.dry_run:
-        audio.copy_verified(jobs).groupBy("status").count().show(truncate=False)
+    if a.jobs:
+        jobs.write.mode("overwrite").json(a.jobs)
 
 
 def _identifiability(spark, cfg, a):
@@ -157,11 +158,11 @@ def parser() -> argparse.ArgumentParser:
     command("speed", _speed, ("--candidates", req), ("--weather", req), ("--out", req))
     command("localize", _localize, ("--candidates", req), ("--profiles", req), ("--deployments", req), ("--out", req), ("--catalog", {}), ("--groups", many),
             ("--recorder-types", many), ("--winsize", num(5.0)), ("--dt-in-win", num(1.0)), ("--qualcut", num(0.1)), ("--limit", whole(None)),
-            ("--max-peaks-per-pair", whole(6)), ("--fixed-speed", flag), ("--max-outlier-pairs", whole(None)), ("--outlier-shallow-cap", whole(2)),
-            ("--task-timeout", num(120.0)), ("--utm-zone", whole(15)), ("--run-id", whole(1)), ("--retry-errors", flag))
+            ("--max-peaks-per-pair", whole(None)), ("--fixed-speed", flag), ("--max-outlier-pairs", whole(None)), ("--outlier-shallow-cap", whole(2)),
+            ("--most-blocks", whole(None)), ("--utm-zone", whole(15)), ("--run-id", whole(1)), ("--retry-errors", flag))
     command("sun", _sun, ("--out", req), ("--lat", num(None)), ("--lon", num(None)), ("--date-start", req), ("--date-end", req))
-    command("archive", _archive, ("--scan", {}), ("--undo", {}), ("--catalog", {}), ("--zones", {}), ("--execute", flag), ("--manifest", {"default": "rename_manifest"}))
-    command("ingest", _ingest, ("--card", req), ("--dest", req), ("--dry-run", flag))
+    command("archive", _archive, ("--scan", req), ("--catalog", {}), ("--zones", {}), ("--moves", {}))
+    command("ingest", _ingest, ("--card", req), ("--dest", req), ("--jobs", {}))
     command("identifiability", _identifiability, ("--run", req), ("--out", req), ("--cond-max", num(1e4)))
     return p
 

@@ -18,7 +18,7 @@ class Thresholds:
     min_active_recorders: int = 4
     flexible_min_max_prob: float = 0.9
     flexible_min_concordant_recs: int = 3
-    flexible_max_per_species: int = 1000
+    flexible_max_per_species: int | None = None  # no cut unless asked for
     strict_agreement_fraction: float = 1.0
     strict_min_prob: float = 0.9
 

@@ -20,28 +20,30 @@ def count_name(threshold: float) -> str:
 def per_recorder_max(det: DataFrame) -> DataFrame:
     """Best probability per (species, second, group, recorder); null keys vanish."""
     keys = [*KEYS, "recorder_group", "recorder"]
-    aggs = [F.max("prob").alias("prob")]
-    if "call_datetime" in det.columns:
-        aggs.append(F.min("call_datetime").alias("call_datetime"))
-    return det.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(*aggs)
+    return det.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.max("prob").alias("prob"))
 
 
 def concordance(det: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """Tidy table keyed by (species, second, group).
 
     maxp, allmax (over groups), one count column per threshold, and ``call_datetime``:
-    the earliest exact time of that species and second in any group.
+    the earliest exact time of that species and second over all detections, those without
+    recorder or group included.
     """
-    cells = per_recorder_max(det).repartition(*[F.col(k) for k in KEYS])
-    aggs = [F.max("prob").alias("maxp"),
-            *[F.count_if(F.col("prob") >= t).alias(count_name(t)) for t in thresholds]]
+    timed = "call_datetime" in det.columns
+    keys = [*KEYS, "recorder_group", "recorder"]
+    earliest = [F.min("call_datetime").alias("call_datetime")] if timed else []
+    # rows without recorder or group count for nothing but the earliest time
+    cells = (det.where(" AND ".join(f"{k} IS NOT NULL" for k in KEYS)).groupBy(*keys).agg(F.max("prob").alias("prob"), *earliest)
+             .withColumn("__ok", F.col("recorder_group").isNotNull() & F.col("recorder").isNotNull()).repartition(*[F.col(k) for k in KEYS]))
+    aggs = [F.max(F.when(F.col("__ok"), F.col("prob"))).alias("maxp"),
+            *[F.count_if(F.col("__ok") & (F.col("prob") >= t)).alias(count_name(t)) for t in thresholds]]
     across = Window.partitionBy(*KEYS)  # rows: the groups of one second
-    if "call_datetime" in cells.columns:
-        aggs.append(F.min("call_datetime").alias("call_datetime"))
-    out = cells.groupBy(*KEYS, "recorder_group").agg(*aggs).withColumn("allmax", F.max("maxp").over(across))
-    if "call_datetime" in cells.columns:
+    out = (cells.groupBy(*KEYS, "recorder_group").agg(*aggs, *earliest, F.bool_or("__ok").alias("__ok"))
+           .withColumn("allmax", F.max("maxp").over(across)))
+    if timed:
         out = out.withColumn("call_datetime", F.min("call_datetime").over(across))
-    return out
+    return out.where("__ok").drop("__ok")
 
 
 def dense_counts(conc: DataFrame, groups: list[str], thresholds: tuple[float, ...]) -> DataFrame:

@@ -42,10 +42,10 @@ def stab_join(points: DataFrame, intervals: DataFrame, by: list[str], point: str
     """Join each point to every interval of its key that holds it.
 
     Intervals are exploded to the buckets they touch; a point lies in one bucket, so
-    no match appears twice. With ``open_ended`` the intervals are first clipped to the
-    span of the points, which also bounds the explosion: the given ``span`` (first and
-    last instant), or else one aggregate over the time column of ``points``, which
-    should then be a stored table.
+    no match appears twice. With ``open_ended`` intervals reach no further than one bucket
+    beyond their own bounded ends, which bounds the explosion, and points outside that span
+    look into its outermost buckets; the range test stays exact. The span is given, or it is
+    one aggregate over the intervals; the points are read once.
     """
     iv = intervals
     a, z = F.col(lo), F.col(hi)
@@ -53,8 +53,8 @@ def stab_join(points: DataFrame, intervals: DataFrame, by: list[str], point: str
         if span:
             known = F.struct(*[(s if isinstance(s, Column) else F.lit(s)).alias(n) for s, n in zip(span, "az")])
         else:
-            known = points.agg(F.struct(F.min(point).alias("a"), F.max(point).alias("z"))).scalar()
-        first, last = F.col("__span.a"), F.col("__span.z") + 1
+            known = intervals.agg(F.struct(F.min(F.least(a, z)).alias("a"), F.max(F.greatest(a, z)).alias("z"))).scalar()
+        first, last = F.coalesce(F.col("__span.a"), F.lit(0)) - width, F.coalesce(F.col("__span.z"), F.lit(0)) + width
         iv = (iv.withColumn("__span", known).withColumn("__a", F.greatest(F.coalesce(a, first), first))
               .withColumn("__z", F.least(F.coalesce(z, last), last)).drop("__span"))
     else:
@@ -66,6 +66,11 @@ def stab_join(points: DataFrame, intervals: DataFrame, by: list[str], point: str
                       F.col(lo).alias("__lo"), F.col(hi).alias("__hi"),
                       *[c for c in intervals.columns if c not in (*by, lo, hi)])
     left = points.withColumn("__b", bucket(f"`{point}`"))
+    if open_ended:
+        left = left.withColumn("__span", known)
+        edge = lambda c: c - F.pmod(c, F.lit(width))
+        within = F.greatest(F.least(F.col("__b") * width, edge(last - 1)), edge(first))
+        left = left.withColumn("__b", within).withColumn("__b", F.expr(f"__b div {width}L")).drop("__span")
     cond = F.col("__b") == F.col("__kb")
     for k in by:
         cond = cond & (F.col(k) == F.col(f"__k_{k}"))

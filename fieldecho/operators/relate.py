@@ -58,7 +58,7 @@ def merge_fill(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     return primary.unionByName(fallback.join(primary.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def pending(candidates: DataFrame, results: DataFrame, errors: DataFrame | None, key: str = "call_id",
+def pending(candidates: DataFrame, results: DataFrame, errors: DataFrame | None, key: str = "event_id",
             retry_errors: bool = False) -> DataFrame:
     """Candidates not yet in results, nor (unless retried) in errors."""
     done = results.select(key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .running import with_neighbours
 
 _CLAMP = 1.7e308
+FINE = 256
 
 
 def _value_bucket(v: Column) -> Column:
@@ -17,17 +18,32 @@ def _value_bucket(v: Column) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, mag).otherwise(-mag).cast("bigint")
 
 
+def _evened(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Split every coarse bucket into ``FINE`` of equal width over the values it holds."""
+    held = counts.groupBy(*by, "__b").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    held = held.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.col("__b").alias("__kb"), "__lo", (F.col("__hi") - F.col("__lo")).alias("__wide"))
+    cond = F.col("__b") == F.col("__kb")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    share = (F.col("__v") - F.col("__lo")) / F.col("__wide")
+    fine = F.when((F.col("__wide") > 0) & (F.col("__wide") <= _CLAMP), F.least(F.floor(share * FINE), F.lit(FINE - 1))).otherwise(0)
+    return counts.join(held, cond).select(*by, "__v", "__n", (F.col("__b") * FINE + fine).cast("bigint").alias("__b"))
+
+
 def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per key, plus the row count ``n``.
 
     The built-in exact percentile keeps every distinct value of a group in one
     buffer. Here equal values are counted with map-side combine, the counts are
     rolled up to value buckets, and only the buckets holding a wanted rank are
-    ranked row by row. Null and NaN values are ignored; infinities sort last.
+    ranked row by row. Buckets are cut on a log scale and then evenly over the values
+    each of them holds, so that values of a narrow range still spread over many. Null and
+    NaN values are ignored; infinities sort last.
     """
     v = F.col(value).cast("double")
     counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
               .withColumn("__b", _value_bucket(F.col("__v"))))
+    counts = _evened(counts, by)
     buckets = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"))
     w = Window.partitionBy(*by)
     order = w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

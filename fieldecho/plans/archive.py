@@ -87,7 +87,9 @@ def scan(files: DataFrame, catalog: DataFrame | None = None, zones: DataFrame |
         text.canonical_dir(F.col("recorder"), F.col("start"), F.col("end"))))
     moves = ~settled & ((F.col("pass") == 3) | F.col("start").isNotNull())
     df = df.withColumn("base", F.when(moves, base))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("pass", "dir"))
+    # folders without a proposal are told apart by their own name, so they do not meet in one task
+    alone = F.when(F.col("base").isNull(), F.col("dir"))
+    k = F.row_number().over(Window.partitionBy("base", alone).orderBy("pass", "dir"))
     df = df.withColumn("k", F.when(F.col("base").isNotNull(), k))
     proposed = F.when(settled, F.col("dir")).when(F.col("k") == 1, F.col("base")).when(F.col("k") > 1, F.concat_ws("_", "base", "k"))
     df = df.withColumn("proposed", proposed)
@@ -109,33 +111,6 @@ def move_list(proposals: DataFrame) -> DataFrame:
     return deepest_first(proposals.where(F.col("status").isin("ok", "conflict") & (F.col("current") != F.col("proposed"))), "current")
 
 
-def apply_moves(moves: DataFrame, manifest: str, undo: bool = False) -> int:
-    """Write the manifest, then rename in order (or in reverse to undo). Returns the number of failures.
-
-    Folder renames are name-space operations that must run in order, so the list is
-    streamed through the driver row by row; nothing of it is collected.
-    """
-    import os
-    import shutil
-    spark = moves.sparkSession
-    if not undo:
-        moves.write.mode("errorifexists").json(manifest)
-    rows = spark.read.json(manifest) if undo else moves
-    src, dst = ("proposed", "current") if undo else ("current", "proposed")
-    depth = F.size(F.split("current", "/"))
-    failed = 0
-    for r in rows.orderBy(depth.asc() if undo else depth.desc(), "current").toLocalIterator():
-        try:
-            if not os.path.exists(r[src]) or os.path.exists(r[dst]):
-                failed += 1
-                continue
-            os.makedirs(os.path.dirname(r[dst]), exist_ok=True)
-            shutil.move(r[src], r[dst])
-        except OSError:
-            failed += 1
-    return failed
-
-
 # What a recorder card holds besides audio.
 CARD_META = ("reclog.csv", "gps_log.csv", "gps_log.gpx", "loclog.txt", "wavfiles.parquet")
 CARD_SKIP = (".Spotlight-V100", ".Trashes", ".fseventsd", "System Volume Information")

@@ -10,6 +10,7 @@ from ..functions.timefn import DAY, micros
 from ..operators.intervals import (CLOSED, END_OF_DAY, BoundPolicy, resolve_intervals, stab_join)
 from ..operators.ranking import keep_first, keep_last
 from ..operators.stats import exact_percentiles
+from ..session import cut_lineage
 
 # deployments last for months: wide buckets keep the explosion of open-ended ones small
 WIDTH = 365 * DAY
@@ -29,13 +30,13 @@ def apply_metadata(catalog: DataFrame, dep: DataFrame, order: str = "ord",
     """
     has_pos = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     has_group = F.col("recorder_group").isNotNull() & (F.col("recorder_group") != "")
-    segs = resolve_intervals(
+    segs = cut_lineage(resolve_intervals(
         _intervals(dep, policy, order).select("recorder", "lo", "hi", "recorder_group", "latitude", "longitude", "__ord"),
         ["recorder"],
         [F.max_by("recorder_group", F.when(has_group, F.col("__ord"))).alias("d_group"),
          F.max_by("latitude", F.when(has_pos, F.col("__ord"))).alias("d_lat"),
          F.max_by("longitude", F.when(has_pos, F.col("__ord"))).alias("d_lon")],
-        width=WIDTH, cover_all=True)
+        width=WIDTH, cover_all=True))  # settled once; the catalog then meets a plain small table
     out = stab_join(catalog.withColumn("__t", micros(F.col("start_datetime"))), segs, ["recorder"], "__t", width=WIDTH)
     lost = F.coalesce(~F.col("matched"), F.lit(False))
     return (out.withColumn("recorder_group", F.when(~lost, F.coalesce("d_group", "recorder_group")))
@@ -61,11 +62,18 @@ def match(points: DataFrame, dep: DataFrame, time: str, columns: list[str], orde
                 else keep_last(dep, ["recorder"], ["begin", order]))
         segs = (segs.join(best.select("recorder", payload.alias("__f")), "recorder", "left")
                 .withColumn("hit", F.coalesce("hit", "__f")).drop("__f"))
+    segs = cut_lineage(segs)  # settled once; the points then meet a plain small table
     out = stab_join(points.withColumn("__t", micros(F.col(time))), segs, ["recorder"], "__t", width=WIDTH)
     return out.select(*points.columns, *[F.col(f"hit.{c}").alias(c) for c in columns],
                       F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
+def unplaced(matched: DataFrame, key: str) -> DataFrame:
+    """Error rows (key, error_type, error_msg) of events with a recorder that no deployment covers; ``matched`` comes from ``match``."""
+    lost = matched.where(~F.col("matched")).groupBy(key).agg(F.array_sort(F.collect_set("recorder")).alias("r"))
+    return lost.select(key, F.lit("NoDeployment").alias("error_type"), F.concat(F.lit("no deployment at the call for "), F.array_join("r", ", ")).alias("error_msg"))
+
+
 def with_metres(dep: DataFrame, zone: int) -> DataFrame:
     """Add projected x, y; z is kept."""
     return dep.withColumn("__p", utm(F.col("longitude"), F.col("latitude"), zone)).select("*", "__p.x", "__p.y").drop("__p")

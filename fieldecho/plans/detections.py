@@ -107,7 +107,8 @@ def select_candidates(counts: DataFrame, strategy: str = "flexible", thresholds:
     name = F.col("common_name")
     return df.select("common_name", text.birdcode(name).alias("birdcode"), "call_datetime_r", "call_datetime",
                      "recorder_group", text.call_id(name, F.col("recorder_group"), F.col("call_datetime_r"), zone).alias("call_id"),
-                     "maxp", "ngoodrecs", "ngoodrecs_high", "n_active_recorders")
+                     "maxp", "ngoodrecs", "ngoodrecs_high", "n_active_recorders",
+                     F.concat_ws("|", name, F.coalesce("recorder_group", F.lit("")), micros(F.col("call_datetime_r"))).alias("event_id"))
 
 
 def duplicate_call_ids(candidates: DataFrame) -> DataFrame:

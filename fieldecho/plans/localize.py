@@ -31,11 +31,11 @@ class LocalizeConfig:
     clip_seconds: float = 5.0
     lead_seconds: float = 1.0
     qualcut: float = 0.1
-    max_pairs: int = 15
+    max_pairs: int | None = None
     peak_min_height: float = 0.25
     peak_min_prominence: float = 0.05
     peak_min_distance: int = 750
-    max_peaks_per_pair: int = 6
+    max_peaks_per_pair: int | None = None
     fallback_to_max: bool = False
     use_phat: bool = False
     use_profile: bool = True
@@ -53,16 +53,24 @@ class LocalizeConfig:
     amplitude_weighting: bool = False
     amplitude_tol: float = 0.1
     amplitude_seconds: float = 0.4
-    time_limit_s: float = 120.0
+    most_blocks: int | None = None
 
 
 # The simple runner solves top peaks only, from at least four pairs.
 SIMPLE = LocalizeConfig(qualcut=0.2, top_only=True, fit_speed=True, peak_min_height=-1.0, max_peaks_per_pair=1,
                         peak_min_prominence=0.0, peak_min_distance=1, fallback_to_max=True)
 SIMPLE_MIN_PAIRS = 4
+#: Column that tells events apart. The readable ``call_id`` is only a label: it is made of local time and repeats in autumn.
+KEY = "event_id"
 SIMPLE_SPEED, SIMPLE_BOUNDS = 343.0, (330.0, 360.0)
 
 
+def with_event_id(candidates: DataFrame) -> DataFrame:
+    """Add the unique key: species, group and the call's second as an instant."""
+    at = F.concat_ws("|", "common_name", F.coalesce("recorder_group", F.lit("")), micros(F.col("call_datetime_r")))
+    return candidates.withColumn(KEY, at)
+
+
 def active_files(candidates: DataFrame, catalog: DataFrame, require_gps_sync: bool = True) -> DataFrame:
     """Files of the event's group recording strictly around the call; the second channel is dropped."""
     cat = catalog.where(~F.col("channel").eqNullSafe("1"))
@@ -82,18 +90,35 @@ def attach_profiles(events: DataFrame, profiles: DataFrame, column: str = "specm
             .withColumn("use_phat", F.col("profile").isNull()))
 
 
-EVENT_SCHEMA = ("call_id string, recorders_all array<string>, coords array<array<double>>, "
-                "pairs array<struct<i:int,j:int,qual:double,peaks:array<struct<tdoa:double,height:double>>>>")
+EVENT_SCHEMA = ("recorders_all array<string>, coords array<array<double>>, "
+                "pairs array<struct<i:int,j:int,qual:double,peaks:array<struct<tdoa:double,height:double>>>>, "
+                "clips_unread array<string>, clip_error string")
+
+
+def _event_pairs(cfg: LocalizeConfig, key: str):
+    names = [key, "recorders_all", "coords", "pairs", "clips_unread", "clip_error"]
 
+    def guarded(clips: pd.DataFrame) -> pd.DataFrame:
+        """A clip without samples is listed; an event that cannot be correlated becomes a row with its error."""
+        heard = clips["samples"].map(lambda y: y is not None and len(y) > 0)
+        unread = sorted(clips["recorder"][~heard])
+        try:
+            got = pairs_of(clips[heard]) if heard.any() else ([], [], [])
+            return pd.DataFrame([(clips[key].iloc[0], *got, unread, None)], columns=names)
+        except Exception as e:
+            return pd.DataFrame([(clips[key].iloc[0], None, None, None, unread, f"{type(e).__name__}: {e}")], columns=names)
 
-def _event_pairs(cfg: LocalizeConfig):
-    def pairs_of(clips: pd.DataFrame) -> pd.DataFrame:
+    def pairs_of(clips: pd.DataFrame) -> tuple[list, list, list]:
         clips = clips.sort_values("recorder").reset_index(drop=True)
+        if clips["recorder"].duplicated().any():
+            raise ValueError("an event has two clips of one recorder: its key is not unique")
         first = clips.iloc[0]
         has_profile = cfg.use_profile and first.get("profile") is not None
         prof = (first["freqs"], first["profile"]) if has_profile else (None, None)
         phat = cfg.use_phat or (cfg.use_profile and not has_profile)
         audio = [np.asarray(s, float) for s in clips["samples"]]
+        if not all(np.isfinite(y).all() for y in audio) or has_profile and not np.isfinite(np.asarray(prof[1], float)).all():
+            raise ValueError("samples or profile are not finite")
         xyz = clips[["x", "y", "z"]].to_numpy(float)
         n = spectra.fast_len(2 * max(map(len, audio)) - 1)
         spec = [spectra.spectrum(y, n, cfg.rate, *prof) for y in audio]
@@ -114,9 +139,8 @@ def _event_pairs(cfg: LocalizeConfig):
                 order = np.lexsort((-cc[pk], demoted)) if pk.size else []
                 keep = pk[order][:cfg.max_peaks_per_pair or None]
                 rows.append({"i": i, "j": j, "qual": qual, "peaks": [{"tdoa": float(lags[p]), "height": float(cc[p])} for p in keep]})
-        return pd.DataFrame({"call_id": [first["call_id"]], "recorders_all": [list(clips["recorder"])],
-                             "coords": [[list(r) for r in xyz]], "pairs": [rows]})
-    return pairs_of
+        return list(clips["recorder"]), [list(r) for r in xyz], rows
+    return guarded
 
 
 def _disagrees(a: np.ndarray, b: np.ndarray, lag: float, cfg: LocalizeConfig) -> bool:
@@ -134,36 +158,39 @@ def _disagrees(a: np.ndarray, b: np.ndarray, lag: float, cfg: LocalizeConfig) ->
     return -np.sign(lag) * (np.log(peak[0]) - np.log(peak[1])) < -cfg.amplitude_tol
 
 
-def correlate_events(clips: DataFrame, cfg: LocalizeConfig = LocalizeConfig()) -> DataFrame:
+def correlate_events(clips: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), key: str = KEY) -> DataFrame:
     """One row per event: recorders, coordinates, and every pair with its quality and candidate peaks.
 
     A group is one event: the clips of one array at one instant, a few megabytes.
-    The correlation arrays never leave the task; clips without samples are left out.
+    The correlation arrays never leave the task. Recorders whose clip has no samples are
+    listed in ``clips_unread``; what went wrong with an event is in ``clip_error``.
     """
     for name in ("freqs", "profile"):
         if name not in clips.columns:
             clips = clips.withColumn(name, F.lit(None).cast("array<double>"))
-    cols = ["call_id", "recorder", "x", "y", "z", "samples", "freqs", "profile"]
-    ready = spread(clips.where("samples IS NOT NULL").select(*cols), "call_id")
-    return ready.groupBy("call_id").applyInPandas(_event_pairs(cfg), EVENT_SCHEMA)
+    ready = spread(clips.select(key, "recorder", "x", "y", "z", "samples", "freqs", "profile"), key)
+    return ready.groupBy(key).applyInPandas(_event_pairs(cfg, key), f"{key} {dict(clips.dtypes)[key]}, {EVENT_SCHEMA}")
 
 
-def pair_rows(correlated: DataFrame) -> DataFrame:
-    """The pair table: call_id, i, j, qual, peaks."""
-    return correlated.select("call_id", F.inline("pairs"))
+def pair_rows(correlated: DataFrame, key: str = KEY) -> DataFrame:
+    """The pair table: key, i, j, qual, peaks."""
+    return correlated.select(key, F.inline("pairs"))
 
 
-def usable_pairs(pairs: DataFrame, qualcut: float = 0.1, max_pairs: int = 15) -> DataFrame:
-    """Pairs within the quality cut, the best ``max_pairs`` per event."""
-    return top_n(pairs.where(F.col("qual") <= qualcut), ["call_id"], [F.col("qual"), F.col("i"), F.col("j")], max_pairs)
+def usable_pairs(pairs: DataFrame, qualcut: float = 0.1, max_pairs: int | None = None, key: str = KEY) -> DataFrame:
+    """Pairs within the quality cut; with ``max_pairs`` the best so many per event."""
+    ok = pairs.where(F.col("qual") <= qualcut)
+    return ok if max_pairs is None else top_n(ok, [key], [F.col("qual"), F.col("i"), F.col("j")], max_pairs)
 
 
-def select_pairs(correlated: DataFrame, qualcut: float = 0.1, max_pairs: int = 15) -> DataFrame:
-    """``usable_pairs`` inside the event row: pairs_used, pair_ids and peak_tdoas in (i, j) order."""
+def select_pairs(correlated: DataFrame, qualcut: float = 0.1, max_pairs: int | None = None) -> DataFrame:
+    """``usable_pairs`` inside the event row: pairs_used, pair_ids and peak_tdoas in (i, j) order; n_pairs_dropped counts
+    what ``max_pairs`` cut."""
     ok = F.filter("pairs", lambda p: p["qual"] <= qualcut)
-    best = F.slice(F.array_sort(F.transform(ok, lambda p: F.struct(p["qual"], p["i"], p["j"], p["peaks"]))), 1, max_pairs)
+    ranked = F.array_sort(F.transform(ok, lambda p: F.struct(p["qual"], p["i"], p["j"], p["peaks"])))
+    best = ranked if max_pairs is None else F.slice(ranked, 1, max_pairs)
     name = lambda k: F.get("recorders_all", k)
-    return (correlated.withColumn("__u", F.array_sort(F.transform(best, lambda p: F.struct(p["i"], p["j"], p["peaks"]))))
+    return (correlated.withColumn("n_pairs_dropped", F.size(ok) - F.size(best)).withColumn("__u", F.array_sort(F.transform(best, lambda p: F.struct(p["i"], p["j"], p["peaks"]))))
             .withColumn("pairs_used", F.transform("__u", lambda p: F.struct(p["i"], p["j"])))
             .withColumn("pair_ids", F.transform("__u", lambda p: F.struct(name(p["i"]).alias("ri"), name(p["j"]).alias("rj"))))
             .withColumn("peak_tdoas", F.transform("__u", lambda p: F.transform(p["peaks"], lambda q: q["tdoa"])))
@@ -208,8 +235,7 @@ def choose_peaks(events: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), min_
                     raise ValueError(f"fewer than {need} usable pairs")
                 peaks = np.split(np.asarray(values, float), np.cumsum(size)[:-1])
                 got = combos.choose(peaks, list(zip(i.tolist(), j.tolist())), cfg.n_best, cfg.include_toppeak, cfg.include_disjoint,
-                                    cfg.prefer_zeros, cfg.top_only, cfg.max_outlier_pairs, cfg.shallow_cap,
-                                    time.monotonic() + cfg.time_limit_s)
+                                    cfg.prefer_zeros, cfg.top_only, cfg.max_outlier_pairs, cfg.shallow_cap, cfg.most_blocks)
                 rows.append(([g[0] for g in got], [g[1] for g in got], [k for g in got for k in g[2]], None, None))
             except Exception as e:  # one bad event becomes an error row, never a failed job
                 rows.append((None, None, None, type(e).__name__, str(e)))
@@ -236,22 +262,23 @@ def _stack(col: pd.Series, width: int) -> np.ndarray:
 
 def solve_udf(fit_speed: bool = False, speed_margin: float = 2.0, multistart: bool = True):
     """Arrow-batched solver over (flat a, flat b, delays, lo, hi, centre, speed) columns."""
-    @F.pandas_udf("x_est array<double>, c_est double, cost double, optimality double")
+    @F.pandas_udf("x_est array<double>, c_est double, cost double, optimality double, converged boolean")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
             known = np.logical_and.reduce([c.notna() for c in cols])
             if not known.any():
-                yield pd.DataFrame(None, index=cols[0].index, columns=["x_est", "c_est", "cost", "optimality"], dtype=object)
+                yield pd.DataFrame(None, index=cols[0].index, columns=["x_est", "c_est", "cost", "optimality", "converged"], dtype=object)
                 continue
             a, b, dt, lo, hi, mid, speed = (c[known] for c in cols)
             width = max(1, int(dt.map(len).max()))
             flat = lambda s: _stack(s, 3 * width).reshape(len(s), width, 3)
             mask = np.arange(width) < dt.map(len).to_numpy()[:, None]
             rows = lambda s: np.array(s.tolist(), float)
-            x, c, cost, opt = solve.locate(flat(a), flat(b), _stack(dt, width), mask, rows(lo), rows(hi), rows(mid),
+            x, c, cost, opt, done = solve.locate(flat(a), flat(b), _stack(dt, width), mask, rows(lo), rows(hi), rows(mid),
                                            speed.to_numpy(float), fit_speed, speed_margin, multistart)
-            got = pd.DataFrame({"x_est": list(x), "c_est": c, "cost": cost, "optimality": opt}, index=a.index)
+            got = pd.DataFrame({"x_est": list(x), "c_est": c, "cost": cost, "optimality": opt, "converged": done}, index=a.index)
             full = got.reindex(cols[0].index)
+            full["converged"] = full["converged"].astype(object).where(known, None)
             full["x_est"] = [v if k else None for v, k in zip(full["x_est"], known)]
             yield full
     return once(run)
@@ -266,7 +293,7 @@ def locate_sources(df: DataFrame, coords: str = "coords", pairs: str = "pairs_us
                    multistart: bool = True, spread_by: str | None = None) -> DataFrame:
     """Solve one source per row: ``coords`` array<array<double>>, ``pairs`` array<struct<i,j>>.
 
-    Adds x_est, c_est, cost, optimality, errors, mean_error and tdoa_pred. The solve is
+    Adds x_est, c_est, cost, optimality, converged, errors, mean_error and tdoa_pred. The solve is
     a map over Arrow batches, vectorised across events; residuals stay in the JVM.
     ``spread_by`` hash-partitions the small rows first, for inputs of few splits: the
     solve costs far more than moving them. Rows with nulls stay unsolved.
@@ -296,29 +323,33 @@ def error_map(pair_ids: Column, errors: Column) -> Column:
     return F.map_from_arrays(F.transform(pair_ids, lambda p: F.concat_ws("|", p["ri"], p["rj"])), errors)
 
 
-def localize(clips: DataFrame, events: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), min_pairs: int = 0) -> DataFrame:
+def localize(clips: DataFrame, events: DataFrame, cfg: LocalizeConfig = LocalizeConfig(), min_pairs: int = 0, key: str = KEY) -> DataFrame:
     """One outcome row per event: a solution, or error_type and error_msg.
 
-    ``events``: call_id, speed and any columns to carry along. ``clips``: call_id,
-    recorder, x, y, z, samples, and optionally freqs, profile. Every candidate of the
-    chosen peak sets is solved; the best closure is the result. Store the outcomes once,
-    then take ``results_of`` and ``errors_of``. After the one grouping by call_id all
-    steps keep that partitioning.
+    ``events``: key, speed and any columns to carry along (``call_id`` for one). ``clips``:
+    key, recorder, x, y, z, samples, and optionally freqs, profile. The key must tell events
+    apart (``with_event_id``); clips of one recorder that share a key make an error row.
+    Every candidate of the chosen peak sets is solved; the best closure is the result. Store
+    the outcomes once, then take ``results_of`` and ``errors_of``. After the one grouping by
+    key all steps keep that partitioning.
     """
-    base = select_pairs(correlate_events(clips, cfg), cfg.qualcut, cfg.max_pairs)
-    chosen = choose_peaks(events.join(base, "call_id", "left"), cfg, min_pairs)
-    carried = [c for c in chosen.columns if c not in ("call_id", "choices")]
+    base = select_pairs(correlate_events(clips, cfg, key), cfg.qualcut, cfg.max_pairs)
+    chosen = choose_peaks(events.join(base, key, "left"), cfg, min_pairs)
+    failed = F.col("clip_error").isNotNull()
+    chosen = (chosen.withColumn("error_type", F.when(failed, "ClipError").otherwise(F.col("error_type")))
+              .withColumn("error_msg", F.when(failed, F.col("clip_error")).otherwise(F.col("error_msg"))).drop("clip_error"))
+    carried = [c for c in chosen.columns if c not in (key, "choices")]
     solved = locate_sources(
         chosen.select("*", F.posexplode_outer("choices").alias("__rank", "__ch")).drop("choices").select("*", "__ch.*").drop("__ch"),
         fit_speed=cfg.fit_speed, speed_margin=cfg.speed_margin, multistart=cfg.multistart)
     cand = F.struct(F.col("__rank").alias("candidate_index"), "candidate_label", "geometry_score", "peak_indexes", "tdoas",
-                    "x_est", "c_est", "optimality", "cost", "mean_error", "tdoa_pred", "errors")
-    out = solved.groupBy("call_id").agg(
+                    "x_est", "c_est", "optimality", "cost", "converged", "mean_error", "tdoa_pred", "errors")
+    out = solved.groupBy(key).agg(
         F.any_value(F.struct(*carried)).alias("__e"),
         F.array_sort(F.collect_list(F.when(F.col("__rank").isNotNull(), cand))).alias("candidates"))
     best = F.get("candidates", F.lit(0))
-    fields = ("geometry_score", "peak_indexes", "tdoas", "x_est", "c_est", "optimality", "cost", "mean_error", "tdoa_pred", "errors")
-    out = out.select("call_id", "__e.*", "candidates", *[best[f].alias("best_score" if f == "geometry_score" else f) for f in fields])
+    fields = ("geometry_score", "peak_indexes", "tdoas", "x_est", "c_est", "optimality", "cost", "converged", "mean_error", "tdoa_pred", "errors")
+    out = out.select(key, "__e.*", "candidates", *[best[f].alias("best_score" if f == "geometry_score" else f) for f in fields])
     return (out.withColumn("n_candidates", F.size("candidates"))
             .withColumn("combo_sizes", F.transform("peak_tdoas", lambda a: F.greatest(F.size(a), F.lit(1))))
             .withColumn("total_peak_combos", F.aggregate("combo_sizes", F.lit(1.0), lambda s, v: s * v))
@@ -335,14 +366,15 @@ def results_of(outcomes: DataFrame) -> DataFrame:
 
 
 def errors_of(outcomes: DataFrame) -> DataFrame:
-    return outcomes.where("error_type IS NOT NULL").select("call_id", "error_type", "error_msg")
+    names = [c for c in (KEY, "call_id") if c in outcomes.columns]
+    return outcomes.where("error_type IS NOT NULL").select(*names, "error_type", "error_msg", "clips_unread")
 
 
-def localize_simple(clips: DataFrame, events: DataFrame) -> DataFrame:
-    """Top peak of every usable pair, speed fitted within its fixed bounds; needs four pairs."""
+def localize_simple(clips: DataFrame, events: DataFrame, key: str = KEY, **changed) -> DataFrame:
+    """Top peak of every usable pair, speed fitted within its fixed bounds; needs four pairs. ``changed``: other settings."""
     mid = sum(SIMPLE_BOUNDS) / 2
-    cfg = replace(SIMPLE, max_pairs=1_000_000, speed_margin=(SIMPLE_BOUNDS[1] - SIMPLE_BOUNDS[0]) / 2)
-    return localize(clips, events.withColumn("speed", F.lit(mid)), cfg, SIMPLE_MIN_PAIRS)
+    cfg = replace(SIMPLE, speed_margin=(SIMPLE_BOUNDS[1] - SIMPLE_BOUNDS[0]) / 2, **changed)
+    return localize(clips, events.withColumn("speed", F.lit(mid)), cfg, SIMPLE_MIN_PAIRS, key)
 
 
 def peak_amplitudes(clips: DataFrame, rate: float, lead_seconds: float = 1.0, window: float = 0.4) -> DataFrame:
@@ -353,7 +385,7 @@ def peak_amplitudes(clips: DataFrame, rate: float, lead_seconds: float = 1.0, wi
     from pyspark.sql import Window
     d = geo.distance(F.array("x", "y", "z"), F.col("x_est"))
     toa = d / F.col("c_est")
-    key = [c for c in ("call_id", "candidate_index") if c in clips.columns]
+    key = [c for c in (KEY if KEY in clips.columns else "call_id", "candidate_index") if c in clips.columns]
     width = int(round(window * rate))
     k = F.round((F.lit(lead_seconds - window / 2) + F.col("__off")) * rate).cast("int")
     return (clips.withColumn("dist", d).withColumn("__off", toa - F.min(toa).over(Window.partitionBy(*key)))
@@ -371,11 +403,12 @@ def falloff_score(amps: DataFrame, key: list[str]) -> DataFrame:
             .withColumn("score", F.when(F.col("n_recorders") >= 2, F.col("__s"))).drop("__s"))
 
 
-def run_rows(df: DataFrame, fn, key: str, schema: str, deadline_s: float | None = None) -> DataFrame:
+def run_rows(df: DataFrame, fn, key: str, schema: str) -> DataFrame:
     """Apply ``fn(row) -> dict`` to each row; failures become error columns instead of failed jobs.
 
-    Output: key, ``result`` (``schema`` struct or null), error_type, error_msg. Spark
-    schedules, retries and commits; ``pending`` gives resume.
+    Output: key, ``result`` (``schema`` struct or null), error_type, error_msg, elapsed_s. Spark
+    schedules, retries and commits; ``pending`` gives resume. A slow row is reported by its
+    ``elapsed_s``; what bounds it belongs in ``fn`` (a step count, as in the peak search).
     """
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -384,28 +417,30 @@ def run_rows(df: DataFrame, fn, key: str, schema: str, deadline_s: float | None
                 start = time.monotonic()
                 try:
                     got, err = fn(row), (None, None)
-                    if deadline_s is not None and time.monotonic() - start > deadline_s:
-                        got, err = None, ("TimeoutError", f"row exceeded {deadline_s} s")
                 except Exception as e:
                     got, err = None, (type(e).__name__, str(e))
-                rows.append((getattr(row, key), got, *err))
-            yield pd.DataFrame(rows, columns=[key, "result", "error_type", "error_msg"])
+                rows.append((getattr(row, key), got, *err, time.monotonic() - start))
+            yield pd.DataFrame(rows, columns=[key, "result", "error_type", "error_msg", "elapsed_s"])
     key_type = dict(df.dtypes)[key]
-    return df.mapInPandas(apply, f"{key} {key_type}, result struct<{schema}>, error_type string, error_msg string")
+    return df.mapInPandas(apply, f"{key} {key_type}, result struct<{schema}>, error_type string, error_msg string, elapsed_s double")
 
 
-def clip_requests(files: DataFrame, cfg: LocalizeConfig = LocalizeConfig()) -> DataFrame:
-    """Sample range of each event in each file, on the recorder's true clock.
+def true_rate(files: DataFrame) -> Column:
+    """Samples per second on the recorder's own clock: recorders that stamp start and end run at datalen / (end - start),
+    the others, and files without those stamps, at the nominal rate."""
+    nominal = F.col("rate").cast("double")
+    if not {"file_end", "datalen", "recorder_type"} <= set(files.columns):
+        return nominal
+    span = (micros(F.col("file_end")) - micros(F.col("start_datetime"))) / SECOND
+    return F.when((F.col("recorder_type") == "SOLARBAR") & (span > 0), F.col("datalen") / span).otherwise(nominal)
 
-    Recorders that stamp start and end run at datalen / (end - start) samples per
-    second; the others at the nominal rate.
-    """
+
+def clip_requests(files: DataFrame, cfg: LocalizeConfig = LocalizeConfig()) -> DataFrame:
+    """Sample range of each event in each file, on the recorder's true clock."""
     start = micros(F.col("start_datetime"))
-    span = (micros(F.col("file_end")) - start) / SECOND
-    true_rate = F.when((F.col("recorder_type") == "SOLARBAR") & (span > 0), F.col("datalen") / span).otherwise(F.col("rate").cast("double"))
     offset = (micros(F.col("call_datetime")) - start) / SECOND - cfg.lead_seconds
     if "shift_seconds" in files.columns:
         offset = offset + F.col("shift_seconds")
-    return (files.withColumn("true_rate", true_rate)
+    return (files.withColumn("true_rate", true_rate(files))
             .withColumn("first_sample", F.bround(offset * F.col("true_rate")).cast("bigint"))
             .withColumn("n_samples", F.bround(F.lit(cfg.clip_seconds) * F.col("rate")).cast("bigint")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..operators.ranking import top_n
 from ..operators.relate import merge_fill
 from ..operators.stats import array_percentiles
 from ..signal import spectra
-from .localize import once
+from .localize import once, true_rate
 
 
 def clip_profile_udf(rate: int, nperseg: int = 1024, noverlap: int = 512, low: float = 500.0, high: float = 15000.0):
@@ -22,7 +23,7 @@ def clip_profile_udf(rate: int, nperseg: int = 1024, noverlap: int = 512, low: f
     @F.pandas_udf("freqs array<double>, profile array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for clips in batches:
-            rows = [spectra.clip_profile(y, rate, nperseg, noverlap, low, high) if y is not None and len(y) > 1 and any(y) else (None, None)
+            rows = [spectra.clip_profile(y, rate, nperseg, noverlap, low, high) if y is not None and len(y) > 1 and np.any(y) else (None, None)
                     for y in clips]
             yield pd.DataFrame(rows, columns=["freqs", "profile"])
     return once(run)
@@ -35,18 +36,19 @@ def profile_table(clips: DataFrame, rate: int, **options) -> DataFrame:
     """
     per_clip = (clips.withColumn("__p", clip_profile_udf(rate, **options)("samples")).select("birdcode", "__p.*")
                 .where("profile IS NOT NULL"))
-    freqs = per_clip.groupBy("birdcode").agg(F.first("freqs").alias("freqs"))
+    # every clip has the frequencies of one segment length and rate, so bins match by position
+    freqs = np.fft.rfftfreq(options.get("nperseg", 1024), 1 / rate).tolist()
     stats = array_percentiles(per_clip, ["birdcode"], "profile", {"specmean": 0.5, "specmax": 0.9})
-    return freqs.join(stats.withColumnRenamed("n", "n_clips"), "birdcode")
+    return stats.withColumnRenamed("n", "n_clips").withColumn("freqs", F.lit(freqs)).select("birdcode", "freqs", "specmean", "specmax", "n_clips")
 
 
 def best_detections(det: DataFrame, top: int = 20, min_prob: float = 0.7, clip_seconds: float = 3.0) -> DataFrame:
-    """Clip requests for the surest detections of each species."""
+    """Clip requests for the surest detections of each species, on the recorder's true clock."""
     picked = top_n(det.where(F.col("prob") >= min_prob), ["common_name"],
                    [F.col("prob").desc(), F.col("file"), F.col("call_datetime")], top)
     offset = (micros(F.col("call_datetime")) - micros(F.col("start_datetime"))) / SECOND
     return (picked.withColumn("birdcode", text.profile_code(F.col("common_name")))
-            .withColumn("first_sample", F.bround(offset * F.col("rate")).cast("bigint"))
+            .withColumn("first_sample", F.bround(offset * true_rate(picked)).cast("bigint"))
             .withColumn("n_samples", F.bround(F.lit(clip_seconds) * F.col("rate")).cast("bigint")))
 
 

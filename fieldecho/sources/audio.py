@@ -166,34 +166,3 @@ def file_hashes(files: DataFrame) -> DataFrame:
                 return None
         return paths.map(one)
     return files.withColumn("sha256", digest("file"))
-
-
-def copy_verified(jobs: DataFrame) -> DataFrame:
-    """Copy (file -> target), verify size and hash, skip targets already complete.
-
-    Output adds ``status``: copied, present, or the error. A rerun resumes.
-    """
-    import hashlib
-    import shutil
-
-    @F.pandas_udf("string")
-    def copy(src: pd.Series, dst: pd.Series) -> pd.Series:
-        def digest(p: str) -> str:
-            with open(p, "rb") as fh:
-                return hashlib.file_digest(fh, "sha256").hexdigest()
-
-        def one(s: str, t: str) -> str:
-            try:
-                if os.path.exists(t) and os.path.getsize(t) == os.path.getsize(s) and digest(t) == digest(s):
-                    return "present"
-                os.makedirs(os.path.dirname(t), exist_ok=True)
-                part = f"{t}.part-{os.getpid()}"
-                shutil.copyfile(s, part)
-                if digest(part) != digest(s):
-                    return "error: hash mismatch"
-                os.replace(part, t)
-                return "copied"
-            except OSError as e:
-                return f"error: {e}"
-        return pd.Series([one(s, t) for s, t in zip(src, dst)])
-    return jobs.withColumn("status", copy("file", "target"))

@@ -89,7 +89,7 @@ def test_localize_from_files(spark, archive_dir):
     assert req.count() == 5
     clips = audio.read_clips(req, RATE, ["call_id", "recorder"])
     pos = spark.createDataFrame([(k, *v) for k, v in POS.items()], "recorder string, x double, y double, z double")
-    out = localize.localize(clips.join(pos, "recorder"), events, cfg).cache()
+    out = localize.localize(clips.join(pos, "recorder"), events, cfg, key="call_id").cache()
     good, bad = localize.results_of(out).collect(), localize.errors_of(out).collect()
     assert [r["call_id"] for r in good] == ["c1"] and [r["call_id"] for r in bad] == ["c2"]
     r = good[0]
@@ -110,7 +110,7 @@ def test_amplitude_weighting_demotes_a_contradicting_peak(spark):
     clips = spark.createDataFrame([("c", "r1", 0.0, 0.0, 0.0, a.tolist()), ("c", "r2", 60.0, 0.0, 0.0, b.tolist())],
                                   "call_id string, recorder string, x double, y double, z double, samples array<float>")
     cfg = localize.LocalizeConfig(rate=rate, use_profile=False, peak_min_distance=20, peak_min_height=0.5)
-    first = lambda c: localize.pair_rows(localize.correlate_events(clips, c)).collect()[0]["peaks"][0]["tdoa"]
+    first = lambda c: localize.pair_rows(localize.correlate_events(clips, c, "call_id"), "call_id").collect()[0]["peaks"][0]["tdoa"]
     assert first(cfg) == pytest.approx(0.1)
     assert first(replace(cfg, amplitude_weighting=True, amplitude_seconds=0.05)) == pytest.approx(-0.05)
 
@@ -228,7 +228,8 @@ def test_sinks_key_steps_by_parameters(spark, tmp_path):
     assert tables.read_if_present(spark, root + "/none") is None
     sinks.append_run(df, root + "/r", 1)
     sinks.append_run(df.where("v = 2").withColumn("v", F.lit(9)), root + "/r", 2)
-    assert {(r["call_id"], r["v"]) for r in sinks.consolidated(spark, root + "/r").collect()} == {("a", 1), ("b", 9)}
+    sinks.append_run(df.where("v = 2").withColumn("v", F.lit(8)), root + "/r", 2)  # a repeated key in one run
+    assert {(r["call_id"], r["v"]) for r in sinks.consolidated(spark, root + "/r", "call_id", ("v",)).collect()} == {("a", 1), ("b", 9)}
 
 
 def test_rows_never_fail_the_job(spark):
@@ -237,18 +238,6 @@ def test_rows_never_fail_the_job(spark):
     assert got["a"]["result"]["q"] == 1.0 and got["b"]["error_type"] == "ZeroDivisionError"
 
 
-def test_copy_and_moves(spark, tmp_path):
-    (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "a.wav").write_bytes(b"abc")
-    jobs = spark.createDataFrame([(str(tmp_path / "s" / "a.wav"), str(tmp_path / "t" / "x" / "a.wav"))], "file string, target string")
-    assert audio.copy_verified(jobs).first()["status"] == "copied"
-    assert audio.copy_verified(jobs).first()["status"] == "present"
-    moves = spark.createDataFrame([(str(tmp_path / "t" / "x"), str(tmp_path / "t" / "y" / "z"), "ok")], "current string, proposed string, status string")
-    man = str(tmp_path / "m")
-    assert archive.apply_moves(archive.move_list(moves), man) == 0 and (tmp_path / "t" / "y" / "z" / "a.wav").exists()
-    assert archive.apply_moves(moves, man, undo=True) == 0 and (tmp_path / "t" / "x" / "a.wav").exists()
-
-
 def test_refinement_recovers_a_displaced_recorder(spark):
     rng = np.random.default_rng(2)
     rec = {f"r{k}": np.array(p) for k, p in enumerate(POS.values())}

@@ -15,12 +15,13 @@ CONC = """cells AS (
   SELECT common_name, sec_us, recorder_group, recorder, max(prob) AS prob, min(call_us) AS call_us
   FROM detr WHERE recorder_group IS NOT NULL GROUP BY ALL),
 conc0 AS (
-  SELECT common_name, sec_us, recorder_group, max(prob) AS maxp, min(call_us) AS c0,
+  SELECT common_name, sec_us, recorder_group, max(prob) AS maxp,
     count(*) FILTER (WHERE prob >= 0.9) AS n_p90, count(*) FILTER (WHERE prob >= 0.75) AS n_p75,
     count(*) FILTER (WHERE prob >= 0.5) AS n_p50 FROM cells GROUP BY ALL),
+firsts AS (SELECT common_name, sec_us, min(call_us) AS call_us FROM detr GROUP BY ALL),
 conc AS (
-  SELECT *, max(maxp) OVER (PARTITION BY common_name, sec_us) AS allmax,
-    min(c0) OVER (PARTITION BY common_name, sec_us) AS call_us FROM conc0)"""
+  SELECT conc0.*, max(maxp) OVER (PARTITION BY common_name, sec_us) AS allmax, call_us
+  FROM conc0 JOIN firsts USING (common_name, sec_us))"""
 ACTIVE = """act AS (
   SELECT c.*, (SELECT count(*) FROM merged m WHERE m.recorder_group = c.recorder_group
                AND m.lo <= c.sec_us AND c.sec_us < m.hi) AS n_active FROM conc c)"""
@@ -86,7 +87,8 @@ def _selected(spark, d, **kw):
 
 
 _OUT = f"""common_name, upper(regexp_replace(common_name, '[^A-Za-z0-9]', '', 'g')) AS birdcode, sec_us, call_us,
-  recorder_group, {CODE} AS call_id, maxp, n_p50 AS ngoodrecs, n_p90 AS ngoodrecs_high, n_active AS n_active_recorders"""
+  recorder_group, {CODE} AS call_id, maxp, n_p50 AS ngoodrecs, n_p90 AS ngoodrecs_high, n_active AS n_active_recorders,
+  concat_ws('|', common_name, coalesce(recorder_group, ''), sec_us) AS event_id"""
 
 
 @query("select_flexible", f"""{FULL}, pick AS (

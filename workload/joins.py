@@ -80,8 +80,10 @@ p AS (SELECT a.l_orderkey, a.l_suppkey AS i, b.l_suppkey AS j FROM s a JOIN s b
   WHERE (a.l_suppkey + b.l_suppkey) % 5 <> 0)"""
 
 
-@query("triangle_join", f"""WITH {_PAIR} SELECT x.l_orderkey, x.i AS a, x.j AS b, y.j AS c FROM p x
-JOIN p y ON x.l_orderkey = y.l_orderkey AND x.j = y.i JOIN p z ON z.l_orderkey = x.l_orderkey AND z.i = x.i AND z.j = y.j""")
+@query("triangle_join", """WITH e AS MATERIALIZED (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS s FROM lineitem GROUP BY 1),
+a AS MATERIALIZED (SELECT l_orderkey, s, unnest(range(1, len(s) + 1)) AS m FROM e), b AS MATERIALIZED (SELECT *, unnest(range(m + 1, len(s) + 1)) AS n FROM a),
+t AS (SELECT *, unnest(range(n + 1, len(s) + 1)) AS o FROM b)
+SELECT l_orderkey, s[m] AS a, s[n] AS b, s[o] AS c FROM t WHERE (s[m] + s[n]) % 5 <> 0 AND (s[n] + s[o]) % 5 <> 0 AND (s[m] + s[o]) % 5 <> 0""")
 def triangle_join(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     pairs = (relate.event_pairs(li, "l_orderkey", "l_suppkey").toDF("l_orderkey", "i", "j").where("(i + j) % 5 <> 0"))
@@ -97,7 +99,7 @@ def best_pairs(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     pairs = (relate.event_pairs(li, "l_orderkey", "l_suppkey").toDF("call_id", "i", "j").where("(i + j) % 5 <> 0")
              .withColumn("qual", ((F.col("i") * 7919 + F.col("j") * 104729) % 1000) / 1000.0))
-    return usable_pairs(pairs, qualcut=0.6, max_pairs=4).withColumnRenamed("call_id", "l_orderkey")
+    return usable_pairs(pairs, qualcut=0.6, max_pairs=4, key="call_id").withColumnRenamed("call_id", "l_orderkey")
 
 
 @query("anti_resume", """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
@@ -105,7 +107,7 @@ def best_pairs(spark, d):
 def anti_resume(spark, d):
     li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "call_id")
     todo = table(spark, d, "orders").select(F.col("o_orderkey").alias("call_id"))
-    out = relate.pending(todo, li.where("l_returnflag = 'R'"), li.where("l_linenumber = 6"))
+    out = relate.pending(todo, li.where("l_returnflag = 'R'"), li.where("l_linenumber = 6"), key="call_id")
     return out.withColumnRenamed("call_id", "o_orderkey")
 
 
@@ -195,7 +197,8 @@ def key_union(spark, d):
             .union(table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("k"))).distinct())
 
 
-@query("seeded_sample")
+@query("seeded_sample", """WITH h AS (SELECT o_orderkey, o_custkey, ((o_orderkey % 2147483647 + 8) * 48271) % 2147483647 AS a FROM orders)
+SELECT o_orderkey, o_custkey FROM h ORDER BY (a * 48271 + 7) % 2147483647, o_orderkey LIMIT 100""")
 def seeded_sample_q(spark, d):
-    """A sampling operator: the row limit is the feature; the hash order has no SQL twin."""
-    return seeded_sample(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100, seed=7)
+    """A sampling operator: the row limit is the feature."""
+    return seeded_sample(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, seed=7)

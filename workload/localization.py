@@ -75,7 +75,7 @@ def vector_clips(spark, d):
 @query("xcorr_lag", f"""WITH {_XC} SELECT call_id, i::INT AS i, j::INT AS j, arg_max(lag, c)::DOUBLE AS tdoa, round(stddev_pop(abs(c)), 6) AS qual FROM n GROUP BY ALL""")
 def xcorr_lag(spark, d):
     """FFT correlation against the time-domain sum."""
-    out = localize.pair_rows(localize.correlate_events(vector_clips(spark, d), LocalizeConfig(**_TINY, max_peaks_per_pair=1, fallback_to_max=True)))
+    out = localize.pair_rows(localize.correlate_events(vector_clips(spark, d), LocalizeConfig(**_TINY, max_peaks_per_pair=1, fallback_to_max=True), "call_id"), "call_id")
     return out.select(F.col("call_id").cast("bigint").alias("call_id"), "i", "j", F.col("peaks")[0]["tdoa"].alias("tdoa"), F.round("qual", 6).alias("qual"))
 
 
@@ -83,7 +83,7 @@ def xcorr_lag(spark, d):
 t AS (SELECT *, row_number() OVER (PARTITION BY call_id, i, j ORDER BY c DESC) AS k FROM w WHERE c >= 0.25 AND c > p AND c > q)
 SELECT call_id, i::INT AS i, j::INT AS j, lag::DOUBLE AS tdoa, round(c, 6) AS height FROM t WHERE k <= 6""")
 def correlation_peaks(spark, d):
-    out = localize.pair_rows(localize.correlate_events(vector_clips(spark, d), LocalizeConfig(**_TINY, peak_min_prominence=0.0, peak_min_distance=1)))
+    out = localize.pair_rows(localize.correlate_events(vector_clips(spark, d), LocalizeConfig(**_TINY, peak_min_prominence=0.0, peak_min_distance=1, max_peaks_per_pair=6), "call_id"), "call_id")
     p = out.select("call_id", "i", "j", F.explode("peaks").alias("p"))
     return p.select(F.col("call_id").cast("bigint").alias("call_id"), "i", "j", "p.tdoa", F.round("p.height", 6).alias("height"))
 
@@ -125,39 +125,54 @@ def sounding_clips(spark, d):
     return c.select("call_id", "recorder", "x", "y", "z", "src", F.concat(zeros(100 + lag), "w", zeros(800 - lag)).alias("samples"))
 
 
-@query("localize_events", "SELECT vec_id::VARCHAR AS call_id, 6 AS n_recorders, 15 AS n_pairs, true AS residual_small, true AS near_source FROM embeddings")
-def localize_events(spark, d):
-    """Clips to positions: correlation, peaks, choice, solve. Whole-sample delays leave a small error.
+def placed(res, key="call_id"):
+    """The returned solution: its distance from the source in whole 2 m steps and its error in whole milliseconds."""
+    return res.select(key, F.size("recorders").alias("n_recorders"), F.size("pairs_used").alias("n_pairs"), "converged",
+                      F.floor(geo.distance(F.col("x_est"), F.col("src")) / 2.0).alias("off_by"), F.floor(F.col("mean_error") * 1000).alias("error_ms"))
+
 
-    The choice of all-top peaks is always among the candidates, and is the true one here.
-    """
+@query("localize_events", """SELECT vec_id::VARCHAR AS call_id, 6 AS n_recorders, 15 AS n_pairs, true AS converged, 0::BIGINT AS off_by, 0::BIGINT AS error_ms FROM embeddings""")
+def localize_events(spark, d):
+    """Clips to positions: correlation, peaks, choice, solve. The returned solution is checked; whole-sample delays leave a small error."""
     clips = sounding_clips(spark, d)
     src = clips.groupBy("call_id").agg(F.first("src").alias("src"))
-    cfg = LocalizeConfig(rate=2000, use_profile=False, qualcut=0.5, peak_min_distance=5, fit_speed=False, max_peaks_per_pair=3)
+    cfg = LocalizeConfig(rate=2000, use_profile=False, qualcut=0.5, peak_min_distance=5, fit_speed=False, max_peaks_per_pair=1)
     events = clips.select("call_id", F.lit(343.0).alias("speed")).distinct()
-    res = localize.results_of(localize.localize(clips.drop("src"), events.join(src, "call_id"), cfg))
-    top = F.filter("candidates", lambda c: c["peak_indexes"] == F.array_repeat(F.lit(0), 15))[0]
-    return res.select("call_id", F.size("recorders").alias("n_recorders"), F.size("pairs_used").alias("n_pairs"),
-                      (top["mean_error"] < 0.001).alias("residual_small"), (geo.distance(top["x_est"], F.col("src")) < 2.0).alias("near_source"))
+    return placed(localize.results_of(localize.localize(clips.drop("src"), events.join(src, "call_id"), cfg, key="call_id")))
+
+
+@query("localize_shared_label", """SELECT vec_id::VARCHAR AS event_id, (vec_id // 2)::VARCHAR AS call_id, 6 AS n_recorders, 15 AS n_pairs, true AS converged, 0::BIGINT AS off_by, 0::BIGINT AS error_ms
+FROM embeddings""")
+def localize_shared_label(spark, d):
+    """Two events of every label, as in the autumn hour: each keeps its own row and position."""
+    clips = sounding_clips(spark, d).withColumnRenamed("call_id", "event_id")
+    events = (clips.groupBy("event_id").agg(F.first("src").alias("src")).withColumn("speed", F.lit(343.0))
+              .withColumn("call_id", F.floor(F.col("event_id").cast("bigint") / 2).cast("string")))
+    cfg = LocalizeConfig(rate=2000, use_profile=False, qualcut=0.5, peak_min_distance=5, fit_speed=False, max_peaks_per_pair=1)
+    res = localize.results_of(localize.localize(clips.drop("src"), events, cfg))
+    return placed(res, "event_id").join(res.select("event_id", "call_id"), "event_id")
 
 
-@query("localize_simple", "SELECT vec_id::VARCHAR AS call_id, true AS residual_small FROM embeddings")
+@query("localize_simple", """SELECT vec_id::VARCHAR AS call_id, 6 AS n_recorders, 15 AS n_pairs, true AS converged, 0::BIGINT AS off_by, 0::BIGINT AS error_ms FROM embeddings""")
 def localize_simple(spark, d):
-    from dataclasses import replace
-    clips = sounding_clips(spark, d).drop("src")
-    cfg = replace(localize.SIMPLE, rate=2000, use_profile=False, qualcut=0.5, speed_margin=15.0)
-    events = clips.select("call_id", F.lit(345.0).alias("speed")).distinct()
-    res = localize.results_of(localize.localize(clips, events, cfg, localize.SIMPLE_MIN_PAIRS))
-    return res.select("call_id", (F.col("mean_error") < 0.001).alias("residual_small"))
+    clips = sounding_clips(spark, d)
+    events = clips.groupBy("call_id").agg(F.first("src").alias("src"))
+    return placed(localize.results_of(localize.localize_simple(clips.drop("src"), events, "call_id", rate=2000, use_profile=False, qualcut=0.5)))
 
 
-@query("localize_errors", "SELECT vec_id::VARCHAR AS call_id, 'ValueError' AS error_type FROM embeddings")
+@query("localize_errors", """SELECT vec_id::VARCHAR AS call_id, CASE WHEN vec_id % 3 = 0 THEN 'ValueError' ELSE 'ClipError' END AS error_type,
+CASE WHEN vec_id % 3 = 1 THEN 1 ELSE 0 END AS n_unread FROM embeddings""")
 def localize_errors(spark, d):
-    """Two recorders cannot form a triangle: every event becomes an error row, none is lost."""
-    clips = sounding_clips(spark, d).drop("src").where("recorder IN ('r0', 'r3')")
+    """Every bad event becomes an error row, none is lost: two recorders cannot form a triangle, broken samples cannot be correlated."""
+    n = F.col("call_id").cast("bigint") % 3
+    clips = sounding_clips(spark, d).drop("src").where("recorder IN ('r0', 'r3', 'r4')")
+    broken = F.transform("samples", lambda v: v * F.lit(float("nan")))
+    samples = (F.when((n == 0) & (F.col("recorder") == "r4"), F.lit(None)).when((n == 1) & (F.col("recorder") == "r3"), F.array().cast("array<float>"))
+               .when((n != 0) & (F.col("recorder") == "r0"), broken).otherwise(F.col("samples")))
+    clips = clips.withColumn("samples", samples)
     cfg = LocalizeConfig(rate=2000, use_profile=False, qualcut=0.9, peak_min_distance=5)
-    err = localize.errors_of(localize.localize(clips, clips.select("call_id", F.lit(343.0).alias("speed")).distinct(), cfg))
-    return err.select("call_id", "error_type")
+    err = localize.errors_of(localize.localize(clips, clips.select("call_id", F.lit(343.0).alias("speed")).distinct(), cfg, key="call_id"))
+    return err.select("call_id", "error_type", F.when(n == 1, F.size("clips_unread")).otherwise(F.size("clips_unread") - (n == 0).cast("int")).alias("n_unread"))
 
 
 @query("intensity_falloff", "SELECT vec_id::VARCHAR AS call_id, 6::BIGINT AS n_recorders, 0.0::DOUBLE AS score FROM embeddings")
@@ -234,31 +249,80 @@ def drop_recorder(spark, d):
     return out.select("o_orderkey", F.inline(F.transform(z, lambda s: F.struct((s["p"]["i"] + s["p"]["j"] - 1).cast("int").alias("k"), (s["t"] + 1).alias("t")))))
 
 
-@query("temporal_support")
-def temporal_support(spark, d):
-    """Aligned clips agree at the call: a rows-only check (envelopes need a transform)."""
-    s = support.temporal_support(vector_clips(spark, d), 64, smooth_ms=50.0, points=40)
-    return support.support_peaks(s)
+# analytic magnitude of 64 samples by explicit Fourier sums, product of two, mean of three samples, over its 99th percentile
+_SUPPORT = """e AS (SELECT vec_id // 4 AS call_id, vec_id % 4 AS r, embedding FROM embeddings),
+s AS MATERIALIZED (SELECT call_id, r, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM e),
+f AS MATERIALIZED (SELECT call_id, r, q, sum(CASE WHEN q IN (0, 32) THEN 1 ELSE 2 END * v * cos(2 * pi() * q * k / 64)) AS re,
+  -sum(CASE WHEN q IN (0, 32) THEN 1 ELSE 2 END * v * sin(2 * pi() * q * k / 64)) AS im FROM s, range(33) t(q) GROUP BY ALL),
+h AS MATERIALIZED (SELECT call_id, r, k, sqrt(pow(sum(re * cos(2 * pi() * q * k / 64) - im * sin(2 * pi() * q * k / 64)), 2)
+  + pow(sum(re * sin(2 * pi() * q * k / 64) + im * cos(2 * pi() * q * k / 64)), 2)) / 64 AS m FROM f, range(64) t(k) GROUP BY ALL),
+p AS (SELECT a.call_id, a.r AS i, b.r AS j, a.k, a.m * b.m AS v FROM h a JOIN h b ON a.call_id = b.call_id AND a.k = b.k AND a.r < b.r),
+w AS (SELECT call_id, i, j, k, (lag(v, 1, 0.0) OVER o + v + lead(v, 1, 0.0) OVER o) / 3 AS v FROM p WINDOW o AS (PARTITION BY call_id, i, j ORDER BY k)),
+n AS (SELECT call_id, i, j, k, least(greatest(v / quantile_cont(v, 0.99) OVER (PARTITION BY call_id, i, j), 0), 1.5) AS v FROM w)"""
 
 
-@query("frequency_profiles")
+@query("temporal_support", f"WITH {_SUPPORT} SELECT call_id::VARCHAR AS call_id, i::VARCHAR AS ri, j::VARCHAR AS rj, k::INT AS k, round(v, 6) AS support FROM n")
+def temporal_support(spark, d):
+    """Agreement of aligned clips over time against explicit Fourier sums."""
+    s = support.temporal_support(vector_clips(spark, d), 64, smooth_ms=50.0, points=64)
+    return s.select("call_id", "ri", "rj", F.posexplode("support").alias("k", "support")).withColumn("support", F.round("support", 6))
+
+
+@query("support_peaks", f"""WITH {_SUPPORT}, a AS (SELECT call_id, k, avg(v) AS v FROM n GROUP BY ALL),
+g AS (SELECT *, lag(v) OVER o AS b, lead(v) OVER o AS c FROM a WINDOW o AS (PARTITION BY call_id ORDER BY k)),
+t AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY v DESC) - 1 AS rank FROM g WHERE v >= 0.25 AND v > b AND v > c)
+SELECT call_id::VARCHAR AS call_id, rank::INT AS peak_rank, round(k / 64.0::DOUBLE, 6) AS t, round(v, 6) AS height FROM t""")
+def support_peaks(spark, d):
+    s = support.temporal_support(vector_clips(spark, d), 64, smooth_ms=50.0, points=64)
+    p = support.support_peaks(s, min_gap_s=1 / 64)
+    return p.select("call_id", "peak_rank", F.round("t", 6).alias("t"), F.round("height", 6).alias("height"))
+
+
+_N, _RATE, _LOW, _HIGH = 16, 8000, 100.0, 3900.0
+
+
+@query("frequency_profiles", f"""WITH v AS (SELECT vec_id, label::VARCHAR AS birdcode, list_slice(embedding, 1, CASE WHEN vec_id % 5 = 0 THEN 12 ELSE 32 END) AS y FROM embeddings),
+p AS (SELECT *, least(len(y) - 1, {_RATE} // 10) AS pad FROM v),
+ext AS (SELECT vec_id, birdcode, len(y) AS n, pad, list_transform(range(len(y) + 2 * pad), lambda t: (CASE WHEN t < pad THEN 2 * y[1] - y[pad - t + 1]
+  WHEN t < pad + len(y) THEN y[t - pad + 1] ELSE 2 * y[len(y)] - y[2 * len(y) + pad - t - 1] END)::DOUBLE) AS z FROM p),
+l AS (SELECT *, len(z) + len(z) % 2 AS n0 FROM ext),
+m AS (SELECT *, (SELECT min(c) FROM (VALUES (34), (36), (40), (90), (94), (96)) f(c), (SELECT 1) WHERE c >= n0 AND c IN (36, 40, 90, 96)) AS nn FROM l),
+x AS MATERIALIZED (SELECT vec_id, birdcode, n, pad, nn, unnest(range(len(z))) AS t, unnest(z) AS u FROM m),
+gain AS MATERIALIZED (SELECT nn, q, 1 / (1 + pow(abs((w * w - w1 * w2) / greatest((w2 - w1) * w, 1e-30)), 8)) AS g FROM (
+  SELECT nn, q, tan(pi() * least(q * {_RATE}::DOUBLE / nn, {_RATE} / 2 * (1 - 1e-9)) / {_RATE}) AS w, tan(pi() * {_LOW} / {_RATE}) AS w1, tan(pi() * {_HIGH} / {_RATE}) AS w2
+  FROM (SELECT DISTINCT nn FROM m), range(60) r(q) WHERE q <= nn // 2)),
+fz AS MATERIALIZED (SELECT vec_id, birdcode, n, pad, nn, q, sum(u * cos(2 * pi() * q * t / nn)) * any_value(g) AS re, -sum(u * sin(2 * pi() * q * t / nn)) * any_value(g) AS im
+  FROM x JOIN gain USING (nn) GROUP BY ALL),
+band AS MATERIALIZED (SELECT vec_id, birdcode, n, s, sum(CASE WHEN q = 0 OR q = nn // 2 THEN 1 ELSE 2 END * (re * cos(2 * pi() * q * (s + pad) / nn) - im * sin(2 * pi() * q * (s + pad) / nn))) / any_value(nn) AS y
+  FROM fz, range(32) r(s) WHERE s < n GROUP BY ALL),
+seg AS (SELECT vec_id, birdcode, o, k, coalesce(y, 0) AS y FROM (SELECT DISTINCT vec_id, birdcode, n FROM band), (VALUES (0), (8), (16)) a(o), range({_N}) b(k)
+  LEFT JOIN (SELECT vec_id AS vid, s, y FROM band) ON vid = vec_id AND s = o + k WHERE o + {_N} <= greatest(n, {_N})),
+taper AS (SELECT *, 0.5 * (1 - cos(pi() * least(1.0, least(k, {_N} - k) / (0.125 * {_N})))) * (y - avg(y) OVER (PARTITION BY vec_id, o)) AS z FROM seg),
+sp AS (SELECT vec_id, birdcode, o, q, sqrt(pow(sum(z * cos(2 * pi() * q * k / {_N})), 2) + pow(sum(z * sin(2 * pi() * q * k / {_N})), 2)) AS a FROM taper, range({_N // 2 + 1}) r(q) GROUP BY ALL),
+mean AS (SELECT vec_id, birdcode, q, avg(a) AS a FROM sp GROUP BY ALL),
+norm AS (SELECT *, a / max(a) OVER (PARTITION BY vec_id) AS b FROM mean)
+SELECT birdcode, q::INT AS bin, q * {_RATE}::DOUBLE / {_N} AS freq, count(*) AS n_clips, round(quantile_cont(b, 0.5), 6) AS specmean, round(quantile_cont(b, 0.9), 6) AS specmax FROM norm GROUP BY ALL""")
 def frequency_profiles(spark, d):
-    """Median and 90th-percentile spectra per label; rows only."""
-    clips = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("birdcode"), F.col("embedding").alias("samples"))
-    t = profile_table(clips, 8000, nperseg=32, noverlap=16, low=100.0, high=3900.0)
-    return t.select("birdcode", "n_clips", F.posexplode("specmax").alias("bin", "specmax"))
+    """Median and 90th-percentile spectra per label, clips shorter than a segment among them, against explicit Fourier sums."""
+    y = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 12)).otherwise(F.slice("embedding", 1, 32))
+    clips = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("birdcode"), y.alias("samples"))
+    t = profile_table(clips, _RATE, nperseg=_N, noverlap=_N // 2, low=_LOW, high=_HIGH)
+    z = F.posexplode(F.arrays_zip("freqs", "specmean", "specmax")).alias("bin", "s")
+    return t.select("birdcode", "n_clips", z).select("birdcode", "bin", F.col("s.freqs").alias("freq"), "n_clips", F.round("s.specmean", 6).alias("specmean"),
+                                                     F.round("s.specmax", 6).alias("specmax"))
 
 
-@query("weighted_correlation", "SELECT vec_id // 4 AS call_id, a::INT AS i, b::INT AS j, 0.0::DOUBLE AS tdoa FROM embeddings, range(4) x(a), range(4) y(b) WHERE vec_id % 4 = 0 AND a < b")
+@query("weighted_correlation", "SELECT vec_id AS call_id, 0::INT AS i, 1::INT AS j, 0.0::DOUBLE AS tdoa FROM embeddings")
 def weighted_correlation(spark, d):
     """A flat profile, with and without whitening, leaves a clip correlated with itself at lag zero."""
     from dataclasses import replace
-    first = vector_clips(spark, d).where("recorder = '0'").select("call_id", "samples")
-    same = (vector_clips(spark, d).drop("samples").join(first, "call_id")
+    twice = F.explode(F.array(F.struct(F.lit("a").alias("recorder"), F.lit(0.0).alias("x")), F.struct(F.lit("b").alias("recorder"), F.lit(4500.0).alias("x"))))
+    same = (table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("call_id"), F.col("embedding").alias("samples"), twice.alias("r"))
+            .select("call_id", "samples", "r.*", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
             .withColumn("freqs", F.array(F.lit(0.0), F.lit(0.5))).withColumn("profile", F.array(F.lit(2.0), F.lit(2.0))))
     cfg = LocalizeConfig(rate=1, max_peaks_per_pair=1, fallback_to_max=True)
-    plain = localize.pair_rows(localize.correlate_events(same, cfg))
-    white = localize.pair_rows(localize.correlate_events(same, replace(cfg, use_phat=True)))
+    plain = localize.pair_rows(localize.correlate_events(same, cfg, "call_id"), "call_id")
+    white = localize.pair_rows(localize.correlate_events(same, replace(cfg, use_phat=True), "call_id"), "call_id")
     both = plain.select("call_id", "i", "j", F.col("peaks")[0]["tdoa"].alias("p")).join(
         white.select("call_id", "i", "j", F.col("peaks")[0]["tdoa"].alias("w")), ["call_id", "i", "j"])
     return both.select(F.col("call_id").cast("bigint").alias("call_id"), "i", "j", F.greatest(F.abs("p"), F.abs("w")).alias("tdoa"))

@@ -134,12 +134,7 @@ def clip_species(spark, d):
     return table(spark, d, "part").select("p_partkey", text.species_from_clip_name(p).alias("species"))
 
 
-@query("deepest_first_rank", """SELECT page_id, CAST(row_number() OVER (ORDER BY len(string_split(url, '/')) DESC, url, page_id) AS INT) AS pos FROM pages QUALIFY pos <= 200""")
+@query("deepest_first_rank", """SELECT page_id, row_number() OVER (ORDER BY len(string_split(url, '/')) DESC, url, page_id) AS pos FROM pages""")
 def deepest_first_rank(spark, d):
-    from pyspark.sql import Window
-    from fieldecho.operators.ranking import deepest_first
-    p = table(spark, d, "pages").select("page_id", "url")
-    # a top-k report: the rank runs over the two hundred rows kept
-    top = deepest_first(p, "url", "page_id").limit(200)
-    w = Window.orderBy(F.size(F.split("url", "/")).desc(), "url", "page_id")
-    return top.select("page_id", F.row_number().over(w).alias("pos"))
+    from fieldecho.operators.ranking import deepest_first, positions
+    return positions(deepest_first(table(spark, d, "pages").select("page_id", "url"), "url", "page_id")).select("page_id", "pos")

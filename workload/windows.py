@@ -114,12 +114,9 @@ def median_step(spark, d):
     return stats.median_step(e, ["user_id"], "t", 7 * DAY)
 
 
-@query("custom_order_rank", """SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_totalprice, o_orderkey) AS INT) AS pos
-FROM orders WHERE o_totalprice > 450000 QUALIFY pos <= 500""")
+@query("custom_order_rank", """SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_totalprice, o_orderkey) AS pos
+FROM orders""")
 def custom_order_rank(spark, d):
-    """Sort by a listed order of groups, then by value; the position shows the order."""
-    o = table(spark, d, "orders").where("o_totalprice > 450000").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    top = ranking.custom_order(o, "o_orderpriority", ["5-LOW", "1-URGENT"], "o_totalprice", "o_orderkey").limit(500)
-    from pyspark.sql import Window
-    key = F.when(F.col("o_orderpriority") == "5-LOW", 1).when(F.col("o_orderpriority") == "1-URGENT", 2).otherwise(3)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(key, "o_totalprice", "o_orderkey")).alias("pos"))
+    """Sort all orders by a listed order of groups, then by value; the position shows the order."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranking.positions(ranking.custom_order(o, "o_orderpriority", ["5-LOW", "1-URGENT"], "o_totalprice", "o_orderkey")).select("o_orderkey", "pos")
