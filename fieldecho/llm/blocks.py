@@ -1,10 +1,10 @@
 """Pigeonhole blocks over 64-bit fingerprints: close pairs share a bucket, buckets are worked off in bounded tasks.
 
-A fingerprint is split into ``distance + 2`` blocks. Two fingerprints with at most ``distance``
-differing bits agree on at least two blocks, so every pair of blocks gives one bucket key and each
-close pair meets in some bucket. A bucket of any size is cut into chunks of about ``CHUNK`` rows by
-a hash of the fingerprint, and every two chunks of a bucket meet in one task; small buckets stay
-whole. Inside a task only a spanning forest of the links is produced, never all pairs of a group.
+A fingerprint is split into ``distance + r`` blocks. Two fingerprints with at most ``distance``
+differing bits agree on at least ``r`` blocks, so every choice of ``r`` blocks gives one bucket key
+and each close pair meets in some bucket; more fingerprints take a larger ``r``, which makes more
+but thinner buckets. A bucket of any size is cut into chunks of about ``CHUNK`` rows by a hash of
+the fingerprint, and every two chunks of a bucket meet in one task; small buckets stay whole. Inside a task only a spanning forest of the links is produced, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -17,30 +17,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BITS = 64
+#: Fingerprints that share a bucket on average, at most.
+FULL = 64
 #: Rows of a bucket that one side of a task holds, about.
 CHUNK = 2048
 #: Groups up to this size are compared row against shifted row, all groups of a batch at once.
 SMALL = 6
 
 
-def block_keys(fp: Column, distance: int) -> Column:
-    """Array of bucket keys: for every pair of blocks, the pair's number and both blocks' bits, as one long."""
-    n = distance + 2
-    edges = [BITS * i // n for i in range(n + 1)]
-    part = [F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)]
-    width = max(b - a for a, b in zip(edges, edges[1:]))
-    if 2 * width + 8 > 63:
-        raise ValueError("distance is too small for 64-bit keys")
-    return F.array(*[(F.lit(k) * (1 << (2 * width)) + F.shiftleft(part[i], width) + part[j]).cast("long")
-                     for k, (i, j) in enumerate(combinations(range(n), 2))])
+def layout(distance: int, rows: int) -> tuple[int, int]:
+    """How many blocks a fingerprint is split into, and how many of them make a key: as few as keep buckets of ``rows`` evenly
+    spread fingerprints below ``FULL``. Close pairs agree on at least ``blocks - distance`` blocks, so no choice loses any."""
+    for agree in (1, 2, 3):
+        blocks = distance + agree
+        if rows <= FULL << (agree * (BITS // blocks)):
+            break
+    return blocks, agree
 
 
-def bucketed(rows: DataFrame, distance: int) -> DataFrame:
-    """Rows (``fp`` and anything else, one row per item) dealt to tasks: columns ``key``, ``lo``, ``hi`` name the task.
-    Buckets with one row are left out."""
-    keyed = rows.select("*", F.explode(block_keys(F.col("fp"), distance)).alias("key"))
-    sizes = (rows.select(F.explode(block_keys(F.col("fp"), distance)).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+def block_keys(fp: Column, blocks: int, agree: int) -> Column:
+    """Array of bucket keys: for every choice of blocks, the choice's number and the blocks' bits, as one long."""
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    width = max(b - a for a, b in zip(edges, edges[1:]))
+    part = [F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(blocks)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(blocks), agree)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, width) + part[i]
+        keys.append(key)
+    return F.array(*keys)
+
+
+def in_tasks(rows: DataFrame, key: Column) -> DataFrame:
+    """Rows (``fp`` and anything else, one row per item and key) dealt to tasks: columns ``key``, ``lo``, ``hi`` name the task.
+    Keys with one row are left out."""
+    keyed = rows.withColumn("key", key)
+    sizes = (rows.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").select("_key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks")))
     mine = F.pmod(F.xxhash64("fp"), F.col("_chunks")).cast("int")
     other = F.when(F.col("_chunks") == 1, F.array(F.lit(0))).otherwise(
@@ -128,4 +144,7 @@ def fingerprint_links(fps: DataFrame, distance: int) -> DataFrame:
                 a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return bucketed(fps.select("fp").distinct(), distance).mapInArrow(work, "a long, b long")
+    own = stored(fps.select("fp").distinct(), "distinct-fingerprints")
+    blocks, agree = layout(distance, own.count())
+    keyed = own.select("fp", F.explode(block_keys(F.col("fp"), blocks, agree)).alias("bucket"))
+    return in_tasks(keyed, F.col("bucket")).select("key", "lo", "hi", "fp").mapInArrow(work, "a long, b long")

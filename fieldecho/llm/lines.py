@@ -15,7 +15,6 @@ through.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,25 +24,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import bucketed, fingerprint_links, forest, groups
+from .blocks import fingerprint_links, forest, groups, in_tasks
 from .common import stored
 from .components import components
 
+#: Word hashes whose bits are counted at once.
+STEP = 1 << 16
+
 
 def normalised(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-@lru_cache(maxsize=1 << 16)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+class Hashes(dict):
+    """Hash of a word, remembered; forgets everything when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
 
 
-def line_fingerprint(line: str) -> int:
-    """SimHash of the set of words: a bit is 1 if set in over half of the hashes."""
-    hashes = np.array([_word_hash(w) for w in sorted(set(line.split(" ")))], dtype="<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+def line_fingerprints(norms: list[str], hashes: Hashes) -> np.ndarray:
+    """SimHash of the set of words of each line: a bit is 1 if set in over half of the hashes."""
+    out, at = np.zeros(len(norms), dtype=np.uint64), 0
+    while at < len(norms):
+        flat, starts, first = [], [], at
+        while at < len(norms) and len(flat) < STEP:
+            starts.append(len(flat))
+            flat.extend(map(hashes.__getitem__, set(norms[at].split(" "))))
+            at += 1
+        bits = np.unpackbits(np.array(flat, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        of = np.diff(np.append(starts, len(flat)))[:, None]
+        out[first:at] = np.packbits(2 * ones > of, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def _shared(a: str, b: str) -> int:
@@ -95,25 +111,28 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                            T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("fp", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
-            row, line, h, fp = [], [], [], []
+            row, line, which, place = [], [], [], {}
             for k, text in enumerate(batch.column("text").to_pylist()):
                 for i, raw in enumerate((text or "").split("\n")):
                     norm = normalised(raw)
-                    if norm.count(" ") + 1 >= min_words and norm:
+                    if norm and norm.count(" ") + 1 >= min_words:
                         row.append(k)
                         line.append(i)
-                        h.append(xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass")))
-                        fp.append(line_fingerprint(norm))
-            take = pa.array(row, pa.int64())
+                        which.append(place.setdefault(norm, len(place)))
+            norms = list(place)
+            h = pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in norms], pa.binary())
+            fp = pa.array(line_fingerprints(norms, hashes).view(np.int64))
+            take, which = pa.array(row, pa.int64()), pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(line, pa.int32()),
-                                              pa.array(h, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=fields.names)
+                                              h.take(which), fp.take(which)], names=fields.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(work, fields)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, fp, norm) of the wanted lines, each read from its first occurrence."""
+    """(h, fp, near, norm) of the wanted lines, each read from its first occurrence."""
     @F.pandas_udf("array<string>")
     def pick(texts: pd.Series, lines: pd.Series) -> pd.Series:
         out = []
@@ -123,15 +142,16 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     per = wanted.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.version").alias("_version")).agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "fp")).alias("at"))
+        F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "fp", "near")).alias("at"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     met = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
     got = met.select("at", pick("text", F.col("at.line")).alias("norms"))
-    return got.select(F.explode(F.arrays_zip("at", "norms")).alias("x")).select("x.at.h", "x.at.fp", F.col("x.norms").alias("norm")).dropDuplicates(["h"])
+    return got.select(F.explode(F.arrays_zip("at", "norms")).alias("x")).select("x.at.h", "x.at.fp", "x.at.near", F.col("x.norms").alias("norm")).dropDuplicates(["h"])
 
 
 def _verified(lines: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Links (a, b) between ids of lines that are close in bits and in edits."""
+    """Links (a, b) between ids of lines that are close in bits and in edits. Only lines with equal ``near``, connected by
+    close bits, can be: they meet in one task, or chunk by chunk where they are many."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups(batches):
             fps, ids, norms = t["fp"].to_numpy().view(np.uint64), t["id"].to_numpy(), t["norm"]
@@ -144,7 +164,7 @@ def _verified(lines: DataFrame, distance: int, similarity: float) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    return bucketed(lines.select("fp", "id", "norm"), distance).mapInArrow(work, "a long, b long")
+    return in_tasks(lines.select("near", "fp", "id", "norm"), F.col("near")).select("key", "lo", "hi", "fp", "id", "norm").mapInArrow(work, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
@@ -152,10 +172,11 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int = 3, simil
     occ = stored(occurrences(docs, min_words), "lines")
     distinct = stored(occ.groupBy("h").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.min("fp").alias("fp"),
                                            F.count(F.lit(1)).alias("n")), "distinct-lines")
-    links = fingerprint_links(distinct, distance)
-    met = (links.select(F.explode(F.array("a", "b")).alias("fp"))
-           .unionByName(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")).distinct())
-    lines = stored(_texts(docs, distinct.join(met, "fp", "left_semi")).withColumn("id", F.monotonically_increasing_id()), "candidate-lines")
+    near = components(fingerprint_links(distinct, distance))
+    near = stored(near.unionByName(near.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("fp"), F.col("root").alias("near")), "near-lines")
+    alike = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(near, "fp", "left_anti").select("fp", F.col("fp").alias("near"))
+    met = distinct.join(near.unionByName(alike), "fp")
+    lines = stored(_texts(docs, met).withColumn("id", F.monotonically_increasing_id()), "candidate-lines")
     roots = components(_verified(lines, distance, similarity))
     grouped = lines.select("id", "h").join(roots, "id").select("h", "root")
     grouped = grouped.unionByName(lines.select("h", F.col("id").alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select("h", "root"))
@@ -170,7 +191,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int = 3, simil
 
 
 def deduplicated(docs: DataFrame, min_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``; ``n_lines`` and ``n_dropped`` (long) are added."""
+    """``docs`` with the repeated lines taken out of ``text``; ``n_lines`` and ``n_dropped`` (long) are added or replaced."""
+    docs = docs.drop("n_lines", "n_dropped")
     @F.pandas_udf("string")
     def without(texts: pd.Series, lines: pd.Series) -> pd.Series:
         out = []
