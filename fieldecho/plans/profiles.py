@@ -42,10 +42,10 @@ def profile_table(clips: DataFrame, rate: int, **options) -> DataFrame:
     return stats.withColumnRenamed("n", "n_clips").withColumn("freqs", F.lit(freqs)).select("birdcode", "freqs", "specmean", "specmax", "n_clips")
 
 
-def best_detections(det: DataFrame, top: int = 20, min_prob: float = 0.7, clip_seconds: float = 3.0) -> DataFrame:
-    """Clip requests for the surest detections of each species, on the recorder's true clock."""
-    picked = top_n(det.where(F.col("prob") >= min_prob), ["common_name"],
-                   [F.col("prob").desc(), F.col("file"), F.col("call_datetime")], top)
+def best_detections(det: DataFrame, top: int | None = None, min_prob: float = 0.7, clip_seconds: float = 3.0) -> DataFrame:
+    """Clip requests for the sure detections of each species, with ``top`` the surest so many, on the recorder's true clock."""
+    sure = det.where(F.col("prob") >= min_prob)
+    picked = sure if top is None else top_n(sure, ["common_name"], [F.col("prob").desc(), F.col("file"), F.col("call_datetime")], top)
     offset = (micros(F.col("call_datetime")) - micros(F.col("start_datetime"))) / SECOND
     return (picked.withColumn("birdcode", text.profile_code(F.col("common_name")))
             .withColumn("first_sample", F.bround(offset * true_rate(picked)).cast("bigint"))

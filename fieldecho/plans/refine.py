@@ -1,13 +1,14 @@
 """Refine recorder positions from calls located without them (leave one recorder out).
 
 Each robust least-squares step is one Spark aggregation: every residual row adds its
-share to a 3x3 system per recorder, summed with map-side combine, and only those sums
-reach the driver. No recorder's rows are ever gathered in one place.
+share to a 3x3 system per recorder, summed with map-side combine. The sums stay a table
+from step to step; neither they nor a recorder's rows are gathered in one place.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from ..session import cut_lineage
 from .localize import locate_sources
 
 MIN_RESIDUALS, MIN_RESIDUALS_XY = 10, 6
-# Fixed value: a refinement handles the recorders of the site's arrays, so its driver state is small.
-MAX_RECORDERS = 10_000
+#: A recorder has settled when its step is shorter than this, in metres, or gains no more than this share of the cost.
+SETTLED_M, SETTLED_GAIN = 1e-5, 1e-8
 
 
 def observations(results: DataFrame) -> DataFrame:
@@ -85,80 +86,87 @@ def residual_rows(obs: DataFrame, sources: DataFrame, positions: DataFrame) -> D
                                            F.col("s.t").alias("t"), F.col("c_est").alias("c")))
 
 
-def _sums(rows: DataFrame, params: DataFrame, axes: int, scale: float, loss: str) -> dict:
-    """Normal-equation sums per recorder at the trial positions."""
-    df = rows.join(params, "drop_rid")  # one row per recorder: broadcast by its measured size
-    d = geo.distance(F.col("x_src"), F.col("p"))
-    r = F.col("sign") * (d - F.col("d_other")) / F.col("c") - F.col("t")
-    df = df.withColumn("r", r).withColumn("__d", F.greatest(d, F.lit(1e-9)))
-    jac = [F.col("sign") * (F.col("p")[k] - F.col("x_src")[k]) / F.col("__d") / F.col("c") for k in range(axes)]
-    a = F.abs("r")
+def _systems(rows: DataFrame, places: DataFrame, axes: int, scale: float, loss: str, sigma: float | None) -> DataFrame:
+    """Normal equations per recorder at its place ``q``: drop_rid, cost, g (axes), h (axes x axes, flat), n.
+
+    ``places``: drop_rid, q, x0. One row per recorder, joined by its measured size.
+    """
+    d = geo.distance(F.col("x_src"), F.col("q"))
+    df = rows.join(places.select("drop_rid", "q"), "drop_rid").withColumn("r", F.col("sign") * (d - F.col("d_other")) / F.col("c") - F.col("t"))
+    df = df.withColumn("__d", F.greatest(d, F.lit(1e-9)))
     robust = loss == "huber"
-    w = F.when(a <= scale, F.lit(1.0)).otherwise(F.lit(scale) / a) if robust else F.lit(1.0)
-    rho = (F.when(a <= scale, F.col("r") * F.col("r")).otherwise(2 * scale * a - scale * scale)) if robust else F.col("r") * F.col("r")
-    df = df.withColumn("w", w)
-    for k, j in enumerate(jac):
-        df = df.withColumn(f"j{k}", j)
-    aggs = [F.count("*").alias("n"), (F.sum(rho) / 2).alias("cost")]
-    aggs += [F.sum(F.col("w") * F.col(f"j{k}") * F.col("r")).alias(f"g{k}") for k in range(axes)]
-    aggs += [F.sum(F.col("w") * F.col(f"j{k}") * F.col(f"j{m}")).alias(f"h{k}{m}") for k in range(axes) for m in range(k, axes)]
-    return {row["drop_rid"]: row.asDict() for row in df.groupBy("drop_rid").agg(*aggs).collect()}
+    for k in range(axes):
+        df = df.withColumn(f"j{k}", F.col("sign") * (F.col("q")[k] - F.col("x_src")[k]) / F.col("__d") / F.col("c"))
+
+    def weighed(r):
+        """Weight and loss of a residual."""
+        size = F.abs(r)
+        if not robust:
+            return F.lit(1.0), r * r
+        return F.when(size <= scale, 1.0).otherwise(scale / size), F.when(size <= scale, r * r).otherwise(2 * scale * size - scale * scale)
+
+    w, rho = weighed(F.col("r"))
+    total = lambda c: F.sum(w * c)
+    out = df.groupBy("drop_rid").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(rho) / 2).alias("cost"), F.array(*[total(F.col(f"j{k}") * F.col("r")) for k in range(axes)]).alias("g"),
+        F.array(*[total(F.col(f"j{k}") * F.col(f"j{m}")) for k in range(axes) for m in range(axes)]).alias("h"))
+    if not sigma:
+        return out
+    out = out.join(places, "drop_rid")
+    u = [(F.col("q")[k] - F.col("x0")[k]) / sigma for k in range(axes)]
+    pulls = [weighed(x) for x in u]
+    g = F.array(*[F.col("g")[k] + pulls[k][0] * u[k] / sigma for k in range(axes)])
+    h = F.array(*[F.col("h")[k * axes + m] + (pulls[k][0] / sigma ** 2 if k == m else 0.0) for k in range(axes) for m in range(axes)])
+    return out.select("drop_rid", (F.col("n") + axes).alias("n"), (F.col("cost") + sum(p[1] for p in pulls) / 2).alias("cost"), g.alias("g"), h.alias("h"))
+
+
+def _step_udf(axes: int):
+    """Damped step from a recorder's normal equations, zero on the kept axes."""
+    @F.pandas_udf("array<double>")
+    def step(g: pd.Series, h: pd.Series, lam: pd.Series) -> pd.Series:
+        out = []
+        for gi, hi, li in zip(g, h, lam):
+            m = np.asarray(hi, float).reshape(axes, axes)
+            out.append(np.pad(np.linalg.lstsq(m + np.diag(li * np.maximum(m.diagonal(), 1e-12)), -np.asarray(gi, float), rcond=None)[0], (0, 3 - axes)))
+        return pd.Series(out)
+    return step
 
 
 def refine(rows: DataFrame, positions: DataFrame, loss: str = "huber", f_scale: float = 0.003,
            prior_sigma_m: float | None = None, xy_only: bool = False, steps: int = 25) -> DataFrame:
     """Robust refinement of every dropped recorder at once.
 
-    Returns recorder, x, y, z, x0, y0, z0, cost, n_residuals. Recorders with too few
-    residuals are left out. With ``xy_only`` the height is kept.
+    Returns recorder, x, y, z, x0, y0, z0, cost, n_residuals, converged. Recorders with too
+    few residuals are left out. With ``xy_only`` the height is kept. The state of all
+    recorders is a table, stored after every step; the driver sees how many still move.
+    Those that have not settled after ``steps`` steps come out with ``converged`` false.
     """
-    spark = rows.sparkSession
     axes, need = (2, MIN_RESIDUALS_XY) if xy_only else (3, MIN_RESIDUALS)
-    extra = axes if prior_sigma_m else 0
+    need -= axes if prior_sigma_m else 0
     rows = cut_lineage(rows)
-    enough = rows.groupBy("drop_rid").agg(F.count("*").alias("n")).where(F.col("n") + extra >= need)
-    start = enough.join(positions.withColumnRenamed("recorder", "drop_rid"), "drop_rid").limit(MAX_RECORDERS + 1).collect()
-    if len(start) > MAX_RECORDERS:
-        raise ValueError(f"more than {MAX_RECORDERS} recorders; refine them in parts")
-    x0 = {r["drop_rid"]: np.array([r["x"], r["y"], r["z"]], float) for r in start}
-    schema = "drop_rid string, p array<double>"
-    frame = lambda pos: spark.createDataFrame([(k, v.tolist()) for k, v in pos.items()], schema)
-
-    def system(pos: dict) -> dict:
-        out = {}
-        for rid, s in _sums(rows, frame(pos), axes, f_scale, loss).items():
-            g = np.array([s[f"g{k}"] for k in range(axes)])
-            h = np.array([[s[f"h{min(k, m)}{max(k, m)}"] for m in range(axes)] for k in range(axes)])
-            cost = s["cost"]
-            if prior_sigma_m:
-                u = (pos[rid] - x0[rid])[:axes] / prior_sigma_m
-                big = (np.abs(u) > f_scale) & (loss == "huber")
-                w = np.where(big, f_scale / np.maximum(np.abs(u), 1e-300), 1.0)
-                g, h = g + w * u / prior_sigma_m, h + np.diag(w / prior_sigma_m ** 2)
-                cost += 0.5 * np.where(big, 2 * f_scale * np.abs(u) - f_scale ** 2, u * u).sum()
-            out[rid] = (cost, g, h, s["n"] + extra)
-        return out
-
-    if not x0:
-        return spark.createDataFrame([], "recorder string, x double, y double, z double, x0 double, y0 double, z0 double, cost double, n_residuals bigint")
-    pos, lam = dict(x0), {k: 1e-3 for k in x0}
-    now = system(pos)
+    enough = rows.groupBy("drop_rid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("drop_rid")
+    x0 = F.array("x", "y", "z").cast("array<double>")
+    start = enough.join(positions.withColumnRenamed("recorder", "drop_rid"), "drop_rid").select("drop_rid", x0.alias("x0"))
+    start = start.withColumn("q", F.col("x0"))
+    system = lambda at: _systems(rows, at, axes, f_scale, loss, prior_sigma_m)
+    state = cut_lineage(start.join(system(start), "drop_rid").withColumn("lam", F.lit(1e-3)).withColumn("converged", F.lit(False)))
+    step = _step_udf(axes)
     for _ in range(steps):
-        trial, moved = {}, 0.0
-        for rid, (_, g, h, _) in now.items():
-            step = np.linalg.solve(h + np.diag(lam[rid] * np.maximum(np.diag(h), 1e-12)), -g)
-            trial[rid] = pos[rid] + np.pad(step, (0, 3 - axes))
-            moved = max(moved, np.abs(step).max())
-        new = system(trial)
-        for rid in trial:
-            if new[rid][0] < now[rid][0]:
-                pos[rid], now[rid], lam[rid] = trial[rid], new[rid], lam[rid] / 5
-            else:
-                lam[rid] *= 4
-        if moved < 1e-6:
+        open_ = state.where(~F.col("converged"))
+        if open_.isEmpty():
             break
-    data = [(rid, *map(float, pos[rid]), *map(float, x0[rid]), float(now[rid][0]), int(now[rid][3])) for rid in pos]
-    return spark.createDataFrame(data, "recorder string, x double, y double, z double, x0 double, y0 double, z0 double, cost double, n_residuals bigint")
+        moved = open_.withColumn("s", step("g", "h", "lam"))
+        tried = moved.select("drop_rid", "x0", F.zip_with("q", "s", lambda p, d: p + d).alias("q"))
+        new = system(tried).select("drop_rid", *[F.col(c).alias(f"new_{c}") for c in ("cost", "g", "h")])
+        met = moved.join(new, "drop_rid").join(tried.select("drop_rid", F.col("q").alias("new_q")), "drop_rid")
+        better = F.col("new_cost") < F.col("cost")
+        pick = lambda c: F.when(better, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+        still = (F.array_max(F.transform("s", F.abs)) >= SETTLED_M) & ~(better & (F.col("cost") - F.col("new_cost") <= SETTLED_GAIN * F.col("cost")))
+        met = met.select("drop_rid", "x0", pick("q"), "n", pick("cost"), pick("g"), pick("h"),
+                         F.when(better, F.col("lam") / 5).otherwise(F.col("lam") * 4).alias("lam"), (~still).alias("converged"))
+        state = cut_lineage(met.unionByName(state.where("converged")))
+    named = [F.col(c)[k].alias(n + tail) for c, tail in (("q", ""), ("x0", "0")) for k, n in enumerate("xyz")]
+    return state.select(F.col("drop_rid").alias("recorder"), *named, "cost", F.col("n").cast("bigint").alias("n_residuals"), "converged")
 
 
 def leave_one_out(results: DataFrame, positions: DataFrame, **options) -> DataFrame:

@@ -226,7 +226,7 @@ def perturbation_control(spark, d):
     return out.select("call_id", "perturb", ok.alias("baseline_ok"))
 
 
-@query("leave_one_out", "SELECT 'r' || k AS recorder, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, (SELECT count(*) * 5 FROM customer) AS n_residuals FROM (VALUES "
+@query("leave_one_out", "SELECT 'r' || k AS recorder, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, (SELECT count(*) * 5 FROM customer) AS n_residuals, true AS converged FROM (VALUES "
        + ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(ARRAY)) + ") v(k, x, y, z)")
 def leave_one_out(spark, d):
     """Refine each recorder against calls located without it; the exact positions must stand."""
@@ -234,7 +234,19 @@ def leave_one_out(spark, d):
     res = ev.select(F.col("call_id").cast("string").alias("call_id"), F.array(*[F.lit(f"r{k}") for k in range(6)]).alias("recorders"), F.col("pairs_used").alias("pairs"), "tdoas")
     pos = spark.createDataFrame([(f"r{k}", *r) for k, r in enumerate(ARRAY)], "recorder string, x double, y double, z double")
     out = refine.leave_one_out(res, pos)
-    return out.select("recorder", *[F.round(c, 1).alias(c) for c in "xyz"], "n_residuals")
+    return out.select("recorder", *[F.round(c, 1).alias(c) for c in "xyz"], "n_residuals", "converged")
+
+
+@query("refine_displaced", "SELECT 'r' || k AS recorder, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, (SELECT count(*) * 5 FROM customer) AS n_residuals, true AS converged FROM (VALUES "
+       + ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(ARRAY)) + ") v(k, x, y, z)")
+def refine_displaced(spark, d):
+    """Every recorder starts metres off and must return, its calls being located where they truly were."""
+    ev = exact_events(table(spark, d, "customer"), "c_custkey", "c_custkey", "c_nationkey", F.lit(343.2))
+    obs = ev.select(F.col("call_id").cast("string").alias("call_id"), F.array(*[F.lit(f"r{k}") for k in range(6)]).alias("recorders"), F.col("pairs_used").alias("pairs"), "tdoas")
+    src = ev.select(F.col("call_id").cast("string").alias("call_id"), F.explode(F.array(*[F.lit(f"r{k}") for k in range(6)])).alias("drop_rid"), F.col("src").alias("x_src"), F.col("c").alias("c_est"))
+    at = lambda off: spark.createDataFrame([(f"r{k}", *(v + off * (-1) ** (k + m) for m, v in enumerate(r))) for k, r in enumerate(ARRAY)], "recorder string, x double, y double, z double")
+    out = refine.refine(refine.residual_rows(obs, src, at(0.0)), at(2.0), loss="linear", steps=60)
+    return out.select("recorder", *[F.round(c, 3).alias(c) for c in "xyz"], "n_residuals", "converged")
 
 
 @query("drop_recorder", """SELECT o_orderkey, k::INT AS k, CASE WHEN k = 0 THEN 2.5 WHEN k = 1 THEN 3.5 ELSE 6.5 END::DOUBLE AS t FROM orders, range(3) v(k)""")
