@@ -44,10 +44,14 @@ def append_run(df: DataFrame, path: str, run_id: int) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
 
 
+def newest_rows(runs: DataFrame, key: str = "event_id", then: tuple[str, ...] = ()) -> DataFrame:
+    """Newest row per key of stacked runs; the columns ``then``, largest first, settle rows of one run."""
+    return keep_last(runs, [key], ["run_id", *then])
+
+
 def consolidated(spark: SparkSession, path: str, key: str = "event_id", then: tuple[str, ...] = ()) -> DataFrame:
-    """Newest row per key over all runs; the columns ``then``, largest first, settle rows of one run."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    return keep_last(df, [key], ["run_id", *then])
+    """``newest_rows`` of all stored runs."""
+    return newest_rows(spark.read.option("mergeSchema", True).parquet(path), key, then)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -22,5 +22,5 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from . import (aggregates, arrays, asof, catalog, detections, geometry,  # noqa: F401
+    from . import (aggregates, arrays, asof, catalog, detections, geometry, hard,  # noqa: F401
                    intervals, joins, localization, names, times, windows)
