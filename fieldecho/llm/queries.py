@@ -75,9 +75,9 @@ def op5_simhash(spark, sf_dir):
 
 @query("op6_kd_shards")
 def op6_kd_shards(spark, sf_dir):
-    found = shards.kd_shards(table(spark, sf_dir, "documents"), shards=16)
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    found = shards.kd_shards(docs, shards=16, by=["doc_id", "lang", "source"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op7_packing")

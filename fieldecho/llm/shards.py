@@ -109,9 +109,11 @@ def _split(placed: DataFrame, ranges: list[tuple[float, float]], shards: int) ->
     return moved.unionByName(placed.filter("parts = 1"))
 
 
-def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``shard`` and ``slot`` (from 0 without a gap in each shard). Give the number of shards or the bytes of one."""
-    dims = dimensions(docs)
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``size``, ``shard`` and ``slot`` (from 0 without a gap in each shard). Give the number of shards or the
+    bytes of one. ``by`` names the metadata columns to split along, all but the text if not given. Columns that are not
+    selected from the result, the text among them, are not moved."""
+    dims = dimensions(docs.select("text", *(by if by is not None else [c for c in docs.columns if c != "text"])))
     units = stored(units_of(docs, dims), "units")
     ends = [f(F.col("d")[i]) for i in range(len(dims)) for f in (F.min, F.max)]
     total, rows, *bounds = units.agg(F.sum("w"), F.sum("n"), *ends).first()
