@@ -29,41 +29,47 @@ def gain(y: np.ndarray, mode: str, target: float = 0.99, percentile: float = 99.
 
 def score_files(files: DataFrame, scorer: Scorer, rate: int = 48000, window: float = 3.0, low: float | None = 150.0,
                 high: float = 15000.0, mode: str = "file-percentile", file_col: str = "file") -> DataFrame:
-    """Window rows (file, win_start, win_end, embedding, logits) of each recording.
+    """Window rows (file, win_start, win_end, embedding, logits, error) of each recording. Channels are averaged and samples
+    scaled to [-1, 1]. A recording that cannot be read or scored gives one row with its error and nulls.
 
     ``files``: file, shift (seconds to the wall-clock grid), rate, datalen. ``scorer`` maps
     a batch of windows (n, samples) and the rate to (embeddings, logits). One recording
     is decoded at a time and its windows are streamed out in small batches. Recordings
     are spread one per task slot by their path hash.
     """
-    schema = f"{file_col} string, win_start double, win_end double, embedding array<float>, logits array<float>"
+    schema = f"{file_col} string, win_start double, win_end double, embedding array<float>, logits array<float>, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = int(round(window * rate))
         for pdf in batches:
             for path, shift, own, frames in zip(pdf[file_col], pdf["shift"], pdf["rate"], pdf["datalen"]):
                 try:
-                    y = resample(read_range(path, 0, int(frames)), float(own), rate)
-                except Exception:
-                    continue
-                y = gain(bandpass(y, rate, low, high) if low else y, mode)
-                first = int(round(shift * rate))
-                starts = np.arange(first, max(0, len(y) - w) + 1, w)
-                for k in range(0, len(starts), 64):
-                    part = starts[k:k + 64]
-                    x = np.stack([np.pad(y[s:s + w], (0, max(0, w - len(y[s:s + w])))) for s in part]).astype(np.float32)
-                    if mode == "window-peak":
-                        top = np.abs(x).max(1, keepdims=True)
-                        x = np.where(top > 0, 0.99 * x / np.where(top > 0, top, 1), x)
-                    emb, logits = scorer(x, rate)
-                    yield pd.DataFrame({file_col: path, "win_start": part / rate, "win_end": (part + w) / rate,
-                                        "embedding": list(np.asarray(emb, np.float32)), "logits": list(np.asarray(logits, np.float32))})
+                    yield from windows_of(path, shift, own, frames)
+                except Exception as e:
+                    yield pd.DataFrame([(path, None, None, None, None, f"{type(e).__name__}: {e}")], columns=names)
+
+    names = [file_col, "win_start", "win_end", "embedding", "logits", "error"]
+    w = int(round(window * rate))
+
+    def windows_of(path: str, shift: float, own: int, frames: int) -> Iterator[pd.DataFrame]:
+        y = resample(read_range(path, 0, int(frames), None), float(own), rate)
+        y = gain(bandpass(y, rate, low, high) if low else y, mode)
+        first = int(round(shift * rate))
+        starts = np.arange(first, max(0, len(y) - w) + 1, w)
+        for k in range(0, len(starts), 64):
+            part = starts[k:k + 64]
+            x = np.stack([np.pad(y[s:s + w], (0, max(0, w - len(y[s:s + w])))) for s in part]).astype(np.float32)
+            if mode == "window-peak":
+                top = np.abs(x).max(1, keepdims=True)
+                x = np.where(top > 0, 0.99 * x / np.where(top > 0, top, 1), x)
+            emb, logits = scorer(x, rate)
+            yield pd.DataFrame({file_col: path, "win_start": part / rate, "win_end": (part + w) / rate,
+                                "embedding": list(np.asarray(emb, np.float32)), "logits": list(np.asarray(logits, np.float32)), "error": None})
     return files.repartition(file_col).mapInPandas(run, schema)
 
 
 def detect(files: DataFrame, scorer: Scorer, threshold: float = 0.1, done: DataFrame | None = None, l2: bool = True,
            **options) -> DataFrame:
-    """Sidecar rows of new recordings: file, abs_start_iso, win_start, win_end, embedding, probs.
+    """Sidecar rows of new recordings: file, abs_start_iso, win_start, win_end, embedding, probs, error.
 
     ``files``: file plus header columns. Files in ``done`` or without a parsable start are skipped.
     """
@@ -75,4 +81,4 @@ def detect(files: DataFrame, scorer: Scorer, threshold: float = 0.1, done: DataF
     return (win.withColumn("abs_start_iso", F.date_format(text.parse_filename(F.col("file"))["start_datetime"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
             .withColumn("embedding", arrays.l2_normalize(F.col("embedding")).cast("array<float>") if l2 else F.col("embedding"))
             .withColumn("probs", arrays.sparse_pairs(probs, threshold))
-            .select("file", "abs_start_iso", "win_start", "win_end", "embedding", "probs"))
+            .select("file", "abs_start_iso", "win_start", "win_end", "embedding", "probs", "error"))

@@ -29,33 +29,55 @@ def list_files(spark: SparkSession, roots: list[str], depth: int = 2) -> DataFra
 
     The upper ``depth`` folder levels are read here; what lies below is walked by the
     executors, one task per batch of folders. Spark's own file sources skip empty
-    files, and the marker that hides a folder is usually empty.
+    files, and the marker that hides a folder is usually empty. What could not be read is
+    in ``listing_problems``.
     """
+    return _walk(spark, roots, depth).where("reason IS NULL").drop("reason")
+
+
+def listing_problems(spark: SparkSession, roots: list[str], depth: int = 2) -> DataFrame:
+    """Folders that could not be opened and entries without a file behind them: source, path, reason."""
+    return _walk(spark, roots, depth).where("reason IS NOT NULL").select(F.lit("listing").alias("source"), F.col("file").alias("path"), "reason")
+
+
+def _subfolders(path: str) -> list[str]:
+    try:
+        return [e.path for e in os.scandir(path) if e.is_dir(follow_symlinks=False)]
+    except OSError:
+        return []  # the walk below meets it again and records it
+
+
+def _walk(spark: SparkSession, roots: list[str], depth: int) -> DataFrame:
     frontier, shallow = list(roots), []
     for _ in range(depth):
         shallow += frontier
-        frontier = [e.path for d in frontier for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+        frontier = [p for d in frontier for p in _subfolders(d)]
     work = [(d, False) for d in shallow] + [(d, True) for d in frontier]
     dirs = spark.createDataFrame(work, "path string, deep boolean").repartition(
         max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism)), "path")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file", "dir", "name", "length", "modified"]
+        names = ["file", "dir", "name", "length", "modified", "reason"]
         for pdf in batches:
             rows = []
+            failed = lambda e: rows.append((e.filename, None, None, None, None, type(e).__name__))
             for path, deep in zip(pdf["path"], pdf["deep"]):
-                for folder, _, files in os.walk(path):
+                for folder, _, files in os.walk(path, onerror=failed):
                     for f in files:
                         full = os.path.join(folder, f)
-                        st = os.stat(full)
-                        rows.append((full, folder, f, st.st_size, pd.Timestamp(st.st_mtime_ns // 1000, unit="us")))
+                        try:
+                            st = os.stat(full)
+                        except OSError as e:
+                            failed(e)
+                            continue
+                        rows.append((full, folder, f, st.st_size, pd.Timestamp(st.st_mtime_ns // 1000, unit="us"), None))
                     if len(rows) > 10_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                        yield pd.DataFrame(rows, columns=names).astype({"length": "Int64"})
+                        rows.clear()
                     if not deep:
                         break
-            yield pd.DataFrame(rows, columns=names)
-    return dirs.mapInPandas(walk, "file string, dir string, name string, length bigint, modified timestamp")
+            yield pd.DataFrame(rows, columns=names).astype({"length": "Int64"})
+    return dirs.mapInPandas(walk, "file string, dir string, name string, length bigint, modified timestamp, reason string")
 
 
 def pruned(files: DataFrame, marker: str = MARKER, ignore_case: bool = False) -> DataFrame:
@@ -92,8 +114,8 @@ def wav_header(path: str) -> Column:
     return read(path)
 
 
-def pcm_to_float(raw: bytes, width: int, channels: int, channel: int = 0) -> np.ndarray:
-    """One channel of little-endian PCM as float32 sample values."""
+def pcm_to_float(raw: bytes, width: int, channels: int, channel: int | None = 0) -> np.ndarray:
+    """One channel of little-endian PCM as float32 sample values; without a channel the mean of all, scaled to [-1, 1]."""
     if width == 1:
         a = np.frombuffer(raw, np.uint8).astype(np.float32) - 128
     elif width == 3:
@@ -101,17 +123,18 @@ def pcm_to_float(raw: bytes, width: int, channels: int, channel: int = 0) -> np.
         a = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8).astype(np.float32)
     else:
         a = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32)
-    return a.reshape(-1, channels)[:, channel]
+    a = a.reshape(-1, channels)
+    return a.mean(axis=1) / 2 ** (8 * width - 1) if channel is None else a[:, channel]
 
 
-def read_range(path: str, first: int, count: int) -> np.ndarray:
+def read_range(path: str, first: int, count: int, channel: int | None = 0) -> np.ndarray:
     """``count`` samples from ``first``; positions outside the file are zero."""
     out = np.zeros(count, np.float32)
     with wave.open(path, "rb") as f:
         lo, hi = max(first, 0), min(first + count, f.getnframes())
         if hi > lo:
             f.setpos(lo)
-            out[lo - first:hi - first] = pcm_to_float(f.readframes(hi - lo), f.getsampwidth(), f.getnchannels())
+            out[lo - first:hi - first] = pcm_to_float(f.readframes(hi - lo), f.getsampwidth(), f.getnchannels(), channel)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from .audio import list_files
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet, or CSV by suffix."""
+    """Parquet, or CSV by suffix. Parquet files that cannot be read are passed over; ``parquet_problems`` names them."""
     if path.rstrip("/").endswith(".csv"):
         reader = spark.read.option("header", True)
         return (reader.schema(schema) if schema else reader).csv(path)
@@ -19,6 +21,20 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
+def parquet_problems(files: DataFrame) -> DataFrame:
+    """Of the listed Parquet files those whose footer cannot be read: source, path, reason."""
+    @F.pandas_udf("string")
+    def reason(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> str | None:
+            try:
+                pq.read_metadata(path)
+            except Exception as e:
+                return type(e).__name__
+        return paths.map(one)
+    found = files.select(F.lit("parquet").alias("source"), F.col("file").alias("path"), reason("file").alias("reason"))
+    return found.where("reason IS NOT NULL")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)

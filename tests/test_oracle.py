@@ -6,7 +6,7 @@ import pytest
 import workload
 
 workload.load_all()
-DIR = "/root/testdata/sf0.001"
+DIR, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,9 @@ def con():
 def test_query(spark, con, name):
     df = workload.QUERIES[name](spark, DIR)
     if name in workload.ORACLES:
-        diff = [d for d in oracle.compare(df, con, workload.ORACLES[name]) if d != "oracle is empty"]
+        diff = oracle.compare(df, con, workload.ORACLES[name])
+        if diff == ["oracle is empty"]:  # the smallest tables hold no such row: the next ones must
+            diff = oracle.compare(workload.QUERIES[name](spark, LARGER), oracle.connect(LARGER), workload.ORACLES[name])
         assert not diff
     else:
         assert df.limit(1).count() == 1
@@ -27,6 +29,6 @@ def test_query(spark, con, name):
 def test_entry(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
-    assert df.columns[:3] == ["common_name", "birdcode", "recorder_group"] or "call_id" in df.columns
+    assert {"common_name", "call_id", "event_id", "recorder_group", "sec_us"} <= set(df.columns)
     assert df.limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())

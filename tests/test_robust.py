@@ -120,3 +120,29 @@ def test_short_clips_share_the_frequencies(spark):
     clips = spark.createDataFrame([("w", rng.normal(size=n).tolist()) for n in (5, 20, 64, 200)], "birdcode string, samples array<double>")
     got = profile_table(clips, 8000, nperseg=64, noverlap=32, low=100.0, high=3900.0).first()
     assert len(got["freqs"]) == len(got["specmax"]) == 33 and got["n_clips"] == 4 and got["freqs"][1] == 125.0
+
+
+def test_unreadable_inputs_are_named(spark, tmp_path):
+    from fieldecho.plans import inference
+    from fieldecho.sources import audio, tables
+    root = tmp_path / "in"
+    (root / "a").mkdir(parents=True)
+    spark.range(3).write.parquet(str(root / "good"))
+    (root / "a" / "emb_1.parquet").write_bytes(b"PAR1 cut short")
+    (root / "a" / "gone.wav").symlink_to(root / "nowhere.wav")
+    (root / "a" / "S4A00001_20240101_120000.wav").write_bytes(b"RIFF broken")
+    files = audio.list_files(spark, [str(root)])
+    names = {r["name"] for r in files.collect()}
+    assert "emb_1.parquet" in names and "gone.wav" not in names
+    assert [(r["path"][-8:], r["reason"]) for r in audio.listing_problems(spark, [str(root), str(tmp_path / "none")]).orderBy("path").collect()] == [("gone.wav", "FileNotFoundError"), (str(tmp_path / "none")[-8:], "FileNotFoundError")]
+    bad = tables.parquet_problems(files.where(F.col("name").like("%.parquet"))).collect()
+    assert [r["path"][-15:] for r in bad] == ["a/emb_1.parquet"]
+    waves = files.where(F.col("name").like("S4A%")).select("file").withColumn("rate", F.lit(100)).withColumn("datalen", F.lit(500))
+    got = inference.detect(waves, lambda x, rate: (x, x), rate=100, low=None).collect()
+    assert len(got) == 1 and got[0]["error"].startswith("Error") and got[0]["probs"] is None
+
+
+def test_channels_are_averaged():
+    from fieldecho.sources.audio import pcm_to_float
+    raw = np.array([[16384, -16384], [32767, 32767]], "<i2").tobytes()
+    assert np.allclose(pcm_to_float(raw, 2, 2, None), [0.0, 32767 / 32768]) and pcm_to_float(raw, 2, 2).tolist() == [16384, 32767]
