@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import time
 
 from pyspark.sql import functions as F
 
 from . import sinks
 from .config import load_config
-from .functions import timefn
+from .functions import text, timefn
 from .functions.text import species_from_clip_name
 from .operators.relate import pending
-from .plans import analysis, archive, catalog, deployments, detections, localize, profiles, weather
+from .plans import analysis, archive, catalog, deployments, detections, inference, localize, profiles, weather
 from .session import get_session
 from .sources import audio, tables
 
@@ -101,6 +103,37 @@ def _localize(spark, cfg, a):
     sinks.record_invocation(spark, f"{a.out.rstrip('/')}-invocations")
 
 
+def _infer(spark, cfg, a):
+    """Score recordings not in the manifest; windows are appended in shards, failures among them with their error."""
+    from pyspark import cloudpickle
+    module, _, name = a.scorer.partition(":")
+    home = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(home)  # executors need not have the module
+    files = audio.list_files(spark, a.roots or list(cfg.topdirs)).where(text.has_extension(F.col("file"), "wav"))
+    done = spark.read.json(a.manifest) if tables.exists(spark, a.manifest) else None
+    todo = files.select("file") if done is None else files.select("file").join(done.select("file").distinct(), "file", "left_anti")
+    waves = sinks.stored(todo.withColumn("h", audio.wav_header("file")).select("file", "h.rate", "h.datalen"), f"{a.manifest.rstrip('/')}-steps", "headers",
+                         {"run": time.time_ns()})
+    sinks.write_windows(inference.detect(waves, getattr(home, name), a.threshold, rate=a.rate, low=a.low, mode=a.mode), a.out, a.shard_rows)
+    sinks.write_manifest(waves, a.manifest)
+    sinks.record_invocation(spark, f"{a.out.rstrip('/')}-invocations", scorer=a.scorer)
+
+
+def _prepare(spark, cfg, a):
+    """What localization needs besides the candidates: species profiles from the surest detections, and the speed of sound per call."""
+    req = profiles.best_detections(spark.read.parquet(a.detections), a.top_n, a.min_prob)
+    profiles.profile_table(audio.read_clips(req, cfg.sample_rate, ["birdcode"]), cfg.sample_rate).write.mode("overwrite").parquet(f"{a.out_dir}/profiles")
+    cand = spark.read.parquet(a.candidates)
+    if a.weather:
+        hours = spark.read.parquet(a.weather)
+    else:
+        span = cand.agg(F.date_format(F.min("call_datetime"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("call_datetime"), "yyyy-MM-dd").alias("b"))
+        hours = weather.hourly(tables.fetch_weather(timefn.year_chunks(span, "a", "b").repartition("year"), cfg.lat, cfg.lon).select("hourly"), cfg.timezone, "hrrr")
+        hours.write.mode("overwrite").parquet(f"{a.out_dir}/weather")
+        hours = spark.read.parquet(f"{a.out_dir}/weather")
+    weather.attach_speed(cand, hours).write.mode("overwrite").parquet(f"{a.out_dir}/candidates")
+
+
 def _sun(spark, cfg, a):
     timefn.sun_table(spark, a.lat or cfg.lat, a.lon or cfg.lon, a.date_start, a.date_end).write.mode("overwrite").parquet(a.out)
 
@@ -160,6 +193,9 @@ def parser() -> argparse.ArgumentParser:
             ("--recorder-types", many), ("--winsize", num(5.0)), ("--dt-in-win", num(1.0)), ("--qualcut", num(0.1)), ("--limit", whole(None)),
             ("--max-peaks-per-pair", whole(None)), ("--fixed-speed", flag), ("--max-outlier-pairs", whole(None)), ("--outlier-shallow-cap", whole(2)),
             ("--most-blocks", whole(None)), ("--utm-zone", whole(15)), ("--run-id", whole(1)), ("--retry-errors", flag))
+    command("infer", _infer, ("--scorer", req), ("--out", req), ("--manifest", req), ("--roots", many), ("--threshold", num(0.1)), ("--rate", whole(48000)),
+            ("--low", num(150.0)), ("--mode", {"default": "file-percentile", "choices": list(inference.NORMALIZATIONS)}), ("--shard-rows", whole(200_000)))
+    command("prepare", _prepare, ("--candidates", req), ("--detections", req), ("--out-dir", req), ("--weather", {}), ("--top-n", whole(20)), ("--min-prob", num(0.9)))
     command("sun", _sun, ("--out", req), ("--lat", num(None)), ("--lon", num(None)), ("--date-start", req), ("--date-end", req))
     command("archive", _archive, ("--scan", req), ("--catalog", {}), ("--zones", {}), ("--moves", {}))
     command("ingest", _ingest, ("--card", req), ("--dest", req), ("--jobs", {}))

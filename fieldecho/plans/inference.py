@@ -71,12 +71,16 @@ def detect(files: DataFrame, scorer: Scorer, threshold: float = 0.1, done: DataF
            **options) -> DataFrame:
     """Sidecar rows of new recordings: file, abs_start_iso, win_start, win_end, embedding, probs, error.
 
-    ``files``: file plus header columns. Files in ``done`` or without a parsable start are skipped.
+    ``files``: file plus header columns. Files in ``done`` are skipped; one without a parsable start or without samples
+    gives a row with that error.
     """
     todo = files if done is None else files.join(done.select("file").distinct(), "file", "left_anti")
     start = text.parse_filename(F.col("file"))["start_datetime"]
-    todo = todo.withColumn("__start", start).where("__start IS NOT NULL AND datalen > 0").withColumn("shift", timefn.seconds_to_grid(F.col("__start")))
-    win = score_files(todo.select("file", "shift", "rate", "datalen"), scorer, **options)
+    todo = todo.withColumn("__start", start)
+    why = F.when(F.col("__start").isNull(), "no start in the name").when(F.coalesce("datalen", F.lit(0)) <= 0, "no samples")
+    lost = todo.select("file", why.alias("error")).where("error IS NOT NULL")
+    todo = todo.where(why.isNull()).withColumn("shift", timefn.seconds_to_grid(F.col("__start")))
+    win = score_files(todo.select("file", "shift", "rate", "datalen"), scorer, **options).unionByName(lost, allowMissingColumns=True)
     probs = F.transform("logits", lambda x: (1 / (1 + F.exp(-x.cast("double")))))
     return (win.withColumn("abs_start_iso", F.date_format(text.parse_filename(F.col("file"))["start_datetime"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
             .withColumn("embedding", arrays.l2_normalize(F.col("embedding")).cast("array<float>") if l2 else F.col("embedding"))
