@@ -37,17 +37,17 @@ def sidecar_rows(raw: DataFrame, files: DataFrame) -> DataFrame:
             .withColumn("kmeta_gps", F.when(F.col("kmeta_recorder").isNotNull(), part(3) == "$"))
             .withColumn("kmeta_datetime", F.try_to_timestamp(
                 F.concat(F.date_format("DATE", "yyyyMMdd"), F.lit("_"), F.replace("TIME", F.lit(":"), F.lit("")), F.lit(text.FIXED_CLOCK_OFFSET)),
-                F.lit("yyyyMMdd_HHmmssxx")))
-            .withColumn("__row", F.monotonically_increasing_id()))
+                F.lit("yyyyMMdd_HHmmssxx"))))
+    row = ["meta_dir", "FOLDER", "IN FILE"]  # what the search depends on: rows that share it find the same file
     at = F.try_to_timestamp(F.concat_ws("_", "__d", "__t"), F.lit("yyyyMMdd_HHmmss"))
     tries = (base.where("kmeta_recorder IS NOT NULL").withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(3))))
              .withColumn("__s", F.date_format(F.timestamp_micros(F.unix_micros(at) + F.col("__k") * timefn.SECOND), "HHmmss")))
     name = lambda ch: F.concat("kmeta_recorder", F.lit(f"_{ch}_"), "__d", F.lit("_"), "__s", F.lit("_000.wav"))
     folder = F.when(F.col("FOLDER") == "", F.col("meta_dir")).otherwise(F.concat_ws("/", "meta_dir", "FOLDER"))
     found = (tries.withColumn("file", F.concat_ws("/", folder, name(0))).join(files.select("file"), "file", "left_semi")
-             .select("__row", "__k", name(0).alias("wavfile0"), name(1).alias("wavfile1")))
-    best = keep_first(found, ["__row"], [F.col("__k")]).drop("__k")
-    return (base.join(best, "__row", "left")
+             .select(*row, "__k", name(0).alias("wavfile0"), name(1).alias("wavfile1")))
+    best = keep_first(found, row, [F.col("__k")]).drop("__k")
+    return (base.join(best, row, "left")
             .select("meta_dir", F.col("IN FILE").alias("sourcefile"), F.col("DURATION").alias("kmeta_duration"), "kmeta_datetime",
                     "kmeta_recorder", "kmeta_gps", F.col("LONGITUDE").alias("kmeta_longitude"), F.col("LATITUDE").alias("kmeta_latitude"),
                     F.coalesce("wavfile0", F.when(F.col("kmeta_recorder").isNotNull(), F.lit(""))).alias("wavfile0"),
@@ -61,11 +61,22 @@ def read_sidecars(files: DataFrame, name: str = "meta.csv") -> DataFrame:
     schema = "FOLDER string, `IN FILE` string, DATE date, TIME string, DURATION double, LONGITUDE double, LATITUDE double"
     if not paths:
         return spark.createDataFrame([], f"{schema}, meta_dir string")
-    header = spark.read.option("header", True).csv(paths)
+    header = None
+    for group in _by_header(spark, paths):  # a file with other columns, or in another order, is read by its own names
+        part = spark.read.option("header", True).csv(group)
+        part = part.select("*", text.dirname(F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")).alias("meta_dir"))
+        header = part if header is None else header.unionByName(part, allowMissingColumns=True)
     cols = {"DATE": "date", "DURATION": "double", "LONGITUDE": "double", "LATITUDE": "double"}
-    return header.select(
-        *[(F.col(f"`{c}`").try_cast(cols.get(c, "string"))).alias(c) for c in ("FOLDER", "IN FILE", "DATE", "TIME", "DURATION", "LONGITUDE", "LATITUDE")],
-        text.dirname(F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")).alias("meta_dir"))
+    names = ("FOLDER", "IN FILE", "DATE", "TIME", "DURATION", "LONGITUDE", "LATITUDE")
+    value = lambda c: F.col(f"`{c}`") if c in header.columns else F.lit(None).cast("string")
+    return header.select(*[value(c).try_cast(cols.get(c, "string")).alias(c) for c in names], "meta_dir")
+
+
+def _by_header(spark, paths: list[str]) -> list[list[str]]:
+    """The files grouped by their header line; as many groups as there are kinds of recorder firmware."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    first = rows.withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    return [sorted(r["files"]) for r in first.groupBy("head").agg(F.collect_list("file").alias("files")).collect()]
 
 
 def unpivot_sidecar(rows: DataFrame) -> DataFrame:

@@ -122,7 +122,8 @@ def deployments_from(raw: DataFrame, zone: str, order: str = "ord") -> DataFrame
 
 def read_deployments(spark: SparkSession, path: str, zone: str) -> DataFrame:
     """Deployment CSV; header names are matched without regard to case. File order is kept in ``ord``."""
-    raw = spark.read.option("header", True).csv(path)
+    # read whole, not in splits: the numbering below then follows the lines
+    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
     raw = raw.toDF(*[c.lower() for c in raw.columns])
     keep = [c for c in ("recorder", "recorder_group", "begin", "end", "status", "mount", "height_above_ground",
                         "longitude", "latitude", "elevation_m", "z") if c in raw.columns]
