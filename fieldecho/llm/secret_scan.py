@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: The patterns every scan includes.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -244,21 +246,26 @@ def labelled_windows(text: str) -> list[tuple[list[str], list[int], int]]:
 
 
 def training_windows(docs: DataFrame) -> list[tuple[list[str], list[int], int]]:
-    """Windows from at most ``SAMPLE`` documents with a match of a pattern and as many without, chosen by a hash of the text."""
+    """Windows from at most ``SAMPLE`` different texts with a match of a pattern and as many without.
+
+    The hash of a text deals it to one of ``SAMPLE`` places, and each place keeps its smallest hash; only hashes are
+    aggregated, and the few texts that own one are then looked up."""
     held = F.col("text").rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}""") | F.col("text").rlike(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}")
 
     @F.pandas_udf("array<struct<tokens:array<string>,tags:array<int>,kind:int>>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"tokens": a, "tags": b, "kind": c} for a, b, c in labelled_windows(t)] for t in texts])
 
-    marked = docs.filter("text is not null").select("text", held.alias("held"), F.xxhash64("text").alias("_order"))
-    sample = [marked.filter(F.col("held") == side).orderBy("_order", "text").limit(SAMPLE) for side in (True, False)]
-    rows = sample[0].unionByName(sample[1]).select(F.explode(cut("text")).alias("w")).select("w.*").collect()
+    known = docs.filter("text is not null").select("text", F.xxhash64("text").alias("_h"))
+    chosen = known.groupBy(held.alias("held"), F.pmod("_h", F.lit(SAMPLE)).alias("place")).agg(F.min("_h").alias("_least")).select("_least").distinct()
+    texts = known.join(F.broadcast(chosen), F.col("_h") == F.col("_least")).groupBy("_h").agg(F.min("text").alias("text"))  # at most 2 * SAMPLE rows
+    rows = texts.select(F.explode(cut("text")).alias("w")).select("w.*").collect()
     return sorted((list(r["tokens"]), list(r["tags"]), r["kind"]) for r in rows)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): all spans of every document as (kind, start, end), sorted by start and then kind."""
+    text_batches(docs.sparkSession)
     windows = training_windows(docs)
     model = train(windows) if any(any(w[1]) for w in windows) else None
 
