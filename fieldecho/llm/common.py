@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from fieldecho.session import use_checkpoint_dir
 
 
+#: Rows of whole texts that one Arrow batch holds at most.
+BATCH = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH`` rows unless they are smaller: a batch of texts is held several times
+    over, by the JVM and by its Python worker. The setting stays, since results are computed after the call returns."""
+    rows = int(spark.conf.get(_BATCH_CONF))
+    if rows <= 0 or rows > BATCH:
+        spark.conf.set(_BATCH_CONF, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

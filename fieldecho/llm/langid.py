@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_batches
 
 #: Hashed n-grams of 1 to ORDER letters share so many places.
 PLACES, ORDER = 1 << 13, 3
@@ -118,6 +118,7 @@ def bit_weights(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, label: str, train: Column, ambiguous_below: float = 0.1) -> DataFrame:
     """``docs`` without ``text`` and with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``, learned from the rows where
     ``train`` holds."""
+    text_batches(docs.sparkSession)
     rows = docs.withColumn("_train", train)
     languages, counts = learn(rows.filter("_train"), label)
     code = codebook(len(languages))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import numbered, stored
+from .common import numbered, stored, text_batches
 
 #: Rows that one numbering task sorts, about.
 PER_TASK = 100_000
@@ -40,25 +40,28 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 @lru_cache(maxsize=2)
-def _encoders(path: str):
-    """The tokenizer of a byte-level BPE file, and a faster encoder with the same vocabulary."""
-    slow = Tokenizer.from_file(path)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> tiktoken.Encoding:
+    """A faster encoder with the vocabulary of a byte-level BPE file."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return slow, tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(text: str, path: str) -> list[int]:
     """Token ids as ``tokenizers`` gives them without special tokens added. Texts of long-settled characters take the
     faster encoder; the rest, whose character classes depend on the Unicode version, take ``tokenizers`` itself."""
-    slow, fast = _encoders(path)
     if LATER.search(text) or BLANKS in text:
-        return slow.encode(text, add_special_tokens=False).ids
-    return fast.encode(text, allowed_special="all")
+        return _tokenizer(path).encode(text, add_special_tokens=False).ids
+    return _encoder(path).encode(text, allowed_special="all")
 
 
 def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -141,6 +144,7 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, keep_ids: bool = False) -> DataFrame:
     """Pieces with their place: ``sequence_id`` and ``offset``, from 0 without a gap."""
     spark = docs.sparkSession
+    text_batches(spark)
     cut = stored(pieces(docs, path, size, end, keep_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     fields = ("length", "lo", "hi", "each", "first_sequence", "first_offset")

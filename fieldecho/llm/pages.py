@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_batches
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)
     | <(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*+)>
@@ -242,6 +242,7 @@ def winners(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, path, text) of every page; ``path`` is the host's winning path."""
+    text_batches(pages.sparkSession)
     won = stored(winners(pages), "paths-of-hosts").withColumnRenamed("host", "_host")
     n, chars = won.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("path") + F.length("_host")), F.lit(0))).first()
     if n <= BROADCAST_HOSTS and chars <= BROADCAST_CHARS:

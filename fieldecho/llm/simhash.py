@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import fingerprint_links
-from .common import stored
+from .common import stored, text_batches
 from .components import components
 
 SEED = 42
@@ -51,6 +51,7 @@ def fingerprints(words: int):
 
 def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
+    text_batches(docs.sparkSession)
     fps = stored(docs.select("doc_id", fingerprints(words)(F.col("text")).alias("fp")), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(fingerprint_links(fps, distance)).select(F.col("id").alias("fp"), "root")
