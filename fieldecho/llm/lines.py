@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 A line is what stands between two ``\\n``. It is normalised by lower-casing and by turning white
-space into single spaces. Lines of fewer than ``min_words`` words are left alone. Equal normalised
-lines are one line; different ones are linked if the SimHashes of their word sets differ in at
+space (ASCII) into single spaces. Lines of fewer than ``min_words`` words are left alone. Equal normalised
+lines are one line; different ones are linked if the SimHashes of their words differ in at
 most ``distance`` bits and their edit similarity, one minus the edit distance over the longer
 length in characters, is ``similarity`` or more. Of each connected group the first occurrence by
 (doc_id, text hash, line number) stays and every other one goes.
@@ -15,6 +15,7 @@ through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,42 +25,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bits import majority, spread
 from .blocks import fingerprint_links, forest, groups, in_tasks
-from .common import stored
+from .common import stored, text_batches
 from .components import components
 
-#: Word hashes whose bits are counted at once.
-STEP = 1 << 16
+#: Bytes of text whose words are hashed at once, about, and documents taken from a batch at once.
+STEP, ROWS = 1 << 18, 256
+#: A word's hash is a polynomial in this odd number over its bytes, modulo 2 ** 64, and then mixed.
+BASE = 0x9E3779B97F4A7C15
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _bytes(line: str) -> bytes:
+    return line.lower().encode("utf-8", "surrogatepass")
 
 
 def normalised(line: str) -> str:
-    return " ".join(line.lower().split())
+    """Lower case, runs of ASCII white space as one blank, none at the ends."""
+    return b" ".join(_bytes(line).split()).decode("utf-8", "surrogatepass")
 
 
-class Hashes(dict):
-    """Hash of a word, remembered; forgets everything when it has grown large."""
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` from 0 to n, and of its inverse modulo 2 ** 64."""
+    def row(base: int) -> np.ndarray:
+        return np.cumprod(np.append(np.uint64(1), np.full(n, base, dtype=np.uint64)), dtype=np.uint64)
+    return row(BASE), row(pow(BASE, -1, 2**64))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
 
+def line_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines, in order, how many words each line has, and where lines begin (with an end mark).
 
-def line_fingerprints(norms: list[str], hashes: Hashes) -> np.ndarray:
-    """SimHash of the set of words of each line: a bit is 1 if set in over half of the hashes."""
-    out, at = np.zeros(len(norms), dtype=np.uint64), 0
-    while at < len(norms):
-        flat, starts, first = [], [], at
-        while at < len(norms) and len(flat) < STEP:
-            starts.append(len(flat))
-            flat.extend(map(hashes.__getitem__, set(norms[at].split(" "))))
-            at += 1
-        bits = np.unpackbits(np.array(flat, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        of = np.diff(np.append(starts, len(flat)))[:, None]
-        out[first:at] = np.packbits(2 * ones > of, axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    A word's hash comes from differences of running sums, so words cost no Python objects."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    up, down = _powers(1 << max(18, len(raw).bit_length()))
+    running = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], dtype=np.uint64))
+    word = np.concatenate(([False], ~BLANK[data], [False]))
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    h = (running[end] - running[start]) * down[start]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(33)
+    lines = np.concatenate(([0], np.flatnonzero(data == 10) + 1, [len(data) + 1]))
+    return h, np.diff(np.searchsorted(start, lines)), lines
 
 
 def _shared(a: str, b: str) -> int:
@@ -111,22 +121,28 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                            T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("fp", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            row, line, which, place = [], [], [], {}
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                for i, raw in enumerate((text or "").split("\n")):
-                    norm = normalised(raw)
-                    if norm and norm.count(" ") + 1 >= min_words:
-                        row.append(k)
-                        line.append(i)
-                        which.append(place.setdefault(norm, len(place)))
-            norms = list(place)
-            h = pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in norms], pa.binary())
-            fp = pa.array(line_fingerprints(norms, hashes).view(np.int64))
-            take, which = pa.array(row, pa.int64()), pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(line, pa.int32()),
-                                              h.take(which), fp.take(which)], names=fields.names)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            texts = [_bytes(t or "") for t in batch.column("text").to_pylist()]
+            at = 0
+            while at < len(texts):
+                first, held = at, 0
+                while at < len(texts) and held < STEP:
+                    held += len(texts[at]) + 1
+                    at += 1
+                raw = b"\n".join(texts[first:at])
+                hashes, n_words, lines = line_words(raw)
+                kept = np.flatnonzero(n_words >= min_words)
+                if not len(kept):
+                    continue
+                row = np.repeat(np.arange(first, at), [t.count(b"\n") + 1 for t in texts[first:at]])
+                line = np.arange(len(row)) - np.searchsorted(row, row)
+                chosen = np.repeat(n_words >= min_words, n_words)
+                own = n_words[kept]
+                fp = majority(spread(hashes[chosen]), np.cumsum(own) - own)
+                h = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].split())) for a, b in zip(lines[kept].tolist(), (lines[kept + 1] - 1).tolist())]
+                take = pa.array(row[kept])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(line[kept].astype(np.int32)),
+                                                  pa.array(h, pa.binary()), pa.array(fp.view(np.int64))], names=fields.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(work, fields)
 
@@ -169,6 +185,7 @@ def _verified(lines: DataFrame, distance: int, similarity: float) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
     """(doc_id, version, lines): the numbers of the lines that go, for documents that lose any."""
+    text_batches(docs.sparkSession)
     occ = stored(occurrences(docs, min_words), "lines")
     distinct = stored(occ.groupBy("h").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.min("fp").alias("fp"),
                                            F.count(F.lit(1)).alias("n")), "distinct-lines")

@@ -107,11 +107,29 @@ def test_edit_distance(seed):
     assert lines.edit_distance(a, b) == row[-1]
 
 
+def plain_line_fingerprint(norm):
+    hs = []
+    for w in norm.encode().split(b" "):
+        h = sum((c + 1) * pow(lines.BASE, k, 2**64) for k, c in enumerate(w)) % 2**64
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor % 2**64
+        hs.append(h ^ h >> 33)
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_words_of_lines_at_any_offset():
+    text = "\n".join(["", "a b  c\td", " e ", "", "été  ǈ x", "\r\x0b"] * 5)
+    hashes, n_words, starts = lines.line_words(text.encode())
+    assert n_words.tolist() == [len(x.encode().split()) for x in text.split("\n")] and len(starts) == len(n_words) + 1
+    words = text.encode().split()
+    assert len(set(hashes.tolist())) == len(set(words)) and all((hashes == h).sum() == words.count(w) for w, h in zip(words, hashes))
+
+
 def plain_lines(docs):
     """docs: rows (doc_id, text). The (doc_id, text, line number)s that go."""
-    occ = [(d, x, i, lines.normalised(line)) for d, x in docs for i, line in enumerate((x or "").split("\n")) if len(line.split()) >= 5]
+    occ = [(d, x, i, lines.normalised(line)) for d, x in docs for i, line in enumerate((x or "").split("\n")) if len(line.encode().split()) >= 5]
     norms = sorted({o[3] for o in occ})
-    fps = [int(f) for f in lines.line_fingerprints(norms, lines.Hashes())]
+    fps = [plain_line_fingerprint(n) for n in norms]
     pairs = [(i, j) for i in range(len(norms)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3 and lines.similar(norms[i], norms[j], 0.8)]
     group = roots_of(pairs, range(len(norms)))
     where = {n: group[i] for i, n in enumerate(norms)}
@@ -167,3 +185,13 @@ def test_group_reader_carries_over():
     got = [(part["fp"].to_pylist(), e.tolist()) for part, e in blocks.groups(iter(t.to_batches(max_chunksize=4)))]
     flat = [p[a:b] for p, e in got for a, b in zip(e, e[1:])]
     assert flat == [[0, 1, 2], [3], [4, 5, 6, 7, 8, 9], [10, 11]]
+
+
+def test_majority_of_bits():
+    from fieldecho.llm.bits import majority, spread
+    rng = np.random.default_rng(0)
+    sizes = [1, 2, 255, 256, 1000, 3, 510]
+    hashes = rng.integers(0, 2**64, sum(sizes), dtype=np.uint64)
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[a:a + n]) > n) for a, n in zip(starts, sizes)]
+    assert majority(spread(hashes), starts).tolist() == want
