@@ -4,7 +4,7 @@ A fingerprint is split into ``distance + r`` blocks. Two fingerprints with at mo
 differing bits agree on at least ``r`` blocks, so every choice of ``r`` blocks gives one bucket key
 and each close pair meets in some bucket; more fingerprints take a larger ``r``, which makes more
 but thinner buckets. A bucket of any size is cut into chunks of about ``CHUNK`` rows by a hash of
-the fingerprint, and every two chunks of a bucket meet in one task; small buckets stay whole. Inside a task only a spanning forest of the links is produced, never all pairs of a group.
+what tells its rows apart, and every two chunks of a bucket meet in one task; small buckets stay whole. Inside a task only a spanning forest of the links is produced, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -52,13 +52,13 @@ def block_keys(fp: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def in_tasks(rows: DataFrame, key: Column) -> DataFrame:
-    """Rows (``fp`` and anything else, one row per item and key) dealt to tasks: columns ``key``, ``lo``, ``hi`` name the task.
-    Keys with one row are left out."""
+def in_tasks(rows: DataFrame, key: Column, own: str = "fp") -> DataFrame:
+    """Rows (one per item and key) dealt to tasks: columns ``key``, ``lo``, ``hi`` name the task. ``own`` is the column that
+    tells the items of a key apart, so that no chunk gets more than its share. Keys with one row are left out."""
     keyed = rows.withColumn("key", key)
     sizes = (rows.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").select("_key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks")))
-    mine = F.pmod(F.xxhash64("fp"), F.col("_chunks")).cast("int")
+    mine = F.pmod(F.xxhash64(own), F.col("_chunks")).cast("int")
     other = F.when(F.col("_chunks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: c != F.col("_mine")))
     dealt = (keyed.join(sizes, F.col("key") == F.col("_key")).withColumn("_mine", mine).withColumn("_other", F.explode(other))

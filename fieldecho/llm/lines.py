@@ -180,7 +180,7 @@ def _verified(lines: DataFrame, distance: int, similarity: float) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    return in_tasks(lines.select("near", "fp", "id", "norm"), F.col("near")).select("key", "lo", "hi", "fp", "id", "norm").mapInArrow(work, "a long, b long")
+    return in_tasks(lines.select("near", "fp", "id", "norm"), F.col("near"), "id").select("key", "lo", "hi", "fp", "id", "norm").mapInArrow(work, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
