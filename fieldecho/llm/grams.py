@@ -1,0 +1,175 @@
+"""Similar sets of hashes: sketches of minima find candidates, the caller's exact check decides.
+
+A hash falls into one of ``BINS`` bins and each bin keeps its smallest, so two sets agree in a bin about as often as their
+Jaccard similarity. Every ``ROWS`` bins side by side make a bucket key. Rows that share a bucket and agree in a share of their
+bins are candidates; only those are joined with what the exact check reads. A pair is a candidate in the first bucket that
+it shares, so that it is checked there and not in every other one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .blocks import groups, in_tasks
+from .common import stored
+
+BINS, ROWS = 32, 2
+KEYS = BINS // ROWS
+#: Groups up to this size are compared row against shifted row, all groups of a batch at once.
+SMALL = 32
+#: Pairs that are compared at once.
+STEP = 1 << 18
+LINKS = "a long, b long"
+Check = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def sketches(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per row 16 bits of the smallest hash in each bin, 0 where a bin is empty. ``row`` says whose a hash is."""
+    least = np.full(rows * BINS, 2**64 - 1, dtype=np.uint64)
+    np.minimum.at(least, row * BINS + (hashes >> np.uint64(59)).astype(np.int64), hashes)
+    held = np.maximum(least & np.uint64(0xFFFF), np.uint64(1))
+    return np.where(least == np.uint64(2**64 - 1), np.uint64(0), held).astype("<u2").reshape(rows, BINS)
+
+
+def binary(sketch: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in sketch], pa.binary())
+
+
+def _read(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, BINS)
+
+
+def _near(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Whether rows agree in ``share`` of the bins that either fills."""
+    return ((a == b) & (a != 0)).sum(axis=1) >= share * np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the first bucket key that rows share."""
+    same = ((a == b).reshape(-1, KEYS, ROWS)).all(axis=2) & (a.reshape(-1, KEYS, ROWS) != 0).any(axis=2)
+    return same.argmax(axis=1)
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = _read(batch["sketch"]).reshape(-1, KEYS, ROWS).astype(np.uint64)
+            at, k = np.nonzero((held != 0).any(axis=2))
+            key = np.full(len(at), 0, dtype=np.uint64) + k.astype(np.uint64)
+            for j in range(ROWS):
+                key = (key << np.uint64(16)) | held[at, k, j]
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["id"].take(take), batch["sketch"].take(take)], ["bucket", "id", "sketch"])
+
+    return rows.select("id", "sketch").mapInArrow(work, "bucket long, id long, sketch binary")
+
+
+def forest(n: int, agrees: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Spanning forest over n nodes, as (index, newly reached indexes); ``agrees`` checks an index against others."""
+    left = np.arange(n)
+    while len(left) > 1:
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            u = stack.pop()
+            hit = agrees(u, left)
+            new = left[hit]
+            if len(new):
+                yield u, new
+                stack.extend(new.tolist())
+                left = left[~hit]
+
+
+def _candidates(rows: DataFrame, share: float) -> DataFrame:
+    """(cluster, id): in each task of a bucket, the connected groups of candidates."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edges in groups(batches):
+            held, ids, key = _read(t["sketch"]), t["id"].to_numpy(), t["key"].to_numpy()
+            lo, hi = t["lo"].to_numpy(), t["hi"].to_numpy()
+            which = (key.view(np.uint64) >> np.uint64(16 * ROWS)).astype(np.int64)
+            size = np.diff(edges)
+            group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
+            root, met = np.arange(len(ids)), np.zeros(len(ids), dtype=bool)
+            left, right = [], []
+            for lag in range(1, min(SMALL, len(ids))):
+                at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
+                if not len(at):
+                    break
+                for i in range(0, len(at), STEP):
+                    part = at[i:i + STEP]
+                    a, b = held[part], held[part + lag]
+                    ok = np.flatnonzero(_near(a, b, share))
+                    ok = ok[_first_shared(a[ok], b[ok]) == which[part[ok]]]
+                    left.append(part[ok])
+                    right.append(part[ok] + lag)
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                while True:  # the smallest index spreads over the links
+                    before = root.copy()
+                    np.minimum.at(root, a, root[b])
+                    np.minimum.at(root, b, root[a])
+                    root = root[root]
+                    if (root == before).all():
+                        break
+                met[a] = met[b] = True
+            for g in np.flatnonzero(size > SMALL):
+                at, own = edges[g], held[edges[g]:edges[g + 1]]
+                first = which[at]
+
+                def agrees(u: int, js: np.ndarray, own=own, first=first) -> np.ndarray:
+                    hit = _near(own[js], own[u][None], share)
+                    some = np.flatnonzero(hit)
+                    hit[some] = _first_shared(own[js[some]], np.broadcast_to(own[u], (len(some), BINS))) == first
+                    return hit
+                for u, new in forest(len(own), agrees):
+                    root[at + new] = root[at + u]
+                    met[at + u] = met[at + new] = True
+            at = np.flatnonzero(met)
+            if len(at):
+                name = [xxhash.xxh64_intdigest(np.array(x, dtype=np.int64).tobytes()) for x in zip(key[at].tolist(), lo[at].tolist(), hi[at].tolist(), ids[root[at]].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(name, dtype=np.uint64).view(np.int64)), pa.array(ids[at])], ["cluster", "id"])
+
+    dealt = in_tasks(_buckets(rows), F.col("bucket"), "id")
+    return dealt.select("key", "lo", "hi", "id", "sketch").mapInArrow(work, "cluster long, id long")
+
+
+def similar_links(rows: DataFrame, bodies: Callable[[DataFrame], DataFrame], check: Check, share: float) -> DataFrame:
+    """Links (a, b) that connect the ids of ``rows`` (id, sketch) as all candidates that pass the check would. ``bodies`` makes
+    (id, body) for a frame of distinct ids; ``check`` takes the bodies of a group and returns a test of one against others."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edges in groups(batches):
+            ids, all_held = t["id"].to_numpy(), _read(t["sketch"])
+            left, right = [], []
+            for a, b in zip(edges, edges[1:]):
+                held, exact = all_held[a:b], check(t["body"].slice(a, b - a).to_pylist())
+
+                def agrees(u: int, js: np.ndarray, held=held, exact=exact) -> np.ndarray:
+                    hit = _near(held[js], held[u][None], share)
+                    some = np.flatnonzero(hit)
+                    if len(some):
+                        hit[some] = exact(u, js[some])
+                    return hit
+                for u, new in forest(b - a, agrees):
+                    left.append(np.repeat(ids[a + u], len(new)))
+                    right.append(ids[a + new])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    found = stored(_candidates(rows, share), "candidates")
+    texts = stored(bodies(found.select("id").distinct()), "candidate-texts")
+    full = found.join(texts.join(rows.select("id", "sketch"), "id"), "id")
+    dealt = full.select(F.col("cluster").alias("key"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "id", "sketch", "body")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(work, LINKS)

@@ -2,9 +2,9 @@
 
 A line is what stands between two ``\\n``. It is normalised by lower-casing and by turning white
 space (ASCII) into single spaces. Lines of fewer than ``min_words`` words are left alone. Equal normalised
-lines are one line; different ones are linked if the SimHashes of their words differ in at
-most ``distance`` bits and their edit similarity, one minus the edit distance over the longer
-length in characters, is ``similarity`` or more. Of each connected group the first occurrence by
+lines are one line; different ones are linked if their edit similarity, one minus the edit distance over the longer
+length in characters, is ``similarity`` or more and they were compared: with a ``distance``, lines whose SimHashes of words
+differ in at most so many bits; without one, lines that share n-grams (``grams.py``), if they have five words or 25 bytes. Of each connected group the first occurrence by
 (doc_id, text hash, line number) stays and every other one goes.
 
 A null text has no lines and stays null. Rows that repeat both id and text are one document and
@@ -14,7 +14,7 @@ through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +29,16 @@ from .bits import majority, spread
 from .blocks import fingerprint_links, forest, groups, in_tasks
 from .common import stored, text_batches
 from .components import components
+from .grams import mixed, similar_links, sketches
 
 #: Bytes of text whose words are hashed at once, about, and documents taken from a batch at once.
 STEP, ROWS = 1 << 18, 256
 #: A word's hash is a polynomial in this odd number over its bytes, modulo 2 ** 64, and then mixed.
 BASE = 0x9E3779B97F4A7C15
+#: Bytes of an n-gram, and the words or else bytes that a line needs to be linked to lines that are not equal to it.
+GRAM, FUZZY_WORDS, FUZZY_BYTES = 7, 5, 25
+#: Bins in which candidates agree, as a share of those that either line fills.
+SHARE = 0.1
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -115,10 +120,30 @@ def similar(a: str, b: str, least: float) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, version, line, h, fp) of the lines that count; ``version`` is a hash of the text, ``h`` 16 bytes."""
+def gram_sketches(norms: list[bytes], counts: np.ndarray) -> pa.Array:
+    """Sketches of the byte n-grams of lines with ``FUZZY_WORDS`` words or ``FUZZY_BYTES`` bytes, null for others."""
+    own = [i for i, (x, n) in enumerate(zip(norms, counts.tolist())) if len(x) >= GRAM and (n >= FUZZY_WORDS or len(x) >= FUZZY_BYTES)]
+    out: list[bytes | None] = [None] * len(norms)
+    if own:
+        data = np.frombuffer(b"\n".join([norms[i] for i in own]), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        n = len(data) - GRAM + 1
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(GRAM):
+            h += data[k:n + k] * np.uint64(pow(BASE, k, 2**64))
+        line = np.repeat(np.arange(len(own)), [len(norms[i]) + 1 for i in own])[:-1]
+        whole = np.flatnonzero(line[:n] == line[GRAM - 1:])
+        whole = whole[data[whole + GRAM - 1] != 11]  # none that ends with the line's own end
+        for i, held in zip(own, sketches(mixed(h[whole]), line[whole], len(own))):
+            out[i] = held.tobytes()
+    return pa.array(out, pa.binary())
+
+
+def occurrences(docs: DataFrame, min_words: int, sketched: bool = False) -> DataFrame:
+    """(doc_id, version, line, h, fp) of the lines that count; ``version`` is a hash of the text, ``h`` 16 bytes. If ``sketched``,
+    ``sketch`` stands in the place of ``fp``."""
+    last = T.StructField("sketch", T.BinaryType()) if sketched else T.StructField("fp", T.LongType())
     fields = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("version", T.LongType()),
-                           T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("fp", T.LongType())])
+                           T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType()), last])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
@@ -136,19 +161,23 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 row = np.repeat(np.arange(first, at), [t.count(b"\n") + 1 for t in texts[first:at]])
                 line = np.arange(len(row)) - np.searchsorted(row, row)
-                chosen = np.repeat(n_words >= min_words, n_words)
                 own = n_words[kept]
-                fp = majority(spread(hashes[chosen]), np.cumsum(own) - own)
-                h = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].split())) for a, b in zip(lines[kept].tolist(), (lines[kept + 1] - 1).tolist())]
+                norms = [b" ".join(raw[a:b].split()) for a, b in zip(lines[kept].tolist(), (lines[kept + 1] - 1).tolist())]
+                h = [xxhash.xxh3_128_digest(x) for x in norms]
+                if sketched:
+                    mark = gram_sketches(norms, own)
+                else:
+                    chosen = np.repeat(n_words >= min_words, n_words)
+                    mark = pa.array(majority(spread(hashes[chosen]), np.cumsum(own) - own).view(np.int64))
                 take = pa.array(row[kept])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(line[kept].astype(np.int32)),
-                                                  pa.array(h, pa.binary()), pa.array(fp.view(np.int64))], names=fields.names)
+                                                  pa.array(h, pa.binary()), mark], names=fields.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(work, fields)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, fp, near, norm) of the wanted lines, each read from its first occurrence."""
+def _texts(docs: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """``names`` and ``norm`` of the wanted lines, each read from its first occurrence; the first name tells them apart."""
     @F.pandas_udf("array<string>")
     def pick(texts: pd.Series, lines: pd.Series) -> pd.Series:
         out = []
@@ -158,11 +187,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     per = wanted.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.version").alias("_version")).agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "fp", "near")).alias("at"))
+        F.collect_list(F.struct(F.col("first.line").alias("line"), *names)).alias("at"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     met = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
     got = met.select("at", pick("text", F.col("at.line")).alias("norms"))
-    return got.select(F.explode(F.arrays_zip("at", "norms")).alias("x")).select("x.at.h", "x.at.fp", "x.at.near", F.col("x.norms").alias("norm")).dropDuplicates(["h"])
+    return got.select(F.explode(F.arrays_zip("at", "norms")).alias("x")).select(*[f"x.at.{c}" for c in names], F.col("x.norms").alias("norm")).dropDuplicates([names[0]])
 
 
 def _verified(lines: DataFrame, distance: int, similarity: float) -> DataFrame:
@@ -183,20 +212,45 @@ def _verified(lines: DataFrame, distance: int, similarity: float) -> DataFrame:
     return in_tasks(lines.select("near", "fp", "id", "norm"), F.col("near"), "id").select("key", "lo", "hi", "fp", "id", "norm").mapInArrow(work, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, version, lines): the numbers of the lines that go, for documents that lose any."""
-    text_batches(docs.sparkSession)
-    occ = stored(occurrences(docs, min_words), "lines")
-    distinct = stored(occ.groupBy("h").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.min("fp").alias("fp"),
-                                           F.count(F.lit(1)).alias("n")), "distinct-lines")
+def _close_groups(docs: DataFrame, distinct: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(h, root) of the lines in a group of lines whose fingerprints differ in ``distance`` bits at most."""
     near = components(fingerprint_links(distinct, distance))
     near = stored(near.unionByName(near.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("fp"), F.col("root").alias("near")), "near-lines")
     alike = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(near, "fp", "left_anti").select("fp", F.col("fp").alias("near"))
     met = distinct.join(near.unionByName(alike), "fp")
-    lines = stored(_texts(docs, met).withColumn("id", F.monotonically_increasing_id()), "candidate-lines")
-    roots = components(_verified(lines, distance, similarity))
+    lines = stored(_texts(docs, met, "h", "fp", "near").withColumn("id", F.monotonically_increasing_id()), "candidate-lines")
+    return _grouped(lines, components(_verified(lines, distance, similarity)))
+
+
+def _gram_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(h, root) of the lines in a group of lines that share n-grams."""
+    def check(own: list) -> Callable[[int, np.ndarray], np.ndarray]:
+        return lambda i, js: np.array([similar(own[i], own[j], similarity) for j in js], dtype=bool)
+
+    rows = distinct.filter("sketch is not null").select("id", "sketch")
+    bodies = lambda ids: _texts(docs, distinct.join(ids, "id"), "id").select("id", F.col("norm").alias("body"))
+    return _grouped(distinct, components(similar_links(rows, bodies, check, SHARE)))
+
+
+def _grouped(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    roots = stored(roots, "line-roots")
     grouped = lines.select("id", "h").join(roots, "id").select("h", "root")
-    grouped = grouped.unionByName(lines.select("h", F.col("id").alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select("h", "root"))
+    return grouped.unionByName(lines.select("h", F.col("id").alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select("h", "root"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int | None = 3, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, version, lines): the numbers of the lines that go, for documents that lose any. Without a ``distance``,
+    candidates are found by n-grams."""
+    text_batches(docs.sparkSession)
+    occ = stored(occurrences(docs, min_words, distance is None), "lines")
+    mark = "sketch" if distance is None else "fp"
+    distinct = occ.groupBy("h").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.min(mark).alias(mark), F.count(F.lit(1)).alias("n"))
+    if distance is None:
+        distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+        grouped = _gram_groups(docs, distinct, similarity)
+    else:
+        distinct = stored(distinct, "distinct-lines")
+        grouped = _close_groups(docs, distinct, distance, similarity)
     grouped = stored(grouped, "line-groups")
     in_group = distinct.join(grouped, "h").select("root", "first")
     keepers = in_group.groupBy("root").agg(F.min("first").alias("keep"))
@@ -207,7 +261,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int = 3, simil
     return gone.groupBy("doc_id", "version").agg(F.collect_list("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, min_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = 5, distance: int | None = 3, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; ``n_lines`` and ``n_dropped`` (long) are added or replaced."""
     docs = docs.drop("n_lines", "n_dropped")
     @F.pandas_udf("string")

@@ -1,8 +1,12 @@
 """Jobs done whole: tasks stay bounded, candidates reach the promised similarity, short lines count."""
 
+import random
+
+import numpy as np
+from conftest import prose
 from pyspark.sql import functions as F
 
-from fieldecho.llm import blocks
+from fieldecho.llm import blocks, grams, lines
 
 
 def test_lines_of_one_fingerprint_are_spread_over_chunks(spark, monkeypatch):
@@ -16,3 +20,37 @@ def test_lines_of_one_fingerprint_are_spread_over_chunks(spark, monkeypatch):
         for i in r["ids"]:
             chunks[i].add(k)
     assert all(chunks[a] & chunks[b] for a in range(0, 3000, 97) for b in range(3000))
+
+
+def edited(line, words, seed):
+    rng, ws = random.Random(seed), line.split()
+    for i in rng.sample(range(len(ws)), words):
+        ws[i] = prose(seed + i, 1)
+    return " ".join(ws)
+
+
+def test_lines_of_edit_similarity_meet(spark, monkeypatch):
+    """Recall against edit similarity alone, whole groups of copies, chunks of a few rows."""
+    monkeypatch.setattr(blocks, "CHUNK", 4)
+    monkeypatch.setattr(grams, "SMALL", 3)
+    found = wanted = 0
+    texts = []
+    for n, (words, changed) in enumerate([(6, 1), (12, 1), (15, 2), (30, 3), (30, 5), (60, 3), (60, 8)]):
+        for k in range(6):
+            base = prose(1000 * n + k, words)
+            texts += [base, *[edited(base, changed, 7919 * (n + 1) + 31 * k + j) for j in range(3)]]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), distance=None).collect()}
+    norms = [lines.normalised(t) for t in texts]
+    for i, a in enumerate(norms):
+        if any(lines.similar(a, b, 0.8) for b in norms[:i]):
+            wanted += 1
+            found += got[i]
+        elif not any(lines.similar(a, b, 0.8) for b in norms[i + 1:]):
+            assert got[i] == 0
+    assert wanted > 80 and found >= 0.95 * wanted
+
+
+def test_gram_sketches_do_not_cross_lines():
+    norms = [b"one two three four five six", b"x y", b"the quick brown fox jumps over"]
+    both = lines.gram_sketches(norms, np.array([6, 2, 6])).to_pylist()
+    assert both[1] is None and both[0] == lines.gram_sketches(norms[:1], np.array([6]))[0].as_py() and both[2] == lines.gram_sketches(norms[2:], np.array([6]))[0].as_py()
