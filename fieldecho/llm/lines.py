@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 A line is what stands between two ``\\n``. It is normalised by lower-casing and by turning white
-space (ASCII) into single spaces. Lines of fewer than ``min_words`` words are left alone. Equal normalised
+space (ASCII) into single spaces. Lines of fewer than ``min_words`` words are left alone; with
+``min_words=1`` only blank lines are. Equal normalised
 lines are one line; different ones are linked if their edit similarity, one minus the edit distance over the longer
 length in characters, is ``similarity`` or more and they were compared: with a ``distance``, lines whose SimHashes of words
 differ in at most so many bits; without one, lines that share n-grams (``grams.py``), if they have five words or 25 bytes. Of each connected group the first occurrence by

@@ -54,3 +54,14 @@ def test_gram_sketches_do_not_cross_lines():
     norms = [b"one two three four five six", b"x y", b"the quick brown fox jumps over"]
     both = lines.gram_sketches(norms, np.array([6, 2, 6])).to_pylist()
     assert both[1] is None and both[0] == lines.gram_sketches(norms[:1], np.array([6]))[0].as_py() and both[2] == lines.gram_sketches(norms[2:], np.array([6]))[0].as_py()
+
+
+def test_exact_copies_of_short_lines_and_of_lines_without_blanks(spark, tmp_path):
+    from fieldecho.llm import queries
+
+    glyphs = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(200))
+    texts = [f"Chapter one\n\n{glyphs}\nabc", f"chapter  ONE\n\n{glyphs}\nabd", f"{glyphs[:150]}x{glyphs[151:]}\n\nother words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "\nabd", 2: "\nother words"}
