@@ -52,9 +52,9 @@ def block_keys(fp: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def in_tasks(rows: DataFrame, key: Column, own: str = "fp") -> DataFrame:
+def in_tasks(rows: DataFrame, key: Column, own: str = "fp", more: DataFrame | None = None) -> DataFrame:
     """Rows (one per item and key) dealt to tasks: columns ``key``, ``lo``, ``hi`` name the task. ``own`` is the column that
-    tells the items of a key apart, so that no chunk gets more than its share. Keys with one row are left out."""
+    tells the items of a key apart, so that no chunk gets more than its share. Keys with one row are left out. What ``more`` holds by ``own`` is joined to the rows that are left."""
     keyed = rows.withColumn("key", key)
     sizes = (rows.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").select("_key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks")))
@@ -64,6 +64,8 @@ def in_tasks(rows: DataFrame, key: Column, own: str = "fp") -> DataFrame:
     dealt = (keyed.join(sizes, F.col("key") == F.col("_key")).withColumn("_mine", mine).withColumn("_other", F.explode(other))
              .withColumn("lo", F.least("_mine", "_other")).withColumn("hi", F.greatest("_mine", "_other")))
     dealt = dealt.drop("_key", "_chunks", "_mine", "_other")
+    if more is not None:
+        dealt = dealt.join(more, own)
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 

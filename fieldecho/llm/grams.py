@@ -73,9 +73,9 @@ def _buckets(rows: DataFrame) -> DataFrame:
             for j in range(ROWS):
                 key = (key << np.uint64(16)) | held[at, k, j]
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["id"].take(take), batch["sketch"].take(take)], ["bucket", "id", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["id"].take(take)], ["bucket", "id"])
 
-    return rows.select("id", "sketch").mapInArrow(work, "bucket long, id long, sketch binary")
+    return rows.select("id", "sketch").mapInArrow(work, "bucket long, id long")
 
 
 def forest(n: int, agrees: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -142,7 +142,7 @@ def _candidates(rows: DataFrame, share: float) -> DataFrame:
                 name = [xxhash.xxh64_intdigest(np.array(x, dtype=np.int64).tobytes()) for x in zip(key[at].tolist(), lo[at].tolist(), hi[at].tolist(), ids[root[at]].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(name, dtype=np.uint64).view(np.int64)), pa.array(ids[at])], ["cluster", "id"])
 
-    dealt = in_tasks(_buckets(rows), F.col("bucket"), "id")
+    dealt = in_tasks(_buckets(rows), F.col("bucket"), "id", rows.select("id", "sketch"))
     return dealt.select("key", "lo", "hi", "id", "sketch").mapInArrow(work, "cluster long, id long")
 
 

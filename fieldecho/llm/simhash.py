@@ -24,16 +24,23 @@ SEED = 42
 STEP = 1 << 14
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Unsigned 64-bit SimHash of word shingles, every occurrence counted once. A-Z count as a-z."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """A hash for every word shingle in order, none for a text without words. A-Z count as a-z."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
-        return 0
+        return []
     joined = b" ".join(ws)
     k = min(words, len(ws))
     ends = np.cumsum([len(w) + 1 for w in ws])
     starts = (ends - [len(w) + 1 for w in ws])[:len(ws) - k + 1].tolist()
-    hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1:] - 1).tolist())]
+    return [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1:] - 1).tolist())]
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """Unsigned 64-bit SimHash of word shingles, every occurrence counted once. A-Z count as a-z."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), STEP):
         part = np.array(hashes[i:i + STEP], dtype="<u8")
@@ -64,7 +71,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3) -> DataF
 def one_of_each(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame:
     """The document with the smallest ``doc_id`` of each group, all columns kept. Of rows that share that id, the first by
     text stays. Documents without an id cannot be told apart; they stay."""
-    found = stored(near_duplicates(docs.select("doc_id", "text"), words, distance), "near-duplicates").filter("doc_id is not null")
+    return first_of_each(docs, near_duplicates(docs.select("doc_id", "text"), words, distance))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` without those that ``groups`` (doc_id, component_id) puts behind another, as ``one_of_each`` says."""
+    found = stored(groups, "near-duplicates").filter("doc_id is not null")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = found.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again")

@@ -6,7 +6,8 @@ import numpy as np
 from conftest import prose
 from pyspark.sql import functions as F
 
-from fieldecho.llm import blocks, grams, lines
+import corpus_pipeline
+from fieldecho.llm import blocks, copies, grams, lines
 
 
 def test_lines_of_one_fingerprint_are_spread_over_chunks(spark, monkeypatch):
@@ -65,3 +66,24 @@ def test_exact_copies_of_short_lines_and_of_lines_without_blanks(spark, tmp_path
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {0: texts[0], 1: "\nabd", 2: "\nother words"}
+
+
+def test_near_copies_against_brute_force(spark, awkward):
+    """Documents with words replaced, and different texts in which one shingle is over half."""
+    texts = []
+    for k in range(8):
+        base = prose(4000 + k, 300)
+        texts += [base, *[edited(base, n, 100 * k + n) for n in (2, 4, 6, 12)]]
+    texts += [" ".join(["same"] * 100) + " " + prose(9000 + k, 60) for k in range(4)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [set(copies.shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()}
+    assert left == set(root) and len(left) < len(texts) - 15
+    assert copies.near_copies(awkward).count() == awkward.count()
