@@ -28,12 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: the lineage ends there,
-    so a lost executor costs no recomputation, and the planner knows the table's size."""
+    so a lost executor costs no recomputation, and the planner knows the table's size. ``options`` go to the Parquet writer."""
     spark = df.sparkSession
     path = f"{use_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

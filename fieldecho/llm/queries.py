@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lines, packing, pages, quality, secret_scan, shards, simhash
+from . import alignment, chat, decontam, langid, lines, packing, pages, quality, runs, secret_scan, shards, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +120,43 @@ def op10_language_id(spark, sf_dir):
     test = langid.held_out(F.col("doc_id"))
     found = langid.predict(docs, "lang", ~test & F.col("doc_id").isNotNull())
     return found.select("doc_id", test.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    return alignment.linked(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark, sf_dir):
+    found = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def repeating(text: str, doc_id: int) -> str:
+    """The words of a text from a place on replaced by a repeated stretch, both set by the id."""
+    ws = text.encode().split()
+    n, g = len(ws), zlib.crc32(str(doc_id).encode()) // 10
+    if n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        ws[a:] = [ws[a + (i - a) % p] for i in range(a, n)]
+    return b" ".join(ws).decode()
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    @F.pandas_udf("string")
+    def planted(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else repeating(t, int(i)) for t, i in zip(texts, ids)], dtype=object)
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    docs = docs.withColumn("_planted", planted(F.when(own, F.col("text")), F.coalesce("doc_id", F.lit(0))))
+    found = runs.periodic_runs(docs.select("doc_id", F.when(own, F.col("_planted")).otherwise(F.col("text")).alias("text")))
+    best = F.reduce("runs", F.lit(None).cast(runs.RUN), lambda m, r: F.when(m.isNull() | (r["length"] > m["length"]), r).otherwise(m))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("_best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"_best.{c}").alias(c) for c in runs.RUN.names],
+                        F.floor(F.col("_best.length") * 1000 / F.col("_best.period")).cast("long").alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
