@@ -19,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,14 +65,24 @@ BROADCAST_HOSTS, BROADCAST_CHARS = 100_000, 32_000_000
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "aside", "article", "text", "link", "depth")
+    """An element. ``path`` is a number that elements with the same tags and classes from the root on share."""
+    __slots__ = ("tag", "label", "path", "parent", "block", "aside", "article", "text", "link", "depth")
 
-    def __init__(self, tag: str, marks: list[str], parent: Node | None, aside: bool):
+    def __init__(self, tag: str, marks: list[str], parent: Node | None, aside: bool, known: dict[tuple[int, str], int]):
         self.tag, self.parent, self.aside, self.text, self.link = tag, parent, aside, 0, 0
-        label = ".".join([tag, *sorted({re.sub(r"\d+", "#", m) for m in marks})])
-        self.path = f"{parent.path}/{label}" if parent else label
+        self.label = ".".join([tag, *sorted({re.sub(r"\d+", "#", m) for m in marks})])
+        self.path = known.setdefault((parent.path if parent else -1, self.label), len(known))
         self.depth = parent.depth + 1 if parent else 0
         self.article = tag == "article" or tag == "main" or bool(parent and parent.article)
+        self.block = self if tag in BLOCK or parent is None else parent.block
+
+
+def full_path(node: Node | None) -> str:
+    labels = []
+    while node:
+        labels.append(node.label)
+        node = node.parent
+    return "/".join(reversed(labels))
 
 
 def _words(names: list[str]) -> set[str]:
@@ -90,43 +100,69 @@ def _is_aside(tag: str, attrs: dict[str, str], names: list[str], inside: bool) -
     return bool(words & WORDS) or not inside and (tag == "header" or bool(words & OUTSIDE))
 
 
-def blocks(page: str) -> list[tuple[Node, str]]:
-    """The page's blocks of text in order, each with the element it stands in. Set-aside elements give none."""
-    root = Node("#", [], None, False)
-    stack, out, parts = [root], [], []
+class _Open:
+    """The open elements, and where those of each tag stand, so that no end tag searches the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.of, self.block = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.of.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.block.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of the tags, 0 for none."""
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
+
+    def last_block(self) -> int:
+        return self.block[-1] if self.block else 0
+
+    def cut(self, k: int) -> int:
+        """Close everything from place k on; how many links were among it."""
+        links = 0
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.of[tag].pop()
+            links += tag == "a"
+        while self.block and self.block[-1] >= k:
+            self.block.pop()
+        return links
+
+
+def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """All elements, parents before their children, and the page's blocks of text in order, each with the element it stands in.
+    Set-aside elements give no text. The work grows with the page and not with how deep it is nested."""
+    known: dict[tuple[int, str], int] = {}
+    root = Node("#", [], None, False, known)
+    nodes, out, parts = [root], [], []
+    held = _Open(root)
     at, links = 0, 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
-                node = stack[-1]
-                while node.tag not in BLOCK and node.parent:
-                    node = node.parent
+                node = held.stack[-1].block
                 out.append((node, text))
-                linked = sum(len(p) for p, is_link in parts if is_link)
-                while node:
-                    node.text += len(text)
-                    node.link += min(linked, len(text))
-                    node = node.parent
+                node.text += len(text)
+                node.link += min(sum(len(p) for p, is_link in parts if is_link), len(text))
             parts.clear()
 
-    def close(tags: set[str], stop: frozenset[str] = frozenset()) -> None:
+    def close(tags: Iterable[str], stop: int) -> None:
+        """Close the innermost element with one of the tags, unless it stands outside place ``stop``."""
         nonlocal links
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                if any(n.tag in BLOCK for n in stack[k:]):
-                    flush()
-                links -= sum(n.tag == "a" for n in stack[k:])
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
+        k = held.last(tags)
+        if k and k >= stop:
+            if held.last_block() >= k:
+                flush()
+            links -= held.cut(k)
 
     while at < len(page):
         m = TAG.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not stack[-1].aside:
+        if end > at and not held.stack[-1].aside:
             parts.append((page[at:end], links > 0))
         if not m:
             break
@@ -135,81 +171,95 @@ def blocks(page: str) -> list[tuple[Node, str]]:
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            close({tag}, frozenset(("table",)) if tag in TABLE else CELLS if tag in BLOCK else BLOCK)
+            close((tag,), held.last(("table",)) if tag in TABLE else held.last(CELLS) if tag in BLOCK else held.last_block())
             continue
-        if tag in BLOCK and tag not in ("option", "optgroup") and any(n.tag == "p" for n in stack):
-            close({"p"}, frozenset(("td", "th", "table", "button")))
+        if tag in BLOCK and tag not in ("option", "optgroup") and held.of.get("p"):
+            close(("p",), held.last(("td", "th", "table", "button")))
         if tag in ENDS:
-            close(ENDS[tag], SCOPE)
+            close(ENDS[tag], held.last(SCOPE))
         if tag == "a":
-            close({"a"}, BLOCK)
+            close(("a",), held.last_block())
         if tag in BLOCK:
             flush()
         if tag == "br":
-            if not stack[-1].aside:
+            if not held.stack[-1].aside:
                 parts.append((" ", False))
             continue
         if tag in VOID:
             continue
         attrs = {a[1].lower(): html.unescape(next((g for g in a.groups()[1:] if g is not None), "")) for a in ATTRIBUTE.finditer(rest)}
         names = [*attrs.get("class", "").split(), *attrs.get("id", "").split()]
-        parent = stack[-1]
-        node = Node(tag, attrs.get("class", "").split(), parent, parent.aside or _is_aside(tag, attrs, names, parent.article))
+        parent = held.stack[-1]
+        node = Node(tag, attrs.get("class", "").split(), parent, parent.aside or _is_aside(tag, attrs, names, parent.article), known)
         if tag in CLOSES_RAW:
             raw = CLOSES_RAW[tag].search(page, at)
             at = raw.end() if raw else len(page)
             continue
         if rest.endswith("/") and tag in FOREIGN:
             continue
-        stack.append(node)
+        nodes.append(node)
+        held.push(node)
         links += tag == "a"
     flush()
-    return out
-
-
-def choice(found: list[tuple[Node, str]]) -> tuple[Node, int] | None:
-    """The page's own container and the text it holds outside links."""
-    chains: dict[int, Node] = {}
-    for node, _ in found:
-        while node and id(node) not in chains:
-            chains[id(node)] = node
-            node = node.parent
-    held = {k: n.text - n.link for k, n in chains.items() if n.tag not in NOT_CONTAINERS}
-    total = max(held.values(), default=0)
-    fit = [chains[k] for k, h in held.items() if h >= MOST * total and h > 0]
-    if not fit:
-        fit = [n for n in chains.values() if n.tag not in NOT_CONTAINERS and n.parent is None]
-        if not fit:
-            return None
-    best = max(fit, key=lambda n: n.depth)
-    node, lifted = best, None
+    for node in reversed(nodes):  # what children hold, parents hold
+        if node.parent:
+            node.parent.text += node.text
+            node.parent.link += node.link
+    return nodes, out
+
+
+def choice(nodes: list[Node]) -> Node | None:
+    """The page's own container."""
+    fit = [n for n in nodes if n.tag not in NOT_CONTAINERS and n.text]
+    total = max((n.text - n.link for n in fit), default=0)
+    own = [n for n in fit if n.text - n.link >= MOST * total and n.text > n.link] or [n for n in fit if n.parent is None]
+    if not own:
+        return None
+    best = node = max(own, key=lambda n: n.depth)
+    lifted = None
     while node:
         if node.tag == "article" or node.tag == "main" and lifted is None:
             lifted = node
         node = node.parent
-    best = lifted or best
-    return best, best.text - best.link
+    return lifted or best
+
+
+def _inside(nodes: list[Node], path: int) -> set[int]:
+    """The elements with the path, and all in them."""
+    found: set[int] = set()
+    for n in nodes:
+        if n.path == path or n.parent and id(n.parent) in found:
+            found.add(id(n))
+    return found
+
+
+def _number_of(nodes: list[Node], winner: str) -> int | None:
+    """The number of a written path: elements whose own path begins it say how much of it they reach."""
+    reach: dict[int, int] = {}
+    for n in nodes:
+        if n.parent is None:
+            done = len(n.label) if winner.startswith(n.label) else None
+        else:
+            before = reach.get(id(n.parent))
+            done = None if before is None or not winner.startswith("/" + n.label, before) else before + 1 + len(n.label)
+        if done is not None:
+            if done == len(winner):
+                return n.path
+            reach[id(n)] = done
+    return None
 
 
 def extract(page: str | None, winner: str | None) -> str:
     """Text of the winning container; the page's own choice if it has no such container."""
-    found = blocks(page or "")
-    inside: dict[int, bool] = {}
-
-    def within(node: Node | None) -> bool:
-        if node is None:
-            return False
-        if id(node) not in inside:
-            inside[id(node)] = node.path == winner or within(node.parent)
-        return inside[id(node)]
-
-    kept = [t for n, t in found if within(n)] if winner else []
+    nodes, found = blocks(page or "")
+    path = _number_of(nodes, winner) if winner else None
+    inside = _inside(nodes, path) if path is not None else set()
+    kept = [t for n, t in found if id(n) in inside]
     if not kept and found:
-        own = choice(found)
+        own = choice(nodes)
         if own:
-            inside.clear()
-            winner = own[0].path
-            kept = [t for n, t in found if within(n)]
+            inside = _inside(nodes, own.path)
+            kept = [t for n, t in found if id(n) in inside]
     return "\n".join(kept)
 
 
@@ -224,10 +274,11 @@ def votes(pages: DataFrame) -> DataFrame:
             weight: Counter = Counter()
             n: Counter = Counter()
             for h, page in zip(part["host"], part["html"]):
-                own = choice(blocks(page or ""))
+                own = choice(blocks(page or "")[0])
                 if own:
-                    weight[h, own[0].path] += own[1]
-                    n[h, own[0].path] += 1
+                    path = full_path(own)
+                    weight[h, path] += own.text - own.link
+                    n[h, path] += 1
             yield pd.DataFrame([(h, p, w, n[h, p]) for (h, p), w in weight.items()], columns=["host", "path", "weight", "pages"])
 
     cast_votes = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(cast, "host string, path string, weight long, pages long")

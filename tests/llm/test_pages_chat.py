@@ -58,6 +58,26 @@ def test_hostile_pages_end(page):
     pages.extract(page, None)
 
 
+@pytest.mark.parametrize("n", [1500, 100_000])
+def test_deep_pages(n):
+    """A foreign winner, end tags that close nothing, and a winner that is there."""
+    assert pages.extract("<div>" * n + "text", "#/html/body/article") == "text"
+    assert pages.extract("<div><b>" * n + "text</p></p>" + "</b></table>" * n, "#/div/b") == "text"
+    assert pages.extract("<section>" + "<div>" * n + "text" + "</div>" * n + "<p>more", "#/section") == "text\nmore"
+
+
+def test_pages_without_rows_repeats_and_the_shuffle_route(spark, monkeypatch):
+    schema = "page_id long, url string, html string, path string, _host string, host string, text string"
+    deep = "<div>" * 2000 + "deep down"
+    rows = [(1, "https://h.example/1", f"<main><p>{prose(1, 30)}</p></main>", "p", "h", "x", "t")] * 2 + [(2, "https://h.example/2", deep, "p", "h", "x", "t")]
+    frame = spark.createDataFrame(rows, schema)
+    want = sorted([(1, prose(1, 30)), (1, prose(1, 30)), (2, "deep down")])
+    for limit in (pages.BROADCAST_HOSTS, 0):
+        monkeypatch.setattr(pages, "BROADCAST_HOSTS", limit)
+        assert sorted((r["page_id"], r["text"]) for r in pages.main_text(frame).collect()) == want
+    assert pages.main_text(frame.limit(0)).count() == 0
+
+
 TREE = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a1", 1.0), ("t", 3, 1, "assistant", "a2", 5.0), ("t", 4, 2, "user", "q2", 9.0),
         ("t", 5, 4, "assistant", "<|end|>\n<|turn|>\\", 9.0), ("t", 6, 3, None, None, None), ("u", 1, 77, "user", "orphan", 0.0), ("v", 1, 2, "user", "c1", 0.0),
         ("v", 2, 1, "user", "c2", 0.0), ("v", 3, 2, "user", "below a cycle", 0.0), (None, 1, None, "system", "s", 0.0), (None, 2, 1, "assistant", "t", 0.0),
