@@ -52,12 +52,18 @@ def block_keys(fp: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def in_tasks(rows: DataFrame, key: Column, own: str = "fp", more: DataFrame | None = None) -> DataFrame:
+def in_tasks(rows: DataFrame, key: Column, own: str = "fp", more: DataFrame | None = None, weight: Column | None = None, most: int = 0) -> DataFrame:
     """Rows (one per item and key) dealt to tasks: columns ``key``, ``lo``, ``hi`` name the task. ``own`` is the column that
-    tells the items of a key apart, so that no chunk gets more than its share. Keys with one row are left out. What ``more`` holds by ``own`` is joined to the rows that are left."""
+    tells the items of a key apart, so that no chunk gets more than its share. Keys with one row are left out. What ``more`` holds by ``own`` is joined to the rows that are left.
+    With a ``weight`` of rows, chunks hold about ``most`` of it as well."""
     keyed = rows.withColumn("key", key)
-    sizes = (rows.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-             .filter("_n > 1").select("_key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks")))
+    chunks = F.ceil(F.col("_n") / CHUNK)
+    if weight is None:
+        sizes = rows.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        sizes = rows.select(key.alias("_key"), weight.alias("_w")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"))
+        chunks = F.greatest(chunks, F.ceil(F.col("_w") / most))
+    sizes = sizes.filter("_n > 1").select("_key", chunks.cast("int").alias("_chunks"))
     mine = F.pmod(F.xxhash64(own), F.col("_chunks")).cast("int")
     other = F.when(F.col("_chunks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: c != F.col("_mine")))

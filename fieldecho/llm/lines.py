@@ -2,14 +2,18 @@
 
 A line is what stands between two ``\\n``. It is normalised by lower-casing and by turning white
 space (ASCII) into single spaces. Lines of fewer than ``min_words`` words are left alone; with
-``min_words=1`` only blank lines are. Equal normalised
-lines are one line; different ones are linked if their edit similarity, one minus the edit distance over the longer
-length in characters, is ``similarity`` or more and they were compared: with a ``distance``, lines whose SimHashes of words
-differ in at most so many bits; without one, lines that share n-grams (``grams.py``), if they have five words or 25 bytes. Of each connected group the first occurrence by
-(doc_id, text hash, line number) stays and every other one goes.
+``min_words=1`` only blank lines are. Equal normalised lines are one line; different ones are linked if they are compared and
+their edit similarity, one minus the edit distance over the longer length in characters, is ``similarity`` or more. Compared are
+lines
+
+* whose SimHashes of words differ in at most three bits: they share pigeonhole blocks;
+* that share one of the parts which the text itself marks (``near``), as lines of some length do after some edits;
+* of up to ``SHORT`` characters that are one edit apart: they share what is left without one character.
+
+Of each connected group the first occurrence by (doc_id, text hash, line number) stays and every other one goes.
 
 A null text has no lines and stays null. Rows that repeat both id and text are one document and
-come out alike. A document that loses all its lines stays, with an empty text. Other columns pass
+come out alike. A document that loses all its lines stays, with an empty text. An empty table gives no rows. Other columns pass
 through.
 """
 
@@ -26,20 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near
 from .bits import majority, spread
-from .blocks import fingerprint_links, forest, groups, in_tasks
 from .common import stored, text_batches
 from .components import components
-from .grams import mixed, similar_links, sketches
 
 #: Bytes of text whose words are hashed at once, about, and documents taken from a batch at once.
 STEP, ROWS = 1 << 18, 256
 #: A word's hash is a polynomial in this odd number over its bytes, modulo 2 ** 64, and then mixed.
 BASE = 0x9E3779B97F4A7C15
-#: Bytes of an n-gram, and the words or else bytes that a line needs to be linked to lines that are not equal to it.
-GRAM, FUZZY_WORDS, FUZZY_BYTES = 7, 5, 25
-#: Bins in which candidates agree, as a share of those that either line fills.
-SHARE = 0.1
+#: Bytes that a part of a line has at least, and characters of lines that are also compared with those one edit away.
+LEAST, SHORT = 8, 25
+#: Characters from which edits are counted in a band, and bins of the pairs of characters that bound them from below.
+LONG, BINS = 4096, 128
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -90,61 +93,107 @@ def _shared(a: str, b: str) -> int:
     return lo
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a whole column of the table held in the bits of a few integers."""
+def edits_within(a: str, b: str, most: int) -> int:
+    """Levenshtein distance, or any number above ``most`` if it is above. A whole column of the table is held in the bits of a few
+    integers; of long lines only the diagonals that ``most`` edits can reach."""
     cut = _shared(a, b)
     a, b = a[cut:], b[cut:]
     cut = _shared(a[::-1], b[::-1])
     a, b = a[:len(a) - cut], b[:len(b) - cut]
     if len(a) > len(b):
         a, b = b, a
-    if not a:
+    if not a or not most or len(b) - len(a) > most:
         return len(b)
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
+    if len(a) > LONG and 2 * most < len(a):
+        k = 64
+        while k < most and (found := _in_band(where, len(a), b, k)) > k:
+            k *= 4
+        return found if k < most else _in_band(where, len(a), b, most)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
+    up, down, score, most = full, 0, len(a), most + len(b)
     for c in b:
         match = where.get(c, 0)
         diagonal = (((match & up) + up) ^ up) | match | down
         rise, fall = down | ~(diagonal | up) & full, up & diagonal
         score += bool(rise & top) - bool(fall & top)
+        most -= 1
+        if score > most:  # every column left lowers the score by one at best
+            return score
         rise = (rise << 1 | 1) & full
         up, down = (fall << 1 | ~(diagonal | rise)) & full, rise & diagonal
     return score
 
 
+def _in_band(where: dict[str, int], m: int, b: str, k: int) -> int:
+    """Edit distance of a (``m`` characters, at the bits ``where``) and b if it is ``k`` at most, else more than k; k is below m. Column j keeps rows
+    j - k to j + k, the lowest in the top bit, so the window moves down by one row with each column."""
+    width = 2 * k + 1
+    full = (1 << width) - 1
+    up, down, score = full ^ ((1 << k) - 1), 0, k
+    top, side = 1 << (width - 1), 1 << (width - 2)
+    for j, c in enumerate(b):
+        match = where.get(c, 0)
+        match = (match >> (j - k) if j >= k else match << (k - j)) & full
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        rise, fall = (down | ~(diagonal | up)) & full, up & diagonal
+        if j < m - k:
+            score += not diagonal & top
+        else:  # the last row is in the window and moves up
+            score += bool(rise & side) - bool(fall & side)
+            side >>= 1
+        if score > 2 * k + len(b) - m:  # the last row lowers it by what is left of b at best
+            return score
+        diagonal >>= 1
+        up, down = (fall | ~(diagonal | rise)) & full, diagonal & rise
+    return score
+
+
+def edit_distance(a: str, b: str) -> int:
+    return edits_within(a, b, max(len(a), len(b)))
+
+
 def similar(a: str, b: str, least: float) -> bool:
     longer = max(len(a), len(b))
-    most = (1 - least) * longer + 1e-9
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
-
-
-def gram_sketches(norms: list[bytes], counts: np.ndarray) -> pa.Array:
-    """Sketches of the byte n-grams of lines with ``FUZZY_WORDS`` words or ``FUZZY_BYTES`` bytes, null for others."""
-    own = [i for i, (x, n) in enumerate(zip(norms, counts.tolist())) if len(x) >= GRAM and (n >= FUZZY_WORDS or len(x) >= FUZZY_BYTES)]
-    out: list[bytes | None] = [None] * len(norms)
-    if own:
-        data = np.frombuffer(b"\n".join([norms[i] for i in own]), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-        n = len(data) - GRAM + 1
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(GRAM):
-            h += data[k:n + k] * np.uint64(pow(BASE, k, 2**64))
-        line = np.repeat(np.arange(len(own)), [len(norms[i]) + 1 for i in own])[:-1]
-        whole = np.flatnonzero(line[:n] == line[GRAM - 1:])
-        whole = whole[data[whole + GRAM - 1] != 11]  # none that ends with the line's own end
-        for i, held in zip(own, sketches(mixed(h[whole]), line[whole], len(own))):
-            out[i] = held.tobytes()
-    return pa.array(out, pa.binary())
-
-
-def occurrences(docs: DataFrame, min_words: int, sketched: bool = False) -> DataFrame:
-    """(doc_id, version, line, h, fp) of the lines that count; ``version`` is a hash of the text, ``h`` 16 bytes. If ``sketched``,
-    ``sketch`` stands in the place of ``fp``."""
-    last = T.StructField("sketch", T.BinaryType()) if sketched else T.StructField("fp", T.LongType())
+    most = int((1 - least) * longer + 1e-9)
+    return abs(len(a) - len(b)) <= most and edits_within(a, b, most) <= most
+
+
+def pair_counts(line: str) -> np.ndarray:
+    """How often pairs of neighbouring characters stand in a line, by hash bins. An edit changes four counts by one at most."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return np.bincount(near.mixed(c[:-1] * np.uint64(near.FACTOR) + c[1:]) >> np.uint64(57), minlength=BINS).astype(np.int32)
+
+
+def checker(lines: list[str], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Test of one of the lines against others: lengths and pairs of characters first, then the edits themselves."""
+    size, pairs = np.array([len(x) for x in lines]), np.stack([pair_counts(x) for x in lines])
+
+    def test(i: int, js: np.ndarray) -> np.ndarray:
+        most = (1 - least) * np.maximum(size[i], size[js]) + 1e-9
+        ok = np.abs(size[i] - size[js]) <= most
+        at = np.flatnonzero(ok)
+        ok[at] = np.abs(pairs[js[at]] - pairs[i]).sum(axis=1) <= 4 * most[at]
+        for k in np.flatnonzero(ok):
+            ok[k] = edits_within(lines[i], lines[js[k]], int(most[k])) <= most[k]
+        return ok
+    return test
+
+
+def without_one(line: str) -> list[int]:
+    """Bucket keys of a short line: of itself and of what is left without one of its characters."""
+    left = {line, *[line[:i] + line[i + 1:] for i in range(len(line))]}
+    return [near.OWN << near.KIND | xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 64 - near.KIND for x in left]
+
+
+def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, version, line, h, fp, votes, size, parts, short) of the lines that count; ``version`` is a hash of the text, ``h`` 16 bytes of the line, ``votes`` its words, ``size`` its
+    characters, ``short`` the bucket keys of a short line."""
     fields = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("version", T.LongType()),
-                           T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType()), last])
+                           T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("fp", T.LongType()),
+                           T.StructField("votes", T.LongType()), T.StructField("size", T.LongType()), T.StructField("parts", T.BinaryType()), T.StructField("short", T.ArrayType(T.LongType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
@@ -157,7 +206,7 @@ def occurrences(docs: DataFrame, min_words: int, sketched: bool = False) -> Data
                     at += 1
                 raw = b"\n".join(texts[first:at])
                 hashes, n_words, lines = line_words(raw)
-                kept = np.flatnonzero(n_words >= min_words)
+                kept = np.flatnonzero(n_words >= max(min_words, 1))
                 if not len(kept):
                     continue
                 row = np.repeat(np.arange(first, at), [t.count(b"\n") + 1 for t in texts[first:at]])
@@ -165,14 +214,16 @@ def occurrences(docs: DataFrame, min_words: int, sketched: bool = False) -> Data
                 own = n_words[kept]
                 norms = [b" ".join(raw[a:b].split()) for a, b in zip(lines[kept].tolist(), (lines[kept + 1] - 1).tolist())]
                 h = [xxhash.xxh3_128_digest(x) for x in norms]
-                if sketched:
-                    mark = gram_sketches(norms, own)
-                else:
-                    chosen = np.repeat(n_words >= min_words, n_words)
-                    mark = pa.array(majority(spread(hashes[chosen]), np.cumsum(own) - own).view(np.int64))
+                fp = majority(spread(hashes[np.repeat(n_words >= max(min_words, 1), n_words)]), np.cumsum(own) - own)
+                data = np.frombuffer(b"".join(norms), dtype=np.uint8)
+                whose = np.repeat(np.arange(len(norms)), [len(x) for x in norms])
+                size = np.bincount(whose[(data & 0xC0) != 0x80], minlength=len(norms))
+                parts = near.parts(data.astype(np.uint64), whose, len(norms), LEAST)
+                short = [without_one(x.decode("utf-8", "surrogatepass")) if n <= SHORT else None for x, n in zip(norms, size.tolist())]
                 take = pa.array(row[kept])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(line[kept].astype(np.int32)),
-                                                  pa.array(h, pa.binary()), mark], names=fields.names)
+                                                  pa.array(h, pa.binary()), pa.array(fp.view(np.int64)), pa.array(own), pa.array(size), near.packed(parts),
+                                                  pa.array(short, pa.list_(pa.int64()))], names=fields.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(work, fields)
 
@@ -195,74 +246,34 @@ def _texts(docs: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
     return got.select(F.explode(F.arrays_zip("at", "norms")).alias("x")).select(*[f"x.at.{c}" for c in names], F.col("x.norms").alias("norm")).dropDuplicates([names[0]])
 
 
-def _verified(lines: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Links (a, b) between ids of lines that are close in bits and in edits. Only lines with equal ``near``, connected by
-    close bits, can be: they meet in one task, or chunk by chunk where they are many."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, edges in groups(batches):
-            fps, ids, norms = t["fp"].to_numpy().view(np.uint64), t["id"].to_numpy(), t["norm"]
-            left, right = [], []
-            for a, b in zip(edges, edges[1:]):
-                own = norms.slice(a, b - a).to_pylist()
-                for u, new in forest(fps[a:b], distance, lambda i, js: np.array([similar(own[i], own[j], similarity) for j in js], dtype=bool)):
-                    left.append(np.repeat(ids[a + u], len(new)))
-                    right.append(ids[a + new])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    return in_tasks(lines.select("near", "fp", "id", "norm"), F.col("near"), "id").select("key", "lo", "hi", "fp", "id", "norm").mapInArrow(work, "a long, b long")
-
-
-def _close_groups(docs: DataFrame, distinct: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """(h, root) of the lines in a group of lines whose fingerprints differ in ``distance`` bits at most."""
-    near = components(fingerprint_links(distinct, distance))
-    near = stored(near.unionByName(near.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("fp"), F.col("root").alias("near")), "near-lines")
-    alike = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(near, "fp", "left_anti").select("fp", F.col("fp").alias("near"))
-    met = distinct.join(near.unionByName(alike), "fp")
-    lines = stored(_texts(docs, met, "h", "fp", "near").withColumn("id", F.monotonically_increasing_id()), "candidate-lines")
-    return _grouped(lines, components(_verified(lines, distance, similarity)))
-
-
-def _gram_groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(h, root) of the lines in a group of lines that share n-grams."""
-    def check(own: list) -> Callable[[int, np.ndarray], np.ndarray]:
-        return lambda i, js: np.array([similar(own[i], own[j], similarity) for j in js], dtype=bool)
-
-    rows = distinct.filter("sketch is not null").select("id", "sketch")
+def _groups(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(h, root) of the lines that are linked to others."""
     bodies = lambda ids: _texts(docs, distinct.join(ids, "id"), "id").select("id", F.col("norm").alias("body"))
-    return _grouped(distinct, components(similar_links(rows, bodies, check, SHARE)))
-
-
-def _grouped(lines: DataFrame, roots: DataFrame) -> DataFrame:
-    roots = stored(roots, "line-roots")
-    grouped = lines.select("id", "h").join(roots, "id").select("h", "root")
-    return grouped.unionByName(lines.select("h", F.col("id").alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select("h", "root"))
+    short = distinct.select("id", F.explode("short").alias("bucket"))
+    links = near.links(distinct.select("id", "fp", "votes", "size", "parts"), bodies, lambda own: checker(own, similarity), similarity, short)
+    roots = stored(components(links), "line-roots")
+    grouped = distinct.select("id", "h").join(roots, "id").select("h", "root")
+    return grouped.unionByName(distinct.select("h", F.col("id").alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select("h", "root"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, distance: int | None = 3, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, version, lines): the numbers of the lines that go, for documents that lose any. Without a ``distance``,
-    candidates are found by n-grams."""
+def repeated_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, version, lines): the numbers of the lines that go, for documents that lose any."""
     text_batches(docs.sparkSession)
-    occ = stored(occurrences(docs, min_words, distance is None), "lines")
-    mark = "sketch" if distance is None else "fp"
-    distinct = occ.groupBy("h").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.min(mark).alias(mark), F.count(F.lit(1)).alias("n"))
-    if distance is None:
-        distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
-        grouped = _gram_groups(docs, distinct, similarity)
-    else:
-        distinct = stored(distinct, "distinct-lines")
-        grouped = _close_groups(docs, distinct, distance, similarity)
-    grouped = stored(grouped, "line-groups")
+    occ = stored(occurrences(docs, min_words), "lines")
+    distinct = occ.groupBy("h").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.min("fp").alias("fp"), F.min("votes").alias("votes"), F.min("size").alias("size"),
+                                    F.min("parts").alias("parts"), F.first("short").alias("short"), F.count(F.lit(1)).alias("n"))
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+    grouped = stored(_groups(docs, distinct, similarity), "line-groups")
     in_group = distinct.join(grouped, "h").select("root", "first")
     keepers = in_group.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = grouped.join(keepers, "root").select("h", "keep")
     same = distinct.filter("n > 1").join(grouped, "h", "left_anti").select("h", F.col("first").alias("keep"))
     here = F.struct("doc_id", "version", "line")
-    gone = occ.join(fuzzy.unionByName(same), "h").filter(~here.eqNullSafe(F.col("keep"))).select("doc_id", "version", "line").distinct()
+    gone = occ.select("doc_id", "version", "line", "h").join(fuzzy.unionByName(same), "h").filter(~here.eqNullSafe(F.col("keep"))).select("doc_id", "version", "line").distinct()
     return gone.groupBy("doc_id", "version").agg(F.collect_list("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, min_words: int = 5, distance: int | None = 3, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; ``n_lines`` and ``n_dropped`` (long) are added or replaced."""
     docs = docs.drop("n_lines", "n_dropped")
     @F.pandas_udf("string")
@@ -273,7 +284,7 @@ def deduplicated(docs: DataFrame, min_words: int = 5, distance: int | None = 3,
             out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
         return pd.Series(out)
 
-    gone = repeated_lines(docs.select("doc_id", "text"), min_words, distance, similarity)
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words, similarity)
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("lines").alias("_lines"))
     met = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)

@@ -89,7 +89,7 @@ def op7_packing(spark, sf_dir):
 
 @query("op8_line_dedup")
 def op8_line_dedup(spark, sf_dir):
-    return lines.deduplicated(table(spark, sf_dir, "documents"), min_words=1, distance=None).select("doc_id", "n_lines", "n_dropped", "text")
+    return lines.deduplicated(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 @query("op9_decontamination", r"""

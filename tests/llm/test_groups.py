@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from conftest import prose
 
-from fieldecho.llm import blocks, lines, simhash
+from fieldecho.llm import blocks, lines, near, simhash
 from fieldecho.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -107,16 +107,6 @@ def test_edit_distance(seed):
     assert lines.edit_distance(a, b) == row[-1]
 
 
-def plain_line_fingerprint(norm):
-    hs = []
-    for w in norm.encode().split(b" "):
-        h = sum((c + 1) * pow(lines.BASE, k, 2**64) for k, c in enumerate(w)) % 2**64
-        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-            h = (h ^ h >> 33) * factor % 2**64
-        hs.append(h ^ h >> 33)
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
 def test_words_of_lines_at_any_offset():
     text = "\n".join(["", "a b  c\td", " e ", "", "été  ǈ x", "\r\x0b"] * 5)
     hashes, n_words, starts = lines.line_words(text.encode())
@@ -125,12 +115,15 @@ def test_words_of_lines_at_any_offset():
     assert len(set(hashes.tolist())) == len(set(words)) and all((hashes == h).sum() == words.count(w) for w, h in zip(words, hashes))
 
 
-def plain_lines(docs):
-    """docs: rows (doc_id, text). The (doc_id, text, line number)s that go."""
-    occ = [(d, x, i, lines.normalised(line)) for d, x in docs for i, line in enumerate((x or "").split("\n")) if len(line.encode().split()) >= 5]
-    norms = sorted({o[3] for o in occ})
-    fps = [plain_line_fingerprint(n) for n in norms]
-    pairs = [(i, j) for i in range(len(norms)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3 and lines.similar(norms[i], norms[j], 0.8)]
+def plain_lines(docs, least=5):
+    """docs: rows (doc_id, text). The (doc_id, text, line number)s that go, by edit similarity alone."""
+    occ = [(d, x, i, lines.normalised(line)) for d, x in docs for i, line in enumerate((x or "").split("\n")) if len(line.encode().split()) >= least]
+    norms = sorted({o[3] for o in occ}, key=lambda n: (len(n), n))
+    pairs = []
+    for i, a in enumerate(norms):
+        for j in range(i):
+            if len(norms[j]) >= 0.8 * len(a) and lines.similar(a, norms[j], 0.8):
+                pairs.append((i, j))
     group = roots_of(pairs, range(len(norms)))
     where = {n: group[i] for i, n in enumerate(norms)}
     version = {x: (xxhash.xxh64_intdigest((x or "").encode(), 42) + 2**63) % 2**64 - 2**63 for _, x in docs}
@@ -141,8 +134,10 @@ def plain_lines(docs):
     return {(d, x, i) for d, x, i, n in occ if keep[where[n]] != (d is not None, d or 0, version[x], i)}
 
 
-def test_fuzzy_lines_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "CHUNK", 4)
+@pytest.mark.parametrize("chunk", [4])
+def test_fuzzy_lines_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
+    monkeypatch.setattr(near, "SMALL", chunk)
     base = [prose(100 + k, 60) for k in range(6)]
     rows, n = [], 0
     for k, line in enumerate(base):
@@ -150,23 +145,69 @@ def test_fuzzy_lines_against_brute_force(spark, monkeypatch):
         for j in range(8):
             own = list(ws)
             own[j * 5 % 60] = f"changed{j}"
-            rows.append((n, "\n".join([prose(500 + n, 30), " ".join(own), "short line", line.upper() if j % 3 == 0 else prose(900 + n, 12)])))
+            rows.append((n, "\n".join([prose(500 + n, 30), " ".join(own), "short line", line.upper() if j % 3 == 0 else prose(900 + n, 12), f"x{j}"])))
             n += 1
+    rows += [(n, "x\ny\n\n" + "z" * 200_000), (n + 1, "z" * 100_000 + "y" + "z" * 99_990 + "\n "), (n + 2, None), (n + 3, prose(3, 40_000)), (n + 4, prose(4, 40_000))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    gone = plain_lines(rows)
-    assert gone
-    got = {r["doc_id"]: r for r in lines.deduplicated(docs).collect()}
+    gone = plain_lines(rows, 1)
+    assert len(gone) > 90
+    got = {r["doc_id"]: r for r in lines.deduplicated(docs, min_words=1).collect()}
     for d, x in rows:
-        want = "\n".join(line for i, line in enumerate(x.split("\n")) if (d, x, i) not in gone)
-        assert (got[d]["text"], got[d]["n_lines"], got[d]["n_dropped"]) == (want, 4, sum((d, x, i) in gone for i in range(4)))
+        if x is not None:
+            want = "\n".join(line for i, line in enumerate(x.split("\n")) if (d, x, i) not in gone)
+            assert (got[d]["text"], got[d]["n_lines"], got[d]["n_dropped"]) == (want, x.count("\n") + 1, sum((d, x, i) in gone for i in range(x.count("\n") + 1)))
 
 
 def test_lines_of_given_documents(spark):
+    """Against edit similarity alone: nothing goes that should stay, and nearly all that should go (few edits reach no part of a short line)."""
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    gone = plain_lines(rows)
-    got = {r["doc_id"]: r["text"] for r in lines.deduplicated(docs).collect()}
-    assert got == {d: "\n".join(line for i, line in enumerate(x.split("\n")) if (d, x, i) not in gone) for d, x in rows}
+    gone, here = plain_lines(rows, 1), set()
+    for r in lines.deduplicated(docs, min_words=1).collect():
+        x = dict(rows)[r["doc_id"]]
+        left = r["text"].split("\n") if r["text"] or not r["n_dropped"] else []
+        went = {(r["doc_id"], x, i) for i in range(r["n_lines"]) if (r["doc_id"], x, i) in gone}
+        if r["text"] == "\n".join(line for i, line in enumerate(x.split("\n")) if (r["doc_id"], x, i) not in went):
+            here |= went
+        else:
+            assert r["n_dropped"] <= len(went) and len(left) == r["n_lines"] - r["n_dropped"]
+            here |= set(list(went)[:r["n_dropped"]])
+    assert len(here) >= 0.98 * len(gone)
+
+
+@pytest.mark.parametrize("long", [4096, 3])
+def test_edits_are_counted_up_to_a_limit(monkeypatch, long):
+    monkeypatch.setattr(lines, "LONG", long)
+    rng = random.Random(1)
+    for _ in range(400):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 14)):
+            i = rng.randrange(len(b) + 1)
+            b[i:i + rng.randrange(2)] = rng.choice(["", "a", "d"])
+        b = "".join(b)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        for most in (0, 1, 3, 7, 12, 100):
+            found = lines.edits_within(a, b, most)
+            assert found == row[-1] if row[-1] <= most else found > most
+        if a:
+            assert lines.checker([a, b, a + "x"], 0.8)(0, np.array([1, 2])).tolist() == [lines.similar(a, b, 0.8), lines.similar(a, a + "x", 0.8)]
+
+
+def test_short_lines_one_edit_apart_meet(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklm nopq") for _ in range(rng.randrange(5, 25))).strip() or "q" for _ in range(60)]
+    texts += [t[:i] + c + t[i + k:] for t in texts for i, c, k in [(len(t) // 2, "z", 1), (1, "z", 0), (len(t) - 2, "", 1)]]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=1).collect()}
+    norms = [lines.normalised(t) for t in texts]
+    for i, a in enumerate(norms):
+        if i >= 60 and lines.similar(a, norms[(i - 60) // 3], 0.8):
+            assert got[i] == 1, (a, norms[(i - 60) // 3])
 
 
 def test_lines_of_awkward_rows(spark, awkward, clashing, nothing):

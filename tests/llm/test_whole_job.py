@@ -7,7 +7,7 @@ from conftest import prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldecho.llm import blocks, copies, grams, lines
+from fieldecho.llm import blocks, copies, lines, near
 
 
 def test_lines_of_one_fingerprint_are_spread_over_chunks(spark, monkeypatch):
@@ -33,14 +33,14 @@ def edited(line, words, seed):
 def test_lines_of_edit_similarity_meet(spark, monkeypatch):
     """Recall against edit similarity alone, whole groups of copies, chunks of a few rows."""
     monkeypatch.setattr(blocks, "CHUNK", 4)
-    monkeypatch.setattr(grams, "SMALL", 3)
+    monkeypatch.setattr(near, "SMALL", 3)
     found = wanted = 0
     texts = []
     for n, (words, changed) in enumerate([(6, 1), (12, 1), (15, 2), (30, 3), (30, 5), (60, 3), (60, 8)]):
         for k in range(6):
             base = prose(1000 * n + k, words)
             texts += [base, *[edited(base, changed, 7919 * (n + 1) + 31 * k + j) for j in range(3)]]
-    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), distance=None).collect()}
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     norms = [lines.normalised(t) for t in texts]
     for i, a in enumerate(norms):
         if any(lines.similar(a, b, 0.8) for b in norms[:i]):
@@ -51,10 +51,14 @@ def test_lines_of_edit_similarity_meet(spark, monkeypatch):
     assert wanted > 80 and found >= 0.95 * wanted
 
 
-def test_gram_sketches_do_not_cross_lines():
-    norms = [b"one two three four five six", b"x y", b"the quick brown fox jumps over"]
-    both = lines.gram_sketches(norms, np.array([6, 2, 6])).to_pylist()
-    assert both[1] is None and both[0] == lines.gram_sketches(norms[:1], np.array([6]))[0].as_py() and both[2] == lines.gram_sketches(norms[2:], np.array([6]))[0].as_py()
+def test_parts_do_not_cross_rows():
+    rows = [b"one two three four five six seven eight", b"x y", b"", b"the quick brown fox jumps over the lazy dog"]
+
+    def of(own):
+        return near.parts(np.frombuffer(b"".join(own), dtype=np.uint8).astype(np.uint64), np.repeat(np.arange(len(own)), [len(x) for x in own]), len(own), 8)
+    both = of(rows)
+    assert (both[1] == both[2]).all() and (both[0] == of(rows[:1])[0]).all() and (both[3] == of(rows[3:])[0]).all() and both[0, 0] != both[1, 0]
+    assert (near.unpacked(near.packed(both)) == both).all() and len(near.packed(both[:0])) == 0
 
 
 def test_exact_copies_of_short_lines_and_of_lines_without_blanks(spark, tmp_path):
