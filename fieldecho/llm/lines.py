@@ -6,7 +6,7 @@ space (ASCII) into single spaces. Lines of fewer than ``min_words`` words are le
 their edit similarity, one minus the edit distance over the longer length in characters, is ``similarity`` or more. Compared are
 lines
 
-* whose SimHashes of words differ in at most three bits: they share pigeonhole blocks;
+* whose SimHashes of words (those of ``TELLING`` bytes or more, if there are ``ENOUGH``) differ in at most three bits: they share pigeonhole blocks;
 * that share one of the parts which the text itself marks (``near``), as lines of some length do after some edits;
 * of up to ``SHORT`` characters that are one edit apart: they share what is left without one character.
 
@@ -40,7 +40,9 @@ STEP, ROWS = 1 << 18, 256
 #: A word's hash is a polynomial in this odd number over its bytes, modulo 2 ** 64, and then mixed.
 BASE = 0x9E3779B97F4A7C15
 #: Bytes that a part of a line has at least, and characters of lines that are also compared with those one edit away.
-LEAST, SHORT = 8, 25
+LEAST, SHORT = 10, 25
+#: Bytes of the words that a fingerprint is made of, and how many of them a line must have; all words count in other lines.
+TELLING, ENOUGH = 5, 4
 #: Characters from which edits are counted in a band, and bins of the pairs of characters that bound them from below.
 LONG, BINS = 4096, 128
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -63,8 +65,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return row(BASE), row(pow(BASE, -1, 2**64))
 
 
-def line_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all lines, in order, how many words each line has, and where lines begin (with an end mark).
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines, in order, where they begin and end, and where lines begin (with an end mark).
 
     A word's hash comes from differences of running sums, so words cost no Python objects."""
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -78,9 +80,27 @@ def line_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     h ^= h >> np.uint64(33)
     lines = np.concatenate(([0], np.flatnonzero(data == 10) + 1, [len(data) + 1]))
+    return h, start, end, lines
+
+
+def line_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines, in order, how many words each line has, and where lines begin (with an end mark)."""
+    h, start, _, lines = _words(raw)
     return h, np.diff(np.searchsorted(start, lines)), lines
 
 
+def fingerprints(h: np.ndarray, size: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of each line over its telling words, and how many those are; ``line`` says whose a word is. 0 for a line without words."""
+    telling = size >= TELLING
+    few = np.bincount(line[telling], minlength=lines) < ENOUGH
+    kept = telling | few[line]
+    votes = np.bincount(line[kept], minlength=lines)
+    fp, some = np.zeros(lines, dtype=np.uint64), np.flatnonzero(votes)
+    if len(some):
+        fp[some] = majority(spread(h[kept]), (np.cumsum(votes) - votes)[some])
+    return fp, votes
+
+
 def _shared(a: str, b: str) -> int:
     """Length of the common prefix."""
     lo, hi = 0, min(len(a), len(b))
@@ -189,7 +209,7 @@ def without_one(line: str) -> list[int]:
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, version, line, h, fp, votes, size, parts, short) of the lines that count; ``version`` is a hash of the text, ``h`` 16 bytes of the line, ``votes`` its words, ``size`` its
+    """(doc_id, version, line, h, fp, votes, size, parts, short) of the lines that count; ``version`` is a hash of the text, ``h`` 16 bytes of the line, ``votes`` the words of its fingerprint, ``size`` its
     characters, ``short`` the bucket keys of a short line."""
     fields = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("version", T.LongType()),
                            T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType()), T.StructField("fp", T.LongType()),
@@ -205,16 +225,16 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                     held += len(texts[at]) + 1
                     at += 1
                 raw = b"\n".join(texts[first:at])
-                hashes, n_words, lines = line_words(raw)
+                hashes, start, end, lines = _words(raw)
+                n_words = np.diff(np.searchsorted(start, lines))
                 kept = np.flatnonzero(n_words >= max(min_words, 1))
                 if not len(kept):
                     continue
                 row = np.repeat(np.arange(first, at), [t.count(b"\n") + 1 for t in texts[first:at]])
                 line = np.arange(len(row)) - np.searchsorted(row, row)
-                own = n_words[kept]
+                fp, votes = fingerprints(hashes, end - start, np.repeat(np.arange(len(n_words)), n_words), len(n_words))
                 norms = [b" ".join(raw[a:b].split()) for a, b in zip(lines[kept].tolist(), (lines[kept + 1] - 1).tolist())]
                 h = [xxhash.xxh3_128_digest(x) for x in norms]
-                fp = majority(spread(hashes[np.repeat(n_words >= max(min_words, 1), n_words)]), np.cumsum(own) - own)
                 data = np.frombuffer(b"".join(norms), dtype=np.uint8)
                 whose = np.repeat(np.arange(len(norms)), [len(x) for x in norms])
                 size = np.bincount(whose[(data & 0xC0) != 0x80], minlength=len(norms))
@@ -222,7 +242,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                 short = [without_one(x.decode("utf-8", "surrogatepass")) if n <= SHORT else None for x, n in zip(norms, size.tolist())]
                 take = pa.array(row[kept])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(line[kept].astype(np.int32)),
-                                                  pa.array(h, pa.binary()), pa.array(fp.view(np.int64)), pa.array(own), pa.array(size), near.packed(parts),
+                                                  pa.array(h, pa.binary()), pa.array(fp[kept].view(np.int64)), pa.array(votes[kept]), pa.array(size), near.packed(parts),
                                                   pa.array(short, pa.list_(pa.int64()))], names=fields.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(work, fields)

@@ -5,7 +5,7 @@ Each row has a SimHash fingerprint of the whole and up to ``PARTS`` parts. Two r
 
 * fingerprints that differ in at most ``DISTANCE`` bits agree on a choice of blocks (pigeonhole), so they share a bucket;
 * few edits leave some part of the sequence untouched. A sequence is cut where the hash of three units is the smallest around, so
-  cuts move along with the text; a part reaches over two gaps between cuts (and so many units at least), parts overlap, and those with the smallest hashes count.
+  cuts move along with the text; a part reaches over two gaps between cuts, parts overlap, and those with the smallest hashes count.
 
 A bucket holds ids alone. Buckets with one row are dropped before anything else is joined, large ones are worked off chunk by chunk.
 A pair is looked at in one bucket only: in that of the first choice of blocks it shares, else of the smallest part. It is passed
@@ -31,7 +31,7 @@ PARTS, WIDTH, AROUND = 6, 5, 3
 #: Bits in which fingerprints that share a block differ at most, and those of rows that are compared at all.
 DISTANCE, FAR = 3, 24
 #: Fingerprints of fewer hashes (``votes``) never keep rows from being compared: few words make few bits sure.
-BRIEF = 12
+BRIEF = 6
 #: Groups up to this size are compared row against shifted row, all groups of a batch at once.
 SMALL = 32
 #: Pairs that are compared at once.
@@ -80,8 +80,11 @@ def parts(units: np.ndarray, row: np.ndarray, rows: int, least: int) -> np.ndarr
             np.minimum(low[d:], np.where(same, tri[:-d], NONE), out=low[d:])
             np.minimum(low[:-d], np.where(same, tri[d:], NONE), out=low[:-d])
         cut = np.flatnonzero(whole & (tri == low))
-        start, end = cut[:-2], np.maximum(cut[2:] + 3, cut[:-2] + least)
-        ok = (row[start] == row[cut[2:]]) & (row[start] == row[np.minimum(end, len(row)) - 1]) & (end <= len(row))
+        start, last = cut[:-2], cut[2:]
+        run = (last - start == 2) & (tri[start] == tri[last])  # one unit over and over: each place is a cut
+        end = np.where(run, start + max(least, 5), last + 3)
+        ok = (end - start >= least) & (end <= len(row))
+        ok &= row[start] == row[np.minimum(end, len(row)) - 1]
         start, end = start[ok], end[ok]
         key = mixed((running[end] - running[start]) * down[start]) >> np.uint64(64 - 8 * WIDTH)
         owner = row[start]
@@ -111,10 +114,9 @@ def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 class _Rows:
     """Fingerprints, sizes and parts of the rows of a task, and which pairs of them are candidates here."""
 
-    def __init__(self, t: pa.Table, blocks: int, agree: int, least: float):
+    def __init__(self, t: pa.Table, key: np.ndarray, blocks: int, agree: int, least: float):
         self.fp, self.size, self.parts = t["fp"].to_numpy().view(np.uint64), t["size"].to_numpy(), unpacked(t["parts"])
         self.votes = t["votes"].to_numpy()
-        key = t["key"].to_numpy()
         self.kind, self.low = key >> KIND, (key & ((1 << KIND) - 1)).view(np.uint64)
         edges = [BITS * i // blocks for i in range(blocks + 1)]
         self.masks = np.array([((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])], dtype=np.uint64)
@@ -173,10 +175,11 @@ def _spread(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _clusters(dealt: DataFrame, blocks: int, agree: int, least: float) -> DataFrame:
-    """(cluster, id): in each task of a bucket, the connected groups of candidates."""
+    """(cluster, bucket, id): in each task of a bucket, the connected groups of candidates."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups(batches):
-            rows, ids = _Rows(t, blocks, agree, least), t["id"].to_numpy()
+            bucket, ids = t["key"].to_numpy(), t["id"].to_numpy()
+            rows = _Rows(t, bucket, blocks, agree, least)
             size = np.diff(edges)
             group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
             root, met, left, right = np.arange(len(ids)), np.zeros(len(ids), dtype=bool), [], []
@@ -202,9 +205,9 @@ def _clusters(dealt: DataFrame, blocks: int, agree: int, least: float) -> DataFr
             if len(at):
                 task = np.stack([t[c].to_numpy()[at].astype(np.int64) for c in ("key", "lo", "hi")] + [ids[root[at]]], axis=1)
                 name = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in task], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids[at])], ["cluster", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(bucket[at]), pa.array(ids[at])], ["cluster", "bucket", "id"])
 
-    return dealt.select("key", "lo", "hi", "id", "fp", "votes", "size", "parts").mapInArrow(work, "cluster long, id long")
+    return dealt.select("key", "lo", "hi", "id", "fp", "votes", "size", "parts").mapInArrow(work, "cluster long, bucket long, id long")
 
 
 def _part_buckets(rows: DataFrame) -> DataFrame:
@@ -237,13 +240,22 @@ def links(rows: DataFrame, bodies: Callable[[DataFrame], DataFrame], check: Chec
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups(batches):
-            ids, left, right = t["id"].to_numpy(), [], []
+            rows_here, ids, left, right = _Rows(t, t["bucket"].to_numpy(), blocks, agree, similarity), t["id"].to_numpy(), [], []
             for a, b in zip(edges, edges[1:]):
-                for u, new in forest(b - a, check(t["body"].slice(a, b - a).to_pylist())):
+                exact = check(t["body"].slice(a, b - a).to_pylist())
+
+                def agrees(u: int, js: np.ndarray, a=a, exact=exact) -> np.ndarray:
+                    hit = rows_here.candidates(np.full(len(js), a + u), a + js)
+                    some = np.flatnonzero(hit)
+                    if len(some):
+                        hit[some] = exact(u, js[some])
+                    return hit
+                for u, new in forest(b - a, agrees):
                     left.append(np.repeat(ids[a + u], len(new)))
                     right.append(ids[a + new])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    met = in_tasks(found.join(rows.select("id", "size"), "id"), F.col("cluster"), "id", texts, F.col("size"), BYTES // each)
-    return met.select("key", "lo", "hi", "id", "body").mapInArrow(work, LINKS)
+    held = texts.join(rows.select("id", "fp", "votes", "size", "parts"), "id").drop("size")
+    met = in_tasks(found.join(rows.select("id", "size"), "id"), F.col("cluster"), "id", held, F.col("size"), BYTES // each)
+    return met.select("key", "lo", "hi", "bucket", "id", "fp", "votes", "size", "parts", "body").mapInArrow(work, LINKS)
