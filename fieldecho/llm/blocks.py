@@ -52,10 +52,10 @@ def block_keys(fp: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def in_tasks(rows: DataFrame, key: Column, own: str = "fp", more: DataFrame | None = None, weight: Column | None = None, most: int = 0) -> DataFrame:
+def in_tasks(rows: DataFrame, key: Column, own: str = "fp", more: DataFrame | None = None, weight: Column | None = None, most: int = 0, beside: str | None = None) -> DataFrame:
     """Rows (one per item and key) dealt to tasks: columns ``key``, ``lo``, ``hi`` name the task. ``own`` is the column that
     tells the items of a key apart, so that no chunk gets more than its share. Keys with one row are left out. What ``more`` holds by ``own`` is joined to the rows that are left.
-    With a ``weight`` of rows, chunks hold about ``most`` of it as well."""
+    With a ``weight`` of rows, chunks hold about ``most`` of it as well. Small keys with equal ``beside`` come one after another in one partition."""
     keyed = rows.withColumn("key", key)
     chunks = F.ceil(F.col("_n") / CHUNK)
     if weight is None:
@@ -72,6 +72,8 @@ def in_tasks(rows: DataFrame, key: Column, own: str = "fp", more: DataFrame | No
     dealt = dealt.drop("_key", "_chunks", "_mine", "_other")
     if more is not None:
         dealt = dealt.join(more, own)
+    if beside is not None:
+        return dealt.repartition(beside, "lo", "hi").sortWithinPartitions(beside, "key", "lo", "hi")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 

@@ -175,7 +175,7 @@ def _spread(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _clusters(dealt: DataFrame, blocks: int, agree: int, least: float) -> DataFrame:
-    """(cluster, bucket, id): in each task of a bucket, the connected groups of candidates."""
+    """(cluster, bucket, id, least): in each task of a bucket, the connected groups of candidates; ``least`` is the smallest id of the group."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups(batches):
             bucket, ids = t["key"].to_numpy(), t["id"].to_numpy()
@@ -205,9 +205,11 @@ def _clusters(dealt: DataFrame, blocks: int, agree: int, least: float) -> DataFr
             if len(at):
                 task = np.stack([t[c].to_numpy()[at].astype(np.int64) for c in ("key", "lo", "hi")] + [ids[root[at]]], axis=1)
                 name = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in task], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(bucket[at]), pa.array(ids[at])], ["cluster", "bucket", "id"])
+                least_id = np.full(len(ids), np.iinfo(np.int64).max)
+                np.minimum.at(least_id, root[at], ids[at])
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(bucket[at]), pa.array(ids[at]), pa.array(least_id[root[at]])], ["cluster", "bucket", "id", "least"])
 
-    return dealt.select("key", "lo", "hi", "id", "fp", "votes", "size", "parts").mapInArrow(work, "cluster long, bucket long, id long")
+    return dealt.select("key", "lo", "hi", "id", "fp", "votes", "size", "parts").mapInArrow(work, "cluster long, bucket long, id long, least long")
 
 
 def _part_buckets(rows: DataFrame) -> DataFrame:
@@ -239,23 +241,35 @@ def links(rows: DataFrame, bodies: Callable[[DataFrame], DataFrame], check: Chec
     texts = stored(bodies(found.select("id").distinct()), "candidate-bodies")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, int] = {}  # what clusters with the same smallest id have linked so far is not checked again
+        at = None
         for t, edges in groups(batches):
             rows_here, ids, left, right = _Rows(t, t["bucket"].to_numpy(), blocks, agree, similarity), t["id"].to_numpy(), [], []
-            for a, b in zip(edges, edges[1:]):
-                exact = check(t["body"].slice(a, b - a).to_pylist())
-
-                def agrees(u: int, js: np.ndarray, a=a, exact=exact) -> np.ndarray:
-                    hit = rows_here.candidates(np.full(len(js), a + u), a + js)
-                    some = np.flatnonzero(hit)
+            beside = t["least"].to_numpy()
+            for a, b in zip(edges.tolist(), edges[1:].tolist()):
+                if beside[a] != at:
+                    at = beside[a]
+                    joined.clear()
+                own = [joined.get(i, i) for i in ids[a:b].tolist()]
+                label, exact = np.array(own), check(t["body"].slice(a, b - a).to_pylist())
+
+                def agrees(u: int, js: np.ndarray, a=a, label=label, exact=exact) -> np.ndarray:
+                    known = label[js] == label[u]
+                    some = np.flatnonzero(~known)
+                    some = some[rows_here.candidates(np.full(len(some), a + u), a + js[some])]
                     if len(some):
-                        hit[some] = exact(u, js[some])
-                    return hit
+                        known[some] = exact(u, js[some])
+                    return known
                 for u, new in forest(b - a, agrees):
                     left.append(np.repeat(ids[a + u], len(new)))
                     right.append(ids[a + new])
+                    into, gone = own[u], {own[k] for k in new.tolist()}
+                    own = [into if x in gone else x for x in own]
+                for i, x in zip(ids[a:b].tolist(), own):
+                    joined[i] = x
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     held = texts.join(rows.select("id", "fp", "votes", "size", "parts"), "id").drop("size")
-    met = in_tasks(found.join(rows.select("id", "size"), "id"), F.col("cluster"), "id", held, F.col("size"), BYTES // each)
-    return met.select("key", "lo", "hi", "bucket", "id", "fp", "votes", "size", "parts", "body").mapInArrow(work, LINKS)
+    met = in_tasks(found.join(rows.select("id", "size"), "id"), F.col("cluster"), "id", held, F.col("size"), BYTES // each, "least")
+    return met.select("key", "lo", "hi", "least", "bucket", "id", "fp", "votes", "size", "parts", "body").mapInArrow(work, LINKS)
