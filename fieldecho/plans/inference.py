@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text, timefn
-from ..signal.spectra import bandpass
-from ..sources.audio import read_range, resample
+from ..signal.stream import Level, resampled_length, through
+from ..sources.audio import read_blocks
 
 Scorer = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 NORMALIZATIONS = ("none", "file-peak", "file-percentile", "window-peak")
@@ -27,15 +27,46 @@ def gain(y: np.ndarray, mode: str, target: float = 0.99, percentile: float = 99.
     return y if top < eps else y * (target / top)
 
 
+def file_scale(passes: Callable[[], Iterator[np.ndarray]], mode: str, target: float = 0.99, percentile: float = 99.0, eps: float = 1e-7) -> float:
+    """The factor that ``gain`` would apply to a recording that can only be read block by block, as often as needed."""
+    if mode not in NORMALIZATIONS:
+        raise ValueError(f"mode must be one of {NORMALIZATIONS}, got {mode!r}")
+    if mode in ("none", "window-peak"):
+        return 1.0
+    level = Level(percentile)
+    for y in passes():
+        level.first(y)
+    if mode == "file-percentile":
+        for y in passes():
+            level.second(y)
+    top = level.peak if mode == "file-peak" else level.value()
+    return 1.0 if top < eps else target / top
+
+
+def windows(blocks: Iterator[np.ndarray], starts: np.ndarray, w: int) -> Iterator[np.ndarray]:
+    """The windows of ``w`` samples at ascending ``starts``; one that reaches beyond the signal is filled up with silence."""
+    held, first = np.empty(0), 0
+    blocks = iter(blocks)
+    for s in starts.tolist():
+        while first + len(held) < s + w:
+            y = next(blocks, None)
+            if y is None:
+                break
+            drop = min(max(0, s - first), len(held))
+            held, first = np.concatenate([held[drop:], y]), first + drop
+        y = held[max(0, s - first):s - first + w]
+        yield np.pad(y, (0, w - len(y)))
+
+
 def score_files(files: DataFrame, scorer: Scorer, rate: int = 48000, window: float = 3.0, low: float | None = 150.0,
                 high: float = 15000.0, mode: str = "file-percentile", file_col: str = "file") -> DataFrame:
     """Window rows (file, win_start, win_end, embedding, logits, error) of each recording. Channels are averaged and samples
     scaled to [-1, 1]. A recording that cannot be read or scored gives one row with its error and nulls.
 
     ``files``: file, shift (seconds to the wall-clock grid), rate, datalen. ``scorer`` maps
-    a batch of windows (n, samples) and the rate to (embeddings, logits). One recording
-    is decoded at a time and its windows are streamed out in small batches. Recordings
-    are spread one per task slot by their path hash.
+    a batch of windows (n, samples) and the rate to (embeddings, logits). A recording is
+    decoded, changed in rate and filtered block by block, so memory does not grow with its length; a file-wide gain is measured in passes of
+    its own before. Windows are streamed out in small batches. Recordings are spread one per task slot by their path hash.
     """
     schema = f"{file_col} string, win_start double, win_end double, embedding array<float>, logits array<float>, error string"
 
@@ -51,13 +82,15 @@ def score_files(files: DataFrame, scorer: Scorer, rate: int = 48000, window: flo
     w = int(round(window * rate))
 
     def windows_of(path: str, shift: float, own: int, frames: int) -> Iterator[pd.DataFrame]:
-        y = resample(read_range(path, 0, int(frames), None), float(own), rate)
-        y = gain(bandpass(y, rate, low, high) if low else y, mode)
-        first = int(round(shift * rate))
-        starts = np.arange(first, max(0, len(y) - w) + 1, w)
-        for k in range(0, len(starts), 64):
-            part = starts[k:k + 64]
-            x = np.stack([np.pad(y[s:s + w], (0, max(0, w - len(y[s:s + w])))) for s in part]).astype(np.float32)
+        n = int(frames)
+        passes = lambda: through(read_blocks(path, n, None), int(own), rate, low, high, n)
+        scale = file_scale(passes, mode)
+        total, first = resampled_length(n, int(own), rate), int(round(shift * rate))
+        starts = np.arange(first, max(0, total - w) + 1, w)
+        found = windows(passes(), starts, w)
+        for k in range(0, len(starts), 16):
+            part = starts[k:k + 16]
+            x = (np.stack([next(found) for _ in part]) * scale).astype(np.float32)
             if mode == "window-peak":
                 top = np.abs(x).max(1, keepdims=True)
                 x = np.where(top > 0, 0.99 * x / np.where(top > 0, top, 1), x)

@@ -138,6 +138,19 @@ def read_range(path: str, first: int, count: int, channel: int | None = 0) -> np
     return out
 
 
+def read_blocks(path: str, count: int, channel: int | None = 0, size: int = 1 << 17) -> Iterator[np.ndarray]:
+    """The first ``count`` samples of a file in blocks of ``size``."""
+    with wave.open(path, "rb") as f:
+        width, channels = f.getsampwidth(), f.getnchannels()
+        left = min(count, f.getnframes())
+        while left > 0:
+            raw = f.readframes(min(size, left))
+            if not raw:
+                return
+            yield pcm_to_float(raw, width, channels, channel)
+            left -= len(raw) // (width * channels)
+
+
 def resample(y: np.ndarray, source: float, target: float) -> np.ndarray:
     """Band-limited change of rate in the frequency domain."""
     if source == target or not y.size:

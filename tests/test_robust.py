@@ -99,9 +99,10 @@ def test_open_intervals_reach_points_beyond_them(spark):
 
 def test_narrow_values_spread_over_buckets(spark):
     df = spark.range(20_000).select(F.lit(1).alias("k"), (343.0 + F.col("id") * 1e-5).alias("v"))
-    counts = df.groupBy("k", F.col("v").alias("__v")).agg(F.count("*").alias("__n")).withColumn("__b", stats._value_bucket(F.col("__v")))
-    largest = stats._evened(counts, ["k"]).groupBy("__b").count().agg(F.max("count")).first()[0]
-    assert largest <= 20_000 / 100
+    bucket = stats._value_bucket(F.col("v"))
+    held = df.groupBy(bucket.alias("b")).agg(F.min("v").alias("lo"), (F.max("v") - F.min("v")).alias("wide"))
+    fine = df.withColumn("b", bucket).join(held, "b").groupBy("b", stats._fine(F.col("v"), F.col("lo"), F.col("wide")).alias("f")).count()
+    assert fine.agg(F.max("count")).first()[0] <= 20_000 / 100
     got = stats.exact_percentiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}).first()
     assert got["m"] == pytest.approx(343.0 + 9999.5e-5) and got["q"] == pytest.approx(343.0 + 17999.1e-5)
     odd = spark.createDataFrame([(v,) for v in (float("inf"), float("-inf"), 0.0, -0.0, 1e-300, 1.7e308, -1.7e308, float("nan"), None)], "v double")
