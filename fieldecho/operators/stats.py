@@ -18,53 +18,62 @@ def _value_bucket(v: Column) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, mag).otherwise(-mag).cast("bigint")
 
 
-def _evened(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Split every coarse bucket into ``FINE`` of equal width over the values it holds."""
-    held = counts.groupBy(*by, "__b").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    held = held.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.col("__b").alias("__kb"), "__lo", (F.col("__hi") - F.col("__lo")).alias("__wide"))
-    cond = F.col("__b") == F.col("__kb")
+def _named(rows: DataFrame, by: list[str], *names: str) -> DataFrame:
+    """``rows`` with their keys under names of their own, ready to be joined."""
+    return rows.select(*[F.col(k).alias(f"__k_{k}") for k in by], *[F.col(n).alias(f"__k{n}") for n in names[:1]], *names[1:])
+
+
+def _same(by: list[str], bucket: str) -> Column:
+    cond = F.col(bucket) == F.col(f"__k{bucket}")
     for k in by:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    share = (F.col("__v") - F.col("__lo")) / F.col("__wide")
-    fine = F.when((F.col("__wide") > 0) & (F.col("__wide") <= _CLAMP), F.least(F.floor(share * FINE), F.lit(FINE - 1))).otherwise(0)
-    return counts.join(held, cond).select(*by, "__v", "__n", (F.col("__b") * FINE + fine).cast("bigint").alias("__b"))
+    return cond
+
+
+def _fine(v: Column, lo: Column, wide: Column) -> Column:
+    """Which of ``FINE`` equal parts of a bucket a value stands in; ``wide`` is null where it cannot be parted."""
+    return F.coalesce(F.least(F.floor((v - lo) / wide * FINE), F.lit(FINE - 1)), F.lit(0)).cast("bigint")
+
+
+def _wanted(buckets: DataFrame, by: list[str], bucket: str, more: list[str]) -> DataFrame:
+    """The buckets (with ``__m`` values each) that hold a rank of ``__want``, with how many values come ``__before`` them."""
+    order = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__base") + F.coalesce(F.sum("__m").over(order), F.lit(0))
+    held = F.filter("__want", lambda w: (w["r"] >= F.col("__before")) & (w["r"] < F.col("__before") + F.col("__m")))
+    return buckets.withColumn("__before", before).withColumn("__want", held).where("size(__want) > 0").select(*by, bucket, "__before", "__want", *more)
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per key, plus the row count ``n``.
 
     The built-in exact percentile keeps every distinct value of a group in one
-    buffer. Here equal values are counted with map-side combine, the counts are
-    rolled up to value buckets, and only the buckets holding a wanted rank are
-    ranked row by row. Buckets are cut on a log scale and then evenly over the values
-    each of them holds, so that values of a narrow range still spread over many. Null and
-    NaN values are ignored; infinities sort last.
+    buffer. Here equal values are counted with map-side combine and rolled up to a histogram on a log scale. Only buckets
+    that hold a wanted rank are looked at again: they are cut evenly over the values they hold, and of those finer buckets again
+    only the ones with a wanted rank are ranked row by row. What is joined is the list of wanted buckets, at most two a
+    percentile and key, never one bucket table with all counts. Null and NaN values are ignored; infinities sort last.
     """
     v = F.col(value).cast("double")
     counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
               .withColumn("__b", _value_bucket(F.col("__v"))))
-    counts = _evened(counts, by)
-    buckets = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"))
-    w = Window.partitionBy(*by)
-    order = w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (buckets.withColumn("__before", F.coalesce(F.sum("__m").over(order), F.lit(0)))
-              .withColumn("__total", F.sum("__m").over(w)))
+    coarse = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    coarse = coarse.withColumn("__total", F.sum("__m").over(Window.partitionBy(*by))).withColumn("__base", F.lit(0).cast("bigint"))
     # wanted zero-based ranks: floor(pos) and the next one
-    wants = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("__total") - 1) * F.lit(p)).alias("pos"))
-                      for name, p in probs.items()])
-    need = (ranked.withColumn("__w", F.explode(wants))
-            .withColumn("__r", F.explode(F.array(F.floor("__w.pos"), F.least(F.floor("__w.pos") + 1, F.col("__total") - 1))))
-            .where("__r >= __before AND __r < __before + __m")
-            .groupBy(*by, "__b", "__before", "__total")
-            .agg(F.collect_set(F.struct("__w.name", "__w.pos", F.col("__r").alias("r"))).alias("__want")))
-    right = need.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.col("__b").alias("__kb"),
-                        "__before", "__total", "__want")
-    cond = F.col("__b") == F.col("__kb")
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    inside = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (counts.join(right, cond, "inner")
-            .withColumn("__from", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    ranks = []
+    for name, p in probs.items():
+        pos = (F.col("__total") - 1) * F.lit(p)
+        for r in (F.floor(pos), F.least(F.floor(pos) + 1, F.col("__total") - 1)):
+            ranks.append(F.struct(F.lit(name).alias("name"), pos.alias("pos"), r.alias("r")))
+    wide = F.col("__hi") - F.col("__lo")
+    even = F.when((wide > 0) & (wide <= _CLAMP), wide)
+    need = _wanted(coarse.withColumn("__want", F.array_distinct(F.array(*ranks))), by, "__b", ["__total", "__lo", even.alias("__wide")])
+    met = counts.join(_named(need, by, "__b", "__before", "__want", "__total", "__lo", "__wide"), _same(by, "__b"))
+    met = met.select(*by, "__b", "__v", "__n", "__before", "__want", "__total", _fine(F.col("__v"), F.col("__lo"), F.col("__wide")).alias("__f"))
+    keys = [*by, "__b"]
+    cut = met.groupBy(*keys, "__f").agg(F.sum("__n").alias("__m"), F.first("__before").alias("__base"), F.first("__want").alias("__want"), F.first("__total").alias("__total"))
+    last = _wanted(cut, keys, "__f", ["__total"])
+    rows = met.select(*keys, "__f", "__v", "__n").join(_named(last, keys, "__f", "__before", "__want", "__total"), _same(keys, "__f"))
+    inside = Window.partitionBy(*keys, "__f").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (rows.withColumn("__from", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
             .withColumn("__w", F.explode("__want"))
             .where("__w.r >= __from AND __w.r < __from + __n"))
     at = lambda name, rank: F.max(F.when((F.col("__w.name") == name) & (F.col("__w.r") == rank), F.col("__v")))
