@@ -365,8 +365,9 @@ def results_of(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("error_type IS NULL").drop("error_type", "error_msg")
 
 
-def errors_of(outcomes: DataFrame) -> DataFrame:
-    names = [c for c in (KEY, "call_id") if c in outcomes.columns]
+def errors_of(outcomes: DataFrame, key: str = KEY) -> DataFrame:
+    """Events without a position and why; ``key`` is the column that names events, kept with the ones of the usual names."""
+    names = [c for c in dict.fromkeys((key, KEY, "call_id")) if c in outcomes.columns]
     return outcomes.where("error_type IS NOT NULL").select(*names, "error_type", "error_msg", "clips_unread")
 
 
