@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import near
+from . import edits, near
 from .bits import majority, spread
 from .common import stored, text_batches
 from .components import components
@@ -45,6 +45,8 @@ LEAST, SHORT = 10, 25
 TELLING, ENOUGH = 5, 4
 #: Characters from which edits are counted in a band, and bins of the pairs of characters that bound them from below.
 LONG, BINS = 4096, 128
+#: Characters up to which the edits of many pairs are counted together.
+MANY = 1024
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -187,17 +189,25 @@ def pair_counts(line: str) -> np.ndarray:
     return np.bincount(near.mixed(c[:-1] * np.uint64(near.FACTOR) + c[1:]) >> np.uint64(57), minlength=BINS).astype(np.int32)
 
 
-def checker(lines: list[str], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Test of one of the lines against others: lengths and pairs of characters first, then the edits themselves."""
-    size, pairs = np.array([len(x) for x in lines]), np.stack([pair_counts(x) for x in lines])
+def checker(lines: list[str], least: float) -> Callable[[int | np.ndarray, np.ndarray], np.ndarray]:
+    """Test of lines (one or as many as there are others) against others: lengths and pairs of characters first, then the edits themselves."""
+    held, pairs = edits.Lines(lines), np.stack([pair_counts(x) for x in lines])
+    size = held.size
 
-    def test(i: int, js: np.ndarray) -> np.ndarray:
-        most = (1 - least) * np.maximum(size[i], size[js]) + 1e-9
+    def test(i: int | np.ndarray, js: np.ndarray) -> np.ndarray:
+        i = np.broadcast_to(i, js.shape)
+        most = ((1 - least) * np.maximum(size[i], size[js]) + 1e-9).astype(np.int64)
         ok = np.abs(size[i] - size[js]) <= most
         at = np.flatnonzero(ok)
-        ok[at] = np.abs(pairs[js[at]] - pairs[i]).sum(axis=1) <= 4 * most[at]
-        for k in np.flatnonzero(ok):
-            ok[k] = edits_within(lines[i], lines[js[k]], int(most[k])) <= most[k]
+        for k in range(0, len(at), near.STEP >> 4):
+            part = at[k:k + (near.STEP >> 4)]
+            ok[part] = np.abs(pairs[js[part]] - pairs[i[part]]).sum(axis=1) <= 4 * most[part]
+        at = np.flatnonzero(ok)
+        long = np.minimum(size[i[at]], size[js[at]]) > MANY
+        for k in at[long]:
+            ok[k] = edits_within(lines[i[k]], lines[js[k]], int(most[k])) <= most[k]
+        at = at[~long]
+        ok[at] = held.within(i[at], js[at], most[at])
         return ok
     return test
 

@@ -43,7 +43,7 @@ KIND, PART, OWN = 52, 100, 101
 FACTOR = 0x9E3779B97F4A7C15
 NONE = np.uint64(2**64 - 1)
 LINKS = "a long, b long"
-Check = Callable[[list], Callable[[int, np.ndarray], np.ndarray]]
+Check = Callable[[list], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def _part_buckets(rows: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, bodies: Callable[[DataFrame], DataFrame], check: Check, similarity: float, more: DataFrame | None = None, each: int = 1) -> DataFrame:
     """Links (a, b) that connect the ids of ``rows`` (id, fp, votes, size, parts) as all candidates that pass the check would. ``bodies`` makes (id, body) for
-    a frame of distinct ids; ``check`` takes the bodies of a group and returns a test of one against others. ``more`` holds further
+    a frame of distinct ids; ``check`` takes the bodies of a task and returns a test of places against as many others. ``more`` holds further
     buckets (id, bucket), which the caller marks with the kind ``OWN``. A body has about ``each`` bytes for each of its ``size``."""
     n = rows.count()
     blocks, agree = layout(DISTANCE, 64 * n)  # thin buckets: more keys cost less than long buckets
@@ -240,19 +240,32 @@ def links(rows: DataFrame, bodies: Callable[[DataFrame], DataFrame], check: Chec
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups(batches):
-            rows_here, ids, left, right = _Rows(t, t["bucket"].to_numpy(), blocks, agree, similarity), t["id"].to_numpy(), [], []
-            for a, b in zip(edges, edges[1:]):
-                exact = check(t["body"].slice(a, b - a).to_pylist())
-
-                def agrees(u: int, js: np.ndarray, a=a, exact=exact) -> np.ndarray:
-                    hit = rows_here.candidates(np.full(len(js), a + u), a + js)
-                    some = np.flatnonzero(hit)
-                    if len(some):
-                        hit[some] = exact(u, js[some])
-                    return hit
-                for u, new in forest(b - a, agrees):
-                    left.append(np.repeat(ids[a + u], len(new)))
-                    right.append(ids[a + new])
+            here, ids, left, right = _Rows(t, t["bucket"].to_numpy(), blocks, agree, similarity), t["id"].to_numpy(), [], []
+            exact = check(t["body"].to_pylist())
+
+            def passing(a: np.ndarray, b: np.ndarray, here=here, exact=exact) -> np.ndarray:
+                hit = here.candidates(a, b)
+                some = np.flatnonzero(hit)
+                if len(some):
+                    hit[some] = exact(a[some], b[some])
+                return hit
+
+            size, root = np.diff(edges), np.arange(len(ids))
+            group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
+            for lag in range(1, min(SMALL, len(ids))):
+                at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
+                if not len(at):
+                    break
+                at = at[root[at] != root[at + lag]]  # linked by now through others
+                at = np.concatenate([part[passing(part, part + lag)] for part in np.split(at, range(STEP, len(at), STEP))])
+                root = _spread(root, root[at], root[at + lag])
+                left.append(ids[at])
+                right.append(ids[at + lag])
+            for g in np.flatnonzero(size > SMALL):
+                at = edges[g]
+                for u, new in forest(size[g], lambda u, js, at=at: passing(np.full(len(js), at + u), at + js)):
+                    left.append(np.repeat(ids[at + u], len(new)))
+                    right.append(ids[at + new])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 

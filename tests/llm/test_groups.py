@@ -236,3 +236,24 @@ def test_majority_of_bits():
     starts = np.append(0, np.cumsum(sizes)[:-1])
     want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[a:a + n]) > n) for a, n in zip(starts, sizes)]
     assert majority(spread(hashes), starts).tolist() == want
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "a\u4e00\u4e01b", "a\U0001F600bc"])
+def test_edits_of_many_pairs(letters, monkeypatch):
+    from fieldecho.llm import edits
+    monkeypatch.setattr(edits, "TABLE", 1 << 12)
+    monkeypatch.setattr(edits, "CELLS", 1 << 13)
+    rnd = random.Random(4)
+    held = [""]
+    for _ in range(150):
+        a = [rnd.choice(letters) for _ in range(rnd.choice([0, 1, 3, 20, 63, 64, 65, 128, 130, 200, 700]))]
+        b = list(a)
+        for _ in range(rnd.randrange(30)):
+            i = rnd.randrange(len(b) + 1)
+            b[i:i + rnd.randrange(2)] = rnd.choice(["", *letters])
+        held += ["".join(a), "".join(b)]
+    pairs = [(rnd.randrange(len(held)), rnd.randrange(len(held))) for _ in range(600)] + [(i, i + 1) for i in range(1, len(held), 2)]
+    most = [rnd.choice([0, 1, 5, 20, 60]) for _ in pairs]
+    got = edits.Lines(held).within(*np.array(pairs).T, np.array(most))
+    assert got.tolist() == [lines.edits_within(held[i], held[j], k) <= k for (i, j), k in zip(pairs, most)]
+    assert 50 < got.sum() < len(got) - 50
