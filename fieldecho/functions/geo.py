@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cover
+
+#: Columns of an edge, and cells of a cover handed on at once.
+EDGE, CELLS = ("x1", "y1", "x2", "y2"), 4096
+
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6367.0) -> Column:
     """Great-circle distance in km."""
@@ -58,32 +67,47 @@ def ring_edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, edges))
 
 
-def within(x: Column, y: Column, edges: Column) -> Column:
-    """Strictly inside by even-odd crossing; a point on an edge is outside. Holes are just more rings."""
+def within(x: Column, y: Column, edges: Column, more: Column | int = 0) -> Column:
+    """Strictly inside by even-odd crossing; a point on an edge is outside. Holes are just more rings. ``more`` crossings are known already."""
     crosses = F.size(F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (
         x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])))
     on_edge = F.exists(edges, lambda e: (
         ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
         & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
         & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))))
-    return (crosses % 2 == 1) & ~on_edge
+    return ((crosses + more) % 2 == 1) & ~on_edge
+
+
+def zone_cells(zones: DataFrame, cell: float = 0.01) -> DataFrame:
+    """(group, level, cx, cy, crossings, edges): cells of ``cover.LEVELS`` sizes that cover the zones; their number grows with the outline of a
+    zone. Cells without edges lie inside. A zone without edges has no cells."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for group, edges in zip(frame["group"], frame["edges"]):
+                own = cover.cells(np.array([list(e) for e in edges], dtype=float).reshape(-1, 4), cell)
+                while part := list(islice(own, CELLS)):
+                    level, cx, cy, crossings, kept = zip(*part)
+                    yield pd.DataFrame({"group": [group] * len(part), "level": level, "cx": cx, "cy": cy, "crossings": crossings, "edges": [k.tolist() for k in kept]})
+
+    flat = F.transform("edges", lambda e: F.array(*[e[c].cast("double") for c in EDGE]))
+    found = zones.where("edges IS NOT NULL").select("group", flat.alias("edges")).mapInPandas(
+        work, f"group {zones.schema['group'].dataType.simpleString()}, level int, cx long, cy long, crossings int, edges array<array<double>>")
+    return found.withColumn("edges", F.transform("edges", lambda e: F.struct(*[e[i].alias(c) for i, c in enumerate(EDGE)])))
 
 
 def join_zones(points: DataFrame, zones: DataFrame, x: str = "longitude", y: str = "latitude",
                cell: float = 0.01) -> DataFrame:
     """Left join points to the polygon holding them (``zones``: group, edges).
 
-    Both sides meet on a grid-cell key, so this is an equi join whose residual test
-    runs in the JVM; points without coordinates keep a null group. Zones must not overlap.
+    Each size of cells is an equi join on the cell of a point, whose residual test runs in the JVM over the few edges of that cell;
+    points without coordinates keep a null group. Zones must not overlap.
     """
-    key = lambda c: F.floor(c / F.lit(cell)).cast("bigint")
-    bound = lambda fn, a, b: fn(F.transform("edges", lambda e: fn2(fn)(e[a], e[b])))
-    fn2 = lambda fn: F.least if fn is F.array_min else F.greatest
-    tiles = (zones.select(F.col("group").alias("__group"), F.col("edges").alias("edges"))
-             .withColumn("__cx", F.explode(F.sequence(key(bound(F.array_min, "x1", "x2")), key(bound(F.array_max, "x1", "x2")))))
-             .withColumn("__cy", F.explode(F.sequence(key(bound(F.array_min, "y1", "y2")), key(bound(F.array_max, "y1", "y2"))))))
-    tagged = points.withColumn("__px", key(F.col(x))).withColumn("__py", key(F.col(y)))
-    hit = ((F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy"))
-           & within(F.col(x), F.col(y), F.col("edges")))
-    return (tagged.join(tiles, hit, "left").withColumn("recorder_group", F.col("__group"))
-            .drop("__group", "edges", "__cx", "__cy", "__px", "__py"))
+    out, covered = points, zone_cells(zones, cell)
+    for level in range(cover.LEVELS):
+        at = lambda c: F.floor(F.col(c) / F.lit(cell * cover.PARTS**level)).cast("bigint")  # noqa: B023, E731
+        own = covered.where(F.col("level") == level).select(*[F.col(c).alias(f"__{c}{level}") for c in ("group", "cx", "cy", "crossings", "edges")])
+        hit = ((at(x) == F.col(f"__cx{level}")) & (at(y) == F.col(f"__cy{level}"))
+               & within(F.col(x), F.col(y), F.col(f"__edges{level}"), F.col(f"__crossings{level}")))
+        out = out.join(own, hit, "left").drop(*[f"__{c}{level}" for c in ("cx", "cy", "crossings", "edges")])
+    groups = [f"__group{level}" for level in range(cover.LEVELS)]
+    return out.withColumn("recorder_group", F.coalesce(*groups)).drop(*groups)
