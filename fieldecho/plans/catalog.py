@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,10 @@ from . import deployments
 
 # Fixed value: file names of the sidecar's source recordings.
 SIDECAR_NAME = r"(S4A\d{5})_(?:[01]_)?(\d{8})(.)(\d{6})(?:_000)?\.(?:wav|w4v)$"
+# The sidecar's columns and their types.
+SIDECAR = {"FOLDER": "string", "IN FILE": "string", "DATE": "date", "TIME": "string", "DURATION": "double", "LONGITUDE": "double", "LATITUDE": "double"}
+#: Sidecar lines handed on at once.
+LINES = 10_000
 COLUMNS = ("file", "recorder", "recorder_type", "channel", "gps_sync", "start_datetime", "end_datetime", "duration",
            "latitude", "longitude", "recorder_group", "timestamp_source", "file_end", "datalen", "rate")
 
@@ -55,28 +64,40 @@ def sidecar_rows(raw: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_sidecars(files: DataFrame, name: str = "meta.csv") -> DataFrame:
-    """Rows of every sidecar file in a listing, with the folder they came from."""
-    spark = files.sparkSession
-    paths = [r["file"] for r in files.where(F.col("name") == name).select("file").toLocalIterator()]
-    schema = "FOLDER string, `IN FILE` string, DATE date, TIME string, DURATION double, LONGITUDE double, LATITUDE double"
-    if not paths:
-        return spark.createDataFrame([], f"{schema}, meta_dir string")
-    header = None
-    for group in _by_header(spark, paths):  # a file with other columns, or in another order, is read by its own names
-        part = spark.read.option("header", True).csv(group)
-        part = part.select("*", text.dirname(F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")).alias("meta_dir"))
-        header = part if header is None else header.unionByName(part, allowMissingColumns=True)
-    cols = {"DATE": "date", "DURATION": "double", "LONGITUDE": "double", "LATITUDE": "double"}
-    names = ("FOLDER", "IN FILE", "DATE", "TIME", "DURATION", "LONGITUDE", "LATITUDE")
-    value = lambda c: F.col(f"`{c}`") if c in header.columns else F.lit(None).cast("string")
-    return header.select(*[value(c).try_cast(cols.get(c, "string")).alias(c) for c in names], "meta_dir")
-
-
-def _by_header(spark, paths: list[str]) -> list[list[str]]:
-    """The files grouped by their header line; as many groups as there are kinds of recorder firmware."""
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    first = rows.withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    return [sorted(r["files"]) for r in first.groupBy("head").agg(F.collect_list("file").alias("files")).collect()]
+    """Rows of every sidecar file in a listing, with the folder they came from. Columns go by each file's own header: their order does not
+    count, further ones are left out, missing ones are null. Files that cannot be read give the rows before the fault; ``sidecar_problems`` lists them."""
+    return (_sidecar_lines(files, name).where("reason IS NULL")
+            .select(*[F.col(f"`{c}`").try_cast(kind).alias(c) for c, kind in SIDECAR.items()], "meta_dir"))
+
+
+def sidecar_problems(files: DataFrame, name: str = "meta.csv") -> DataFrame:
+    """Sidecar files that cannot be read or have none of the columns: source, path, reason."""
+    return _sidecar_lines(files, name).where("reason IS NOT NULL").select(F.lit("sidecar").alias("source"), F.col("file").alias("path"), "reason")
+
+
+def _sidecar_lines(files: DataFrame, name: str) -> DataFrame:
+    """Texts of all rows as (the sidecar's columns, meta_dir, file, reason); the files are dealt to tasks by name and read line by line."""
+    columns = [*SIDECAR, "meta_dir", "file", "reason"]
+
+    def rows(path: str, folder: str) -> Iterator[tuple]:
+        try:
+            with open(path, encoding="utf-8-sig", newline="") as fh:
+                lines = csv.DictReader(fh)
+                if not set(SIDECAR) & set(lines.fieldnames or ()):
+                    raise ValueError("no known column")
+                for line in lines:
+                    yield (*[line.get(c) or None for c in SIDECAR], folder, path, None)
+        except (OSError, ValueError, csv.Error) as e:
+            yield (*[None] * len(SIDECAR), folder, path, str(e) if type(e) is ValueError else type(e).__name__)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = (r for path, folder in zip(frame["file"], frame["dir"]) for r in rows(path, folder))
+            while part := list(islice(found, LINES)):
+                yield pd.DataFrame(part, columns=columns, dtype=object)
+
+    listed = files.where(F.col("name") == name).select("file", "dir")
+    return listed.repartition("file").mapInPandas(work, ", ".join(f"`{c}` string" for c in columns))
 
 
 def unpivot_sidecar(rows: DataFrame) -> DataFrame:

@@ -132,6 +132,26 @@ def test_sidecar_overrides_times(spark, tmp_path):
     assert catalog.build(catalog.index(files, sidecar=side)).count() == 1
 
 
+def test_sidecars_go_by_their_own_headers(spark, tmp_path):
+    def put(folder, data):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "meta.csv").write_bytes(data)
+    put("a", b"FOLDER,IN FILE,DATE,TIME,DURATION,LONGITUDE,LATITUDE\nsub,x.wav,2024-01-05,07:00:01,2.0,-93.5,33.7\n")
+    put("b", b"\xef\xbb\xbfTIME,NOTE,DATE,IN FILE,LATITUDE\n08:00:00,\"a, b\",2024-01-06,y.wav,high\n,,,z.wav\n")
+    put("c", b"")
+    put("d", b"\xff\xfe\xff")
+    put("e", b"some,other\n1,2\n")
+    files = audio.list_files(spark, [str(tmp_path)])
+    rows = {r["IN FILE"]: r for r in catalog.read_sidecars(files).collect()}
+    assert sorted(rows) == ["x.wav", "y.wav", "z.wav"]
+    assert rows["x.wav"]["FOLDER"] == "sub" and rows["x.wav"]["DURATION"] == 2.0 and rows["x.wav"]["meta_dir"] == str(tmp_path / "a")
+    assert str(rows["y.wav"]["DATE"]) == "2024-01-06" and rows["y.wav"]["TIME"] == "08:00:00" and rows["y.wav"]["LATITUDE"] is None
+    assert rows["y.wav"]["FOLDER"] is None and rows["z.wav"]["DATE"] is None and rows["z.wav"]["TIME"] is None
+    bad = {r["path"].split("/")[-2]: r["reason"] for r in catalog.sidecar_problems(files).collect()}
+    assert bad == {"c": "no known column", "d": "UnicodeDecodeError", "e": "no known column"}
+    assert catalog.read_sidecars(files.limit(0)).count() == 0
+
+
 def test_zones_labels_deployments_config(spark, tmp_path):
     square = [[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]
     geo = {"type": "FeatureCollection", "features": [
