@@ -33,7 +33,9 @@ def _deployments(spark, cfg, a):
     dep = tables.read_deployments(spark, a.csv, cfg.timezone)
     if a.catalog:
         dep = deployments.fill_missing_gps(dep, spark.read.parquet(a.catalog))
-    if a.raster:
+    if a.raster and a.raster.lower().endswith((".tif", ".tiff")):
+        dep = deployments.add_elevation_of(dep, a.raster)
+    elif a.raster:
         dep = deployments.add_elevation(dep, spark.read.parquet(a.raster), a.west, a.north, a.step, a.nodata)
     dep.write.mode("overwrite").parquet(a.out)
 

@@ -11,6 +11,7 @@ from ..operators.intervals import (CLOSED, END_OF_DAY, BoundPolicy, resolve_inte
 from ..operators.ranking import keep_first, keep_last
 from ..operators.stats import exact_percentiles
 from ..session import cut_lineage
+from ..sources.rasters import pack_tiles, raster_blocks, raster_tiles, sample_tiles
 
 # deployments last for months: wide buckets keep the explosion of open-ended ones small
 WIDTH = 365 * DAY
@@ -97,18 +98,35 @@ def fill_missing_gps(dep: DataFrame, catalog: DataFrame, order: str = "ord") ->
             .withColumn("longitude", F.coalesce("__lon", "longitude")).drop("__lat", "__lon"))
 
 
+def _with_ground(dep: DataFrame, nodata: float | None) -> DataFrame:
+    """``elevation_m`` within 1.0 of the no-data value becomes null; z = ground + height."""
+    if nodata is not None:
+        dep = dep.withColumn("elevation_m", F.when(F.abs(F.col("elevation_m") - nodata) >= 1.0, F.col("elevation_m")))
+    return dep.withColumn("z", F.col("elevation_m") + F.coalesce(F.col("height_above_ground").try_cast("double"), F.lit(0.0)))
+
+
 def add_elevation(dep: DataFrame, raster: DataFrame, west: float, north: float, step: float,
-                  nodata: float | None = None) -> DataFrame:
+                  nodata: float | None = None, size: int = 64) -> DataFrame:
     """Sample a raster stored as (row, col, value) cells and set z = ground + height.
 
-    Outside the raster, or within 1.0 of the no-data value, the elevation is null.
+    Outside the raster, or within 1.0 of the no-data value, the elevation is null. Cells are
+    packed into tiles of ``size`` by ``size`` first, so the join meets tiles and not cells.
     """
-    value = F.col("value") if nodata is None else F.when(F.abs(F.col("value") - nodata) >= 1.0, F.col("value"))
-    cells = raster.select(F.col("row").alias("__r"), F.col("col").alias("__c"), value.alias("elevation_m"))
-    out = (dep.withColumn("__r", F.floor((F.lit(north) - F.col("latitude")) / step))
-           .withColumn("__c", F.floor((F.col("longitude") - F.lit(west)) / step))
-           .join(cells, ["__r", "__c"], "left").drop("__r", "__c"))
-    return out.withColumn("z", F.col("elevation_m") + F.coalesce(F.col("height_above_ground").try_cast("double"), F.lit(0.0)))
+    row, col = F.floor((F.lit(north) - F.col("latitude")) / step), F.floor((F.col("longitude") - F.lit(west)) / step)
+    return _with_ground(sample_tiles(dep.drop("elevation_m"), pack_tiles(raster, size), row, col, size, size, "elevation_m"), nodata)
+
+
+def add_elevation_of(dep: DataFrame, file: str) -> DataFrame:
+    """``add_elevation`` from a raster file; corner, steps and no-data value are the file's own. Only the blocks
+    that hold a recorder are read; an unreadable file is an error, as are coordinates in another system than degrees of the raster."""
+    blocks = raster_blocks(dep.sparkSession.createDataFrame([(file,)], "file string"))
+    grid = blocks.first()
+    if grid is None:
+        raise ValueError(f"cannot read raster {file}")
+    row, col = F.floor((F.lit(grid.north) - F.col("latitude")) / grid.step_y), F.floor((F.col("longitude") - F.lit(grid.west)) / grid.step_x)
+    wanted = dep.select(F.floor(row / grid.tile_height).cast("int").alias("tile_row"), F.floor(col / grid.tile_width).cast("int").alias("tile_col")).distinct()
+    tiles = raster_tiles(blocks.join(wanted, ["tile_row", "tile_col"], "left_semi"))
+    return _with_ground(sample_tiles(dep.drop("elevation_m"), tiles, row, col, grid.tile_height, grid.tile_width, "elevation_m"), grid.nodata)
 
 
 def site_of_recorder(recorders: DataFrame, dep: DataFrame, order: str = "ord") -> DataFrame:
