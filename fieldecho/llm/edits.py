@@ -6,6 +6,8 @@ operations for thousands of pairs. What two lines share at either end is left ou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 WORD = 64
@@ -15,6 +17,8 @@ CELLS, PAIRS = 1 << 20, 8192
 TABLE = 1 << 21
 #: Columns after which finished pairs are taken out.
 EVERY = 8
+#: Pairs for each word of a column, and once more, below which they are counted one by one.
+FEW = 12
 ONE = np.uint64(1)
 
 
@@ -42,15 +46,15 @@ class Lines:
         differ |= i >= room[:, None]
         return np.where(differ.any(axis=1), differ.argmax(axis=1), room)
 
-    def within(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Mask of the pairs of lines with at most ``most`` edits."""
+    def within(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, one: Callable[[int, int, int], bool] | None = None) -> np.ndarray:
+        """Mask of the pairs of lines with at most ``most`` edits; ``one`` tells it of a single pair, where too few are left for columns of many."""
         out = np.zeros(len(a), dtype=bool)
         shorter = np.minimum(self.size[a], self.size[b])
         for part in _cut(np.argsort(shorter, kind="stable"), shorter):
-            out[part] = self._within(a[part], b[part], most[part])
+            out[part] = self._within(a[part], b[part], most[part], one)
         return out
 
-    def _within(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    def _within(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, one: Callable[[int, int, int], bool] | None) -> np.ndarray:
         swap = self.size[a] > self.size[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         m, n, at, to = self.size[a], self.size[b], self.start[a], self.start[b]
@@ -62,6 +66,9 @@ class Lines:
         words = -(-m // WORD)
         for w in np.unique(words[~out & (n - m <= most) & (m > 0)]):
             todo = np.flatnonzero(~out & (n - m <= most) & (words == w))
+            if one is not None and len(todo) < FEW * (w + 1):
+                out[todo] = [one(i, j, k) for i, j, k in zip(a[todo].tolist(), b[todo].tolist(), most[todo].tolist())]
+                continue
             for part in _cut(todo[np.argsort(n[todo], kind="stable")], n):
                 out[part] = self._columns(at[part], m[part], to[part], n[part], most[part], int(w))
         return out

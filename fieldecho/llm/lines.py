@@ -194,6 +194,9 @@ def checker(lines: list[str], least: float) -> Callable[[int | np.ndarray, np.nd
     held, pairs = edits.Lines(lines), np.stack([pair_counts(x) for x in lines])
     size = held.size
 
+    def one(i: int, j: int, most: int) -> bool:
+        return edits_within(lines[i], lines[j], most) <= most
+
     def test(i: int | np.ndarray, js: np.ndarray) -> np.ndarray:
         i = np.broadcast_to(i, js.shape)
         most = ((1 - least) * np.maximum(size[i], size[js]) + 1e-9).astype(np.int64)
@@ -205,9 +208,9 @@ def checker(lines: list[str], least: float) -> Callable[[int | np.ndarray, np.nd
         at = np.flatnonzero(ok)
         long = np.minimum(size[i[at]], size[js[at]]) > MANY
         for k in at[long]:
-            ok[k] = edits_within(lines[i[k]], lines[js[k]], int(most[k])) <= most[k]
+            ok[k] = one(int(i[k]), int(js[k]), int(most[k]))
         at = at[~long]
-        ok[at] = held.within(i[at], js[at], most[at])
+        ok[at] = held.within(i[at], js[at], most[at], one)
         return ok
     return test
 

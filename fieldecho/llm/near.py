@@ -36,6 +36,8 @@ BRIEF = 6
 SMALL = 32
 #: Pairs that are compared at once.
 STEP = 1 << 17
+#: Pairs that the exact check gets at once, about.
+TESTED = 1 << 13
 #: Bytes of bodies that one side of a task holds, about.
 BYTES = 16 << 20
 #: Where a bucket's kind stands in its key; blocks come first, then parts, then what the caller adds.
@@ -174,6 +176,35 @@ def _spread(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def unlinked_pairs(edges: np.ndarray, likely: Callable[[np.ndarray, np.ndarray], np.ndarray], exact: Callable[[np.ndarray, np.ndarray], np.ndarray]
+                   ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that are ``likely`` and ``exact``, enough to connect what all such pairs inside the groups between ``edges`` would. Places are compared
+    with those one further on, then two, and so on, in all groups at once, so that the costly test always gets many pairs; places that are connected by then are not compared."""
+    size = np.diff(edges)
+    after = np.repeat(edges[1:], size) - np.arange(edges[-1]) - 1  # places of the same group that follow
+    root, at, lag = np.arange(edges[-1]), np.arange(edges[-1]), 0
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    while len(at):
+        lag += 1
+        at = at[after[at] >= lag]
+        new = at[root[at] != root[at + lag]]
+        for k in range(0, len(new), STEP):
+            part = new[k:k + STEP]
+            part = part[likely(part, part + lag)]
+            kept.append((part, part + lag))
+            held += len(part)
+        if held >= TESTED or not len(at):
+            a, b = (np.concatenate(x) for x in zip(*kept)) if kept else (at, at)
+            some = root[a] != root[b]
+            a, b = a[some], b[some]
+            hit = exact(a, b) if len(a) else np.zeros(0, dtype=bool)
+            a, b = a[hit], b[hit]
+            root = _spread(root, a, b)
+            kept, held = [], 0
+            yield a, b
+
+
 def _clusters(dealt: DataFrame, blocks: int, agree: int, least: float) -> DataFrame:
     """(cluster, bucket, id): in each task of a bucket, the connected groups of candidates."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,30 +273,9 @@ def links(rows: DataFrame, bodies: Callable[[DataFrame], DataFrame], check: Chec
         for t, edges in groups(batches):
             here, ids, left, right = _Rows(t, t["bucket"].to_numpy(), blocks, agree, similarity), t["id"].to_numpy(), [], []
             exact = check(t["body"].to_pylist())
-
-            def passing(a: np.ndarray, b: np.ndarray, here=here, exact=exact) -> np.ndarray:
-                hit = here.candidates(a, b)
-                some = np.flatnonzero(hit)
-                if len(some):
-                    hit[some] = exact(a[some], b[some])
-                return hit
-
-            size, root = np.diff(edges), np.arange(len(ids))
-            group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
-            for lag in range(1, min(SMALL, len(ids))):
-                at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
-                if not len(at):
-                    break
-                at = at[root[at] != root[at + lag]]  # linked by now through others
-                at = np.concatenate([part[passing(part, part + lag)] for part in np.split(at, range(STEP, len(at), STEP))])
-                root = _spread(root, root[at], root[at + lag])
-                left.append(ids[at])
-                right.append(ids[at + lag])
-            for g in np.flatnonzero(size > SMALL):
-                at = edges[g]
-                for u, new in forest(size[g], lambda u, js, at=at: passing(np.full(len(js), at + u), at + js)):
-                    left.append(np.repeat(ids[at + u], len(new)))
-                    right.append(ids[at + new])
+            for a, b in unlinked_pairs(edges, here.candidates, exact):
+                left.append(ids[a])
+                right.append(ids[b])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
