@@ -47,6 +47,8 @@ TELLING, ENOUGH = 5, 4
 LONG, BINS = 4096, 128
 #: Characters up to which the edits of many pairs are counted together.
 MANY = 1024
+#: Characters from which replaced words are tried before edits are counted, and words that are looked at beyond a difference.
+WORDY, AHEAD = 100, 8
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -173,6 +175,25 @@ def _in_band(where: dict[str, int], m: int, b: str, k: int) -> int:
     return score
 
 
+def replaced(a: list[str], b: list[str], most: int) -> int:
+    """Characters that change if stretches of words are replaced whole: never fewer than the edits between the two lines. Ends above ``most``, once it is
+    passed. Where words differ, the lines go on at the nearest word they have in common among the next ``AHEAD``."""
+    i = j = cost = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        x, y = a[i:i + AHEAD], b[j:j + AHEAD]
+        p, q = min(((k, y.index(w)) for k, w in enumerate(x) if w in y), key=sum, default=(len(x), len(y)))
+        n, m = sum(map(len, x[:p])) + p, sum(map(len, y[:q])) + q
+        cost += max(n, m) - (1 if p and q else 0)
+        if cost > most:
+            return cost
+        i, j = i + p, j + q
+    rest = a[i:] or b[j:]
+    return cost + sum(map(len, rest)) + len(rest)
+
+
 def edit_distance(a: str, b: str) -> int:
     return edits_within(a, b, max(len(a), len(b)))
 
@@ -190,9 +211,15 @@ def pair_counts(line: str) -> np.ndarray:
 
 
 def checker(lines: list[str], least: float) -> Callable[[int | np.ndarray, np.ndarray], np.ndarray]:
-    """Test of lines (one or as many as there are others) against others: lengths and pairs of characters first, then the edits themselves."""
+    """Test of lines (one or as many as there are others) against others: lengths and pairs of characters first, then replaced words, which may prove
+    a pair similar, then the edits themselves."""
     held, pairs = edits.Lines(lines), np.stack([pair_counts(x) for x in lines])
-    size = held.size
+    size, words = held.size, {}
+
+    def split(k: int) -> list[str]:
+        if k not in words:
+            words[k] = lines[k].split(" ")
+        return words[k]
 
     def one(i: int, j: int, most: int) -> bool:
         return edits_within(lines[i], lines[j], most) <= most
@@ -206,6 +233,9 @@ def checker(lines: list[str], least: float) -> Callable[[int | np.ndarray, np.nd
             part = at[k:k + (near.STEP >> 4)]
             ok[part] = np.abs(pairs[js[part]] - pairs[i[part]]).sum(axis=1) <= 4 * most[part]
         at = np.flatnonzero(ok)
+        by_words = np.flatnonzero(np.minimum(size[i[at]], size[js[at]]) >= WORDY)
+        sure = [replaced(split(x), split(y), most_) <= most_ for x, y, most_ in zip(i[at[by_words]].tolist(), js[at[by_words]].tolist(), most[at[by_words]].tolist())]
+        at = np.delete(at, by_words[np.array(sure, dtype=bool)])
         long = np.minimum(size[i[at]], size[js[at]]) > MANY
         for k in at[long]:
             ok[k] = one(int(i[k]), int(js[k]), int(most[k]))

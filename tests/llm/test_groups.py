@@ -257,3 +257,42 @@ def test_edits_of_many_pairs(letters, monkeypatch):
     got = edits.Lines(held).within(*np.array(pairs).T, np.array(most))
     assert got.tolist() == [lines.edits_within(held[i], held[j], k) <= k for (i, j), k in zip(pairs, most)]
     assert 50 < got.sum() < len(got) - 50
+
+
+def test_replaced_words_are_never_fewer_than_edits():
+    import random
+    from fieldecho.llm.lines import edit_distance, replaced
+    r = random.Random(5)
+    for _ in range(400):
+        a = [r.choice("abcde") * r.randint(0, 4) for _ in range(r.randint(1, 25))]
+        b = [w for w in a if r.random() > 0.1]
+        for _ in range(r.randint(0, 5)):
+            b.insert(r.randint(0, len(b)), r.choice(["q", "rst", "ab", ""]))
+        b = b or ["q"]
+        exact = edit_distance(" ".join(a), " ".join(b))
+        assert replaced(a, b, 10**9) >= exact
+        assert (replaced(a, b, exact) <= exact) == (replaced(a, b, 10**9) <= exact)
+
+
+def test_pairs_of_all_groups_connect_what_the_check_allows():
+    import numpy as np
+    from fieldecho.llm.near import unlinked_pairs
+    rng = np.random.default_rng(1)
+    edges = np.cumsum([0, 2, 1, 700, 3, 40])
+    kind = rng.integers(0, 9, edges[-1])
+    asked = []
+
+    def exact(a, b):
+        asked.append(len(a))
+        return kind[a] == kind[b]
+    linked = {(int(x), int(y)) for a, b in unlinked_pairs(edges, lambda a, b: np.ones(len(a), dtype=bool), exact) for x, y in zip(a, b)}
+    group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    root = np.arange(edges[-1])
+    for a, b in sorted(linked):
+        assert group[a] == group[b] and kind[a] == kind[b]
+        root[root == root[b]] = root[a]
+    for g in range(len(edges) - 1):
+        for k in range(9):
+            assert len(set(root[(group == g) & (kind == k)])) <= 1
+    assert max(asked) > 4000
+    assert not list(unlinked_pairs(np.array([0]), None, None)) and not any(len(a) for a, _ in unlinked_pairs(np.array([0, 1, 2]), lambda a, b: a > b, exact))
