@@ -17,10 +17,17 @@ from ..session import cut_lineage
 from .localize import locate_sources
 
 MIN_RESIDUALS, MIN_RESIDUALS_XY = 10, 6
+#: A table of one row per recorder is sent to every task while it has no more rows than this.
+FEW_RECORDERS = 20_000
 #: A recorder has settled when its step is shorter than this, in metres, or gains no more than this share of the cost.
 SETTLED_M, SETTLED_GAIN = 1e-5, 1e-8
 
 
+def _per_recorder(df: DataFrame) -> DataFrame:
+    """One row per recorder: sent to the tasks if its count is small, else merged with the calls by key."""
+    return F.broadcast(df) if df.limit(FEW_RECORDERS + 1).count() <= FEW_RECORDERS else df.hint("merge")
+
+
 def observations(results: DataFrame) -> DataFrame:
     """Usable rows: at least three recorders, one delay per pair, every pair resolvable."""
     pairs = arrays.local_pairs(F.col("recorders"), F.col("pair_ids")) if "pair_ids" in results.columns else F.col("pairs")
@@ -57,6 +64,7 @@ def sources_without(obs: DataFrame, positions: DataFrame, speed: float = 343.2,
     ``positions``: recorder, x, y, z. Every recorder with a position is left out in turn
     of the calls that hold it.
     """
+    positions = _per_recorder(positions)
     known = positions.select(F.col("recorder").alias("drop_rid"))
     each = obs.withColumn("drop_rid", F.explode("recorders")).join(known, "drop_rid", "left_semi")
     sub = drop_recorder(each).where((F.size("recorders") >= min_recorders) & (F.size("pairs") >= min_pairs))
@@ -64,7 +72,8 @@ def sources_without(obs: DataFrame, positions: DataFrame, speed: float = 343.2,
            .join(positions, "recorder").groupBy("call_id", "drop_rid")
            .agg(F.array_sort(F.collect_list(F.struct("k", F.array("x", "y", "z").alias("c")))).alias("g"))
            .select("call_id", "drop_rid", F.transform("g", lambda s: s["c"]).alias("coords")))
-    ready = sub.join(xyz, ["call_id", "drop_rid"]).where(F.size("coords") == F.size("recorders")).withColumn("speed", F.lit(sum(bounds) / 2))
+    # both sides hold every call: array columns look small to the planner, which must not send one of them to the driver
+    ready = sub.hint("merge").join(xyz, ["call_id", "drop_rid"]).where(F.size("coords") == F.size("recorders")).withColumn("speed", F.lit(sum(bounds) / 2))
     out = locate_sources(ready, pairs="pairs", fit_speed=True, speed_margin=(bounds[1] - bounds[0]) / 2,
                          spread_by="call_id")
     return out.select("call_id", "drop_rid", F.col("x_est").alias("x_src"), "c_est")
@@ -75,8 +84,8 @@ def residual_rows(obs: DataFrame, sources: DataFrame, positions: DataFrame) -> D
 
     The residual at position p is sign * (|src - p| - d_other) / c - t.
     """
-    pos = positions.select(F.col("recorder").alias("other"), F.array("x", "y", "z").alias("o"))
-    flat = (obs.join(sources, "call_id")
+    pos = _per_recorder(positions).select(F.col("recorder").alias("other"), F.array("x", "y", "z").alias("o"))
+    flat = (obs.hint("merge").join(sources, "call_id")
             .withColumn("s", F.explode(F.arrays_zip(F.col("pairs").alias("p"), F.col("tdoas").alias("t"))))
             .withColumn("ri", F.get("recorders", F.col("s.p.i"))).withColumn("rj", F.get("recorders", F.col("s.p.j")))
             .where("ri = drop_rid OR rj = drop_rid")
