@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldecho.functions.timefn import HOUR
+from fieldecho.operators.intervals import mean_length, stab_join
 from fieldecho.plans import refine
 
 RECORDERS = [(f"r{k}", *xyz) for k, xyz in enumerate(((0.0, 0.0, 0.0), (60.0, 0.0, 20.0), (0.0, 60.0, 25.0), (60.0, 60.0, 2.0), (30.0, -20.0, 30.0)))]
@@ -19,3 +21,13 @@ def test_no_table_of_calls_is_broadcast(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
     assert not [line for line in plan if "BroadcastHashJoin" in line and ("call_id" in line or "BuildLeft" in line)]
     assert [line for line in plan if "SortMergeJoin" in line and "call_id" in line]
+
+
+def test_buckets_follow_the_length_of_the_intervals(spark):
+    iv = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000).alias("lo"), (F.col("id") * 10_000_000 + 12_000_000).alias("hi"), F.col("id").alias("iv"))
+    pts = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000 + 1).alias("t"), "id")
+    out = stab_join(pts, iv, ["g"], "t", width=None, how="inner", open_ended=False)
+    assert out.count() == 3999
+    pairs = pts.crossJoin(iv.select("lo", "hi", "iv")).where("lo <= t AND t < hi").select("id", "iv")
+    assert out.select("id", "iv").exceptAll(pairs).isEmpty()
+    assert mean_length(iv) == 12_000_000 and mean_length(iv.limit(0)) == HOUR
