@@ -52,15 +52,19 @@ def is_night(local: Column, start_hour: int = 21, end_hour: int = 6) -> Column:
     return (F.hour(local) >= start_hour) | (F.hour(local) < end_hour)
 
 
-def grid_windows(df: DataFrame, start: str, duration_s: str, grid: int = 3) -> DataFrame:
+def grid_windows(df: DataFrame, start: str, duration_s: str, grid: int = 3, pad_short: bool = True) -> DataFrame:
     """Explode each recording into whole ``grid``-second windows aligned to the wall clock.
 
-    A tail shorter than the window is dropped. A recording shorter than one window
-    gives a single padded window, only when it starts on the grid.
+    A tail shorter than the window is dropped. With ``pad_short`` a recording shorter than one
+    window gives a single padded window, only when it starts on the grid. A window counts if its
+    own end is within the recording; the quotient of the lengths alone may be rounded past it.
     """
-    shift = seconds_to_grid(F.col(start), grid)
-    last = F.greatest(F.floor((F.col(duration_s) - shift) / grid).cast("int") - 1,
-                      F.when((shift == 0) & (F.col(duration_s) < grid), F.lit(0)).otherwise(F.lit(-1)))
+    shift, length = seconds_to_grid(F.col(start), grid), F.col(duration_s)
+    near = F.floor((length - shift) / grid).cast("int")
+    ends = lambda n: shift + (n - 1) * grid + grid <= length
+    last = F.when(ends(near + 1), near).when(ends(near), near - 1).otherwise(near - 2)
+    if pad_short:
+        last = F.greatest(last, F.when((shift == 0) & (length < grid), F.lit(0)).otherwise(F.lit(-1)))
     return (df.withColumn("__shift", shift).withColumn("__last", last)
             .where("__last >= 0")
             .withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__last"))))

@@ -103,7 +103,7 @@ t AS (SELECT *, CASE WHEN rem = 0 THEN 0 ELSE (3000000 - rem) / 1000000.0::DOUBL
 SELECT event_id, round(sh + i * 3, 6) AS win_start, round(sh + i * 3 + 3, 6) AS win_end FROM t, range(200) x(i) WHERE sh + i * 3 + 3 <= dur""")
 def grid_windows_q(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("start"), F.col("value").alias("dur"))
-    out = grid_windows(e, "start", "dur")
+    out = grid_windows(e, "start", "dur", pad_short=False)
     return out.select("event_id", F.round("win_start", 6).alias("win_start"), F.round("win_end", 6).alias("win_end"))
 
 
