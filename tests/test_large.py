@@ -3,6 +3,7 @@
 import tempfile
 
 import duckdb
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ import workload
 from fieldecho.functions.timefn import HOUR
 from fieldecho.operators.intervals import mean_length, stab_join
 from fieldecho.plans import localize, refine
+from fieldecho.signal import spectra
 
 workload.load_all()
 
@@ -76,3 +78,20 @@ def test_falloff_hears_every_recorder_of_any_source(spark):
         e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(1)
         e.withColumn("vec_id", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (10249, 14431, 14800, 16317)]))).write.parquet(f"{d}/embeddings.parquet")
         assert [r["n_recorders"] for r in workload.QUERIES["intensity_falloff"](spark, d).collect()] == [6] * 4
+
+
+@pytest.mark.parametrize("n, reach", [(5000, 37), (4999, 120), (300, 40)])
+def test_blocks_correlate_as_the_whole_does(n, reach):
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=n), np.zeros(n)
+    b[n // 2:n // 2 + 60] = a[n // 2 - 20:n // 2 + 40]
+    size = spectra.fast_len(2 * n - 1)
+    at, lags, qual = spectra.correlate(np.fft.rfft(a, size), np.fft.rfft(b, size), size, 2000, (reach - 0.5) / 2000)
+    got = spectra.correlate_blocks(spectra.BlockSpectra(a, reach), spectra.BlockSpectra(b, reach), size // 2, 2000, reach - 1)
+    assert np.allclose(got[0], at, atol=1e-12) and (got[1] == lags).all() and abs(got[2] - qual) < 1e-12
+
+
+def test_clips_dealt_by_event_are_not_shuffled_again(spark):
+    plan = workload.QUERIES["localize_full_clips"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInPandas"):]
+    assert below.count("Exchange") == 1 and below.index("Generate") < below.index("Exchange")
