@@ -12,7 +12,7 @@ import workload
 from fieldecho.functions.timefn import HOUR
 from fieldecho.operators.intervals import mean_length, stab_join
 from fieldecho.plans import localize, refine
-from fieldecho.signal import spectra
+from fieldecho.signal import combos, spectra
 
 workload.load_all()
 
@@ -95,3 +95,20 @@ def test_clips_dealt_by_event_are_not_shuffled_again(spark):
     plan = workload.QUERIES["localize_full_clips"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("FlatMapGroupsInPandas"):]
     assert below.count("Exchange") == 1 and below.index("Generate") < below.index("Exchange")
+
+
+@pytest.mark.parametrize("options", [{}, {"n_best": 3, "include_top": False}, {"include_disjoint": True, "prefer_zeros": True}, {"n_best": 4, "max_outlier_pairs": 2, "shallow_cap": 1},
+                                     {"n_best": 2, "include_disjoint": True, "prefer_zeros": True, "max_outlier_pairs": 1}])
+@pytest.mark.parametrize("sizes", [(2, 2, 2, 2, 2, 2), (3, 1, 2, 0, 4, 1), (1, 1, 1, 1, 1, 1)])
+def test_many_events_are_chosen_as_one(options, sizes):
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    values = np.random.default_rng(5).integers(0, 6, (300, sum(sizes))) / 4.0  # many ties
+    many = combos.choose_many(values, sizes, pairs, **options)
+    assert many == [combos.choose(np.split(v, np.cumsum(sizes)[:-1]), pairs, **options) for v in values]
+
+
+def test_choose_many_leaves_the_rest_to_one_by_one():
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    assert combos.choose_many(np.full((2, 12), np.nan), (2,) * 6, pairs) is None
+    assert combos.choose_many(np.zeros((2, 48)), (8,) * 6, pairs) is None
+    assert combos.choose_many(np.zeros((2, 2)), (1, 1), [(0, 1), (2, 3)]) is None
