@@ -12,7 +12,7 @@ import workload
 from fieldecho.functions.timefn import HOUR
 from fieldecho.operators.intervals import mean_length, stab_join
 from fieldecho.plans import localize, refine
-from fieldecho.signal import combos, spectra
+from fieldecho.signal import combos, solve, spectra
 
 workload.load_all()
 
@@ -131,3 +131,32 @@ def test_displaced_recorders_that_fit_another_position(spark):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet/*.parquet'")
         assert not oracle.compare(workload.QUERIES["perturbation_control"](spark, d), con, workload.ORACLES["perturbation_control"])
+
+
+def _problems(n, moved):
+    rng = np.random.default_rng(4)
+    at = np.array([r[1:] for r in RECORDERS])
+    i, j = np.triu_indices(len(at), 1)
+    src = np.column_stack([rng.uniform(10, 50, n), rng.uniform(5, 50, n), rng.uniform(5, 20, n)])
+    toa = np.linalg.norm(at - src[:, None], axis=2) / 343.0
+    at = at + moved * rng.normal(size=(n, *at.shape))
+    box = at.min(1), at.max(1), at.mean(1)
+    return (at[:, i], at[:, j], toa[:, i] - toa[:, j], np.ones((n, len(i)), bool), *box, np.full(n, 343.0)), src
+
+
+@pytest.mark.parametrize("fit_speed", [False, True])
+def test_starts_that_meet_are_solved_once(monkeypatch, fit_speed):
+    """The outcome of letting every start run to its end, for less than 0.75 of the work."""
+    for moved in (0.0, 3.0):
+        args, src = _problems(600, moved)
+        work, counted = [], solve._solve
+        monkeypatch.setattr(solve, "_solve", lambda h, g: work.append(len(h)) or counted(h, g))
+        x, c, cost, _, done = solve.locate(*args, fit_speed=fit_speed)
+        some = sum(work)
+        work.clear()
+        monkeypatch.setattr(solve, "_beaten", lambda v, *rest: np.zeros(v.shape[1], bool))
+        x2, c2, cost2, _, done2 = solve.locate(*args, fit_speed=fit_speed)
+        monkeypatch.undo()
+        assert some < 0.75 * sum(work), (moved, some, sum(work))
+        assert (done == done2).all() and np.allclose(cost, cost2, rtol=1e-9, atol=1e-12)
+        assert (np.abs(x - x2).max(1) < 1e-3).mean() > 0.995 and moved or np.abs(x - src).max() < 1e-6
