@@ -160,3 +160,35 @@ def test_starts_that_meet_are_solved_once(monkeypatch, fit_speed):
         assert some < 0.75 * sum(work), (moved, some, sum(work))
         assert (done == done2).all() and np.allclose(cost, cost2, rtol=1e-9, atol=1e-12)
         assert (np.abs(x - x2).max(1) < 1e-3).mean() > 0.995 and moved or np.abs(x - src).max() < 1e-6
+
+
+def test_events_stay_spread_after_the_join_with_their_pairs(spark):
+    """Adaptive execution merges the few bytes of the events; choice and solve must not follow them into one task."""
+    clips = spark.range(64).select(F.col("id").cast("string").alias("event_id"), F.inline(F.array(*[
+        F.struct(F.lit(r[0]).alias("recorder"), *[F.lit(v).alias(n) for n, v in zip("xyz", r[1:])]) for r in RECORDERS])),
+        F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.sin(k * k)).alias("samples"))
+    events = clips.select("event_id", F.lit(343.0).alias("speed")).distinct()
+    cfg = localize.LocalizeConfig(rate=2000, use_profile=False, qualcut=1.0, max_peaks_per_pair=1, fallback_to_max=True)
+    out = localize.localize(clips, events, cfg)
+    assert out.count() == 64
+    plan = out._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_at_once_are_the_pairs_one_by_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    clips = rng.normal(size=(4, 300))
+    n = spectra.fast_len(599)
+    spec = np.fft.rfft(clips, n)
+    which = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    lags = [None, 0.0, 0.01, 0.02, 0.149, 9.0]
+    for phat in (False, True):
+        for at_once in (1, 2 * n, 1 << 20):
+            monkeypatch.setattr(spectra, "AT_ONCE", at_once)
+            for (i, j), lag, (cc, at, qual) in zip(which, lags, spectra.correlate_pairs(spec, which, n, 2000, lags, phat)):
+                full = np.fft.irfft(spec[i] * spec[j].conj() / ((np.abs(spec[i] * spec[j].conj()) + np.finfo(float).eps) if phat else 1), n)
+                reach = spectra.reach_of(n, 2000, lag)
+                steps = np.arange(-reach, reach + 1) if reach < n // 2 else np.arange(-(n // 2), n // 2)
+                want = full[steps % n] / np.abs(full[steps % n]).max()
+                inner = cc[1:-1] if reach < n // 2 else cc
+                assert np.allclose(inner, want, atol=1e-12) and len(cc) == len(at) and np.isclose(qual, np.abs(want[want != 0]).std())
