@@ -136,19 +136,17 @@ def perturb(df: DataFrame, distances: list[float], seed: int = 0, coords: str =
     The direction comes from a hash of (event, distance, recorder, seed): the same on
     every run and machine.
     """
-    d, moved = F.col("perturb"), F.col("__dirs")
+    d = F.col("perturb")
+    u = lambda i, salt: (F.pmod(F.xxhash64(F.col(key), d, i, F.lit(f"{seed}-{salt}")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    # height and turn of a point that is uniform on the sphere; lambdas are not compiled, so each draw is made once
+    draws = F.transform(F.sequence(F.lit(0), F.size(coords) - 1), lambda i: F.array(2 * u(i, "z") - 1, 2 * np.pi * u(i, "turn")))
 
-    def normal(i: Column, axis: int) -> Column:
-        u = lambda salt: (F.pmod(F.xxhash64(F.col(key), d, i, F.lit(f"{seed}-{axis}-{salt}")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        return F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * np.pi * u("b"))
+    def moved(r: Column, v: Column) -> Column:
+        flat = d * F.sqrt(1 - v[0] * v[0])
+        return F.array(r[0] + flat * F.cos(v[1]), r[1] + flat * F.sin(v[1]), r[2] + d * v[0])
 
-    dirs = F.transform(F.sequence(F.lit(0), F.size(coords) - 1), lambda i: F.array(*[normal(i, k) for k in range(3)]))
-    scale = lambda v: d / F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
     return (spread(df, key).withColumn("perturb", F.explode(F.array(*[F.lit(float(x)) for x in distances])))
-            .withColumn("__dirs", dirs).withColumn("__scale", F.transform(moved, scale))
-            .withColumn("__dirs", F.zip_with(moved, "__scale", lambda v, s: F.transform(v, lambda g: g * s)))
-            .withColumn(coords, F.zip_with(F.col(coords), moved, lambda r, v: F.zip_with(r, v, lambda c, g: c + g)))
-            .drop("__dirs", "__scale"))
+            .withColumn("__draws", draws).withColumn(coords, F.zip_with(F.col(coords), "__draws", moved)).drop("__draws"))
 
 
 def perturbation_control(events: DataFrame, distances: list[float] = (0.0, 5.0, 10.0), n: int | None = None,

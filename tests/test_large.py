@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import workload
 from fieldecho.functions.timefn import HOUR
 from fieldecho.operators.intervals import mean_length, stab_join
-from fieldecho.plans import localize, refine
+from fieldecho.plans import analysis, localize, refine
 from fieldecho.signal import combos, solve, spectra
 
 workload.load_all()
@@ -124,8 +124,8 @@ def test_cards_of_long_numbers_stay_apart(spark):
 
 
 def test_displaced_recorders_that_fit_another_position(spark):
-    """Customers whose recorders, moved by 5 m, leave less than 0.01 ms by chance: the position has moved by metres."""
-    rows = [(565206, 21), (253013, 23)]
+    """Customers whose recorders, moved by 5 or 10 m, leave less than 0.01 ms by chance: the position has moved by metres."""
+    rows = [(86038, 15), (90938, 11), (233304, 8), (263113, 7), (692758, 8)]
     with tempfile.TemporaryDirectory() as d:
         spark.createDataFrame(rows, "c_custkey bigint, c_nationkey int").coalesce(1).write.parquet(f"{d}/customer.parquet")
         con = duckdb.connect()
@@ -192,3 +192,15 @@ def test_pairs_at_once_are_the_pairs_one_by_one(monkeypatch):
                 want = full[steps % n] / np.abs(full[steps % n]).max()
                 inner = cc[1:-1] if reach < n // 2 else cc
                 assert np.allclose(inner, want, atol=1e-12) and len(cc) == len(at) and np.isclose(qual, np.abs(want[want != 0]).std())
+
+
+def test_directions_are_even_and_drawn_once(spark):
+    at = F.array(*[F.array(*[F.lit(v) for v in r[1:]]) for r in RECORDERS])
+    out = analysis.perturb(spark.range(4000).select(F.col("id").alias("call_id"), at.alias("coords")), [0.0, 7.0], seed=1)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
+    got = {d: np.array([r["coords"] for r in out.where(F.col("perturb") == d).collect()]) - [r[1:] for r in RECORDERS] for d in (0.0, 7.0)}
+    assert (got[0.0] == 0).all() and np.allclose(np.linalg.norm(got[7.0], axis=2), 7.0, atol=1e-9)
+    unit = got[7.0].reshape(-1, 3) / 7
+    # even over the sphere: no mean direction, the same second moments on every axis
+    assert np.abs(unit.mean(0)).max() < 0.02 and np.abs(unit.T @ unit / len(unit) - np.eye(3) / 3).max() < 0.02
+    assert len(np.unique(unit.round(9), axis=0)) == len(unit)
