@@ -296,3 +296,15 @@ def test_pairs_of_all_groups_connect_what_the_check_allows():
             assert len(set(root[(group == g) & (kind == k)])) <= 1
     assert max(asked) > 4000
     assert not list(unlinked_pairs(np.array([0]), None, None)) and not any(len(a) for a, _ in unlinked_pairs(np.array([0, 1, 2]), lambda a, b: a > b, exact))
+
+
+def test_links_of_near_copies_are_fewer_than_the_copies():
+    """One group of many near copies: the pairs that a batch finds are passed on as a forest."""
+    import numpy as np
+    from fieldecho.llm.near import unlinked_pairs
+
+    def yes(a, b):
+        return np.ones(len(a), dtype=bool)
+    for edges in ([0, 3000], [0, 50, 2500, 2501, 2600]):
+        found = list(unlinked_pairs(np.array(edges), yes, yes))
+        assert sum(len(a) for a, _ in found) == edges[-1] - (len(edges) - 1)
