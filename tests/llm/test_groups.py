@@ -308,3 +308,20 @@ def test_links_of_near_copies_are_fewer_than_the_copies():
     for edges in ([0, 3000], [0, 50, 2500, 2501, 2600]):
         found = list(unlinked_pairs(np.array(edges), yes, yes))
         assert sum(len(a) for a, _ in found) == edges[-1] - (len(edges) - 1)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import os
+    import time
+    from fieldecho.llm.common import stored
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, conf = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = stored(spark.range(5000).repartition("id").groupBy("id").count(), "few")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and got.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == conf
