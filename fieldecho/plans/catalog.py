@@ -47,17 +47,20 @@ def sidecar_rows(raw: DataFrame, files: DataFrame) -> DataFrame:
             .withColumn("kmeta_datetime", F.try_to_timestamp(
                 F.concat(F.date_format("DATE", "yyyyMMdd"), F.lit("_"), F.replace("TIME", F.lit(":"), F.lit("")), F.lit(text.FIXED_CLOCK_OFFSET)),
                 F.lit("yyyyMMdd_HHmmssxx"))))
-    row = ["meta_dir", "FOLDER", "IN FILE"]  # what the search depends on: rows that share it find the same file
+    # a name is a prefix (folder, recorder, channel 0, day), six digits and a fixed end: the names in the listing become the times of each prefix, at
+    # most a million, so every sidecar row and every file is shuffled once
+    end, file = "_000.wav", F.col("file")
+    stem = F.char_length(file) - len(end) - 6
+    times = (files.where(file.endswith(end)).select(F.substring(file, F.lit(1), stem).alias("__prefix"), F.substring(file, stem + 1, F.lit(6)).alias("__s"))
+             .where(F.col("__s").rlike(r"^[0-9]{6}$")).groupBy("__prefix").agg(F.collect_set("__s").alias("__there")))
     at = F.try_to_timestamp(F.concat_ws("_", "__d", "__t"), F.lit("yyyyMMdd_HHmmss"))
-    tries = (base.where("kmeta_recorder IS NOT NULL").withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-             .withColumn("__s", F.date_format(F.timestamp_micros(F.unix_micros(at) + F.col("__k") * timefn.SECOND), "HHmmss")))
-    name = lambda ch: F.concat("kmeta_recorder", F.lit(f"_{ch}_"), "__d", F.lit("_"), "__s", F.lit("_000.wav"))
+    tried = [F.date_format(F.timestamp_micros(F.unix_micros(at) + k * timefn.SECOND), "HHmmss") for k in range(4)]
     folder = F.when(F.col("FOLDER") == "", F.col("meta_dir")).otherwise(F.concat_ws("/", "meta_dir", "FOLDER"))
-    found = (tries.withColumn("file", F.concat_ws("/", folder, name(0))).join(files.select("file"), "file", "left_semi")
-             .select(*row, "__k", name(0).alias("wavfile0"), name(1).alias("wavfile1")))
-    best = keep_first(found, row, [F.col("__k")]).drop("__k")
-    return (base.join(best, row, "left")
-            .select("meta_dir", F.col("IN FILE").alias("sourcefile"), F.col("DURATION").alias("kmeta_duration"), "kmeta_datetime",
+    prefix = F.when(F.col("kmeta_recorder").isNotNull(), F.concat_ws("/", folder, F.concat("kmeta_recorder", F.lit("_0_"), "__d", F.lit("_"))))
+    best = F.coalesce(*[F.when(F.array_contains("__there", s), s) for s in tried])
+    name = lambda ch: F.concat("kmeta_recorder", F.lit(f"_{ch}_"), "__d", F.lit("_"), "__best", F.lit(end))
+    met = base.withColumn("__prefix", prefix).join(times, "__prefix", "left").withColumn("__best", best).withColumn("wavfile0", name(0)).withColumn("wavfile1", name(1))
+    return (met.select("meta_dir", F.col("IN FILE").alias("sourcefile"), F.col("DURATION").alias("kmeta_duration"), "kmeta_datetime",
                     "kmeta_recorder", "kmeta_gps", F.col("LONGITUDE").alias("kmeta_longitude"), F.col("LATITUDE").alias("kmeta_latitude"),
                     F.coalesce("wavfile0", F.when(F.col("kmeta_recorder").isNotNull(), F.lit(""))).alias("wavfile0"),
                     F.coalesce("wavfile1", F.when(F.col("kmeta_recorder").isNotNull(), F.lit(""))).alias("wavfile1")))

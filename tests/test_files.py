@@ -297,3 +297,15 @@ def test_sun_times_near_published_values(spark):
 def test_strategy_must_be_known(spark):
     with pytest.raises(ValueError):
         detections.select_candidates(spark.range(1), strategy="loose")
+
+
+def test_sidecar_rows_and_files_are_shuffled_once(spark):
+    """The first second that has a file counts; other channels, other ends and other folders do not."""
+    raw = spark.createDataFrame([("/m", None, f"S4A20001_20240105${t}.w4v") for t in ("070000", "070008", "070058", "235959", "080000")], "meta_dir string, FOLDER string, `IN FILE` string")
+    raw = raw.selectExpr("*", "DATE'2024-01-05' AS DATE", "'07:00:01' AS TIME", "1.0D AS DURATION", "2.0D AS LONGITUDE", "3.0D AS LATITUDE")
+    names = [f"/m/S4A20001_{x}.wav" for x in ("0_20240105_070003_000", "0_20240105_070001_000", "1_20240105_070008_000", "0_20240105_070101_000", "0_20240105_000000_000", "0_20240105_080000_001")]
+    out = catalog.sidecar_rows(raw, spark.createDataFrame([(n,) for n in [*names, "/n/S4A20001_0_20240105_070009_000.wav"]], "file string"))
+    got = {r["sourcefile"][18:24]: r["wavfile0"][20:26] for r in out.collect()}
+    assert got == {"070000": "070001", "070008": "", "070058": "070101", "235959": "000000", "080000": ""}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1
