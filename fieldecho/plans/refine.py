@@ -23,9 +23,13 @@ FEW_RECORDERS = 20_000
 SETTLED_M, SETTLED_GAIN = 1e-5, 1e-8
 
 
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(FEW_RECORDERS + 1).count() <= FEW_RECORDERS
+
+
 def _per_recorder(df: DataFrame) -> DataFrame:
     """One row per recorder: sent to the tasks if its count is small, else merged with the calls by key."""
-    return F.broadcast(df) if df.limit(FEW_RECORDERS + 1).count() <= FEW_RECORDERS else df.hint("merge")
+    return F.broadcast(df) if _is_small(df) else df.hint("merge")
 
 
 def observations(results: DataFrame) -> DataFrame:
@@ -95,14 +99,15 @@ def residual_rows(obs: DataFrame, sources: DataFrame, positions: DataFrame) -> D
                                            F.col("s.t").alias("t"), F.col("c_est").alias("c")))
 
 
-def _systems(rows: DataFrame, places: DataFrame, axes: int, scale: float, loss: str, sigma: float | None) -> DataFrame:
+def _systems(rows: DataFrame, places: DataFrame, axes: int, scale: float, loss: str, sigma: float | None, few: bool) -> DataFrame:
     """Normal equations per recorder at its place ``q``: drop_rid, cost, g (axes), h (axes x axes, flat), n.
 
-    ``places``: drop_rid, q, x0. One row per recorder, joined by its measured size.
+    ``places``: drop_rid, q, x0. One row per recorder; ``few`` are sent to the tasks, so the rows stay where they are and only sums are shuffled.
     """
-    d = geo.distance(F.col("x_src"), F.col("q"))
-    df = rows.join(places.select("drop_rid", "q"), "drop_rid").withColumn("r", F.col("sign") * (d - F.col("d_other")) / F.col("c") - F.col("t"))
-    df = df.withColumn("__d", F.greatest(d, F.lit(1e-9)))
+    d = F.sqrt(sum((F.col("x_src")[k] - F.col("q")[k]) * (F.col("x_src")[k] - F.col("q")[k]) for k in range(3)))  # spelt out: compiled, as a function over arrays is not
+    at = places.select("drop_rid", "q")
+    df = rows.join(F.broadcast(at) if few else at.hint("merge"), "drop_rid").withColumn("__d", d)
+    df = df.withColumn("r", F.col("sign") * (F.col("__d") - F.col("d_other")) / F.col("c") - F.col("t")).withColumn("__d", F.greatest("__d", F.lit(1e-9)))
     robust = loss == "huber"
     for k in range(axes):
         df = df.withColumn(f"j{k}", F.col("sign") * (F.col("q")[k] - F.col("x_src")[k]) / F.col("__d") / F.col("c"))
@@ -156,8 +161,9 @@ def refine(rows: DataFrame, positions: DataFrame, loss: str = "huber", f_scale:
     enough = rows.groupBy("drop_rid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("drop_rid")
     x0 = F.array("x", "y", "z").cast("array<double>")
     start = enough.join(positions.withColumnRenamed("recorder", "drop_rid"), "drop_rid").select("drop_rid", x0.alias("x0"))
-    start = start.withColumn("q", F.col("x0"))
-    system = lambda at: _systems(rows, at, axes, f_scale, loss, prior_sigma_m)
+    start = cut_lineage(start.withColumn("q", F.col("x0")))
+    few = _is_small(start)  # checkpoints tell the planner no sizes: it would deal all rows anew by recorder in every step
+    system = lambda at: _systems(rows, at, axes, f_scale, loss, prior_sigma_m, few)
     state = cut_lineage(start.join(system(start), "drop_rid").withColumn("lam", F.lit(1e-3)).withColumn("converged", F.lit(False)))
     step = _step_udf(axes)
     for _ in range(steps):

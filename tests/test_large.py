@@ -31,6 +31,24 @@ def test_no_table_of_calls_is_broadcast(spark):
     assert [line for line in plan if "SortMergeJoin" in line and "call_id" in line]
 
 
+def test_refining_shuffles_sums_and_not_the_rows_of_a_recorder(spark, monkeypatch):
+    plans, cut = [], refine.cut_lineage
+    monkeypatch.setattr(refine, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    at = {r[0]: r[1:] for r in RECORDERS}
+    rows = [(rid, [7.0 + 3 * k, 11.0 + k * k % 23, 5.0 + k % 7], s, 0.0, s * np.linalg.norm(np.subtract((7.0 + 3 * k, 11.0 + k * k % 23, 5.0 + k % 7), at[rid])) / 343.0, 343.0)
+            for rid in at for k in range(20) for s in (1.0, -1.0)]
+    rows = spark.createDataFrame([(a, b, c, d, float(t), v) for a, b, c, d, t, v in rows], "drop_rid string, x_src array<double>, sign double, d_other double, t double, c double")
+    start = spark.createDataFrame([(k, x + 1, y - 1, z + 1) for k, x, y, z in RECORDERS], "recorder string, x double, y double, z double")
+    got = {r.recorder: r for r in refine.refine(rows, start, loss="linear", steps=60).collect()}
+    assert set(got) == set(at) and all(r.converged and r.n_residuals == 40 and np.allclose((r.x, r.y, r.z), at[k], atol=1e-3) for k, r in got.items())
+    steps = 0
+    for lines in (p.splitlines() for p in plans):
+        for k in [k for k, line in enumerate(lines) if "Scan ExistingRDD" in line and "x_src" in line and k]:
+            assert "Aggregate" in next(line for line in reversed(lines[:k]) if "Exchange" in line or "Aggregate" in line), "\n".join(lines)
+            steps += 1
+    assert steps > 2
+
+
 def test_buckets_follow_the_length_of_the_intervals(spark):
     iv = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000).alias("lo"), (F.col("id") * 10_000_000 + 12_000_000).alias("hi"), F.col("id").alias("iv"))
     pts = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000 + 1).alias("t"), "id")
