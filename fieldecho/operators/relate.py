@@ -9,6 +9,10 @@ from ..functions.text import ancestors, basename
 from .ranking import keep_first
 from .stats import majority
 
+#: Folders that are sent to the tasks instead of joined by key, and how many are counted to find them.
+CROWDED, TRACKED = 256, 16_384
+
+
 def attach_labels(det: DataFrame, labels: DataFrame) -> DataFrame:
     """Left join class index -> species, common name, site flag.
 
@@ -86,11 +90,20 @@ def group_by_majority(files: DataFrame, folders: DataFrame, group: str = "record
 
 
 def nearest_ancestor(dirs: DataFrame, marked: DataFrame, dir_col: str = "dir") -> DataFrame:
-    """For each folder the closest folder at or above it listed in ``marked`` (column ``at``)."""
-    up = dirs.select(dir_col).distinct().withColumn(
-        "at", F.explode(F.array_union(ancestors(F.col(dir_col)), F.array(F.col(dir_col)))))
-    hits = up.join(marked.select("at").distinct(), "at")
-    return keep_first(hits, [dir_col], [F.length("at").desc()])
+    """For each folder the closest folder at or above it listed in ``marked`` (column ``at``).
+
+    Folders near the root stand above a large share of all others. Whatever stands above the most is settled in the tasks that hold the folders
+    below it, only the rest is joined by key. Counts of those may be rough: each folder takes one of the two ways, and both are exact.
+    """
+    own, dirs, marks = F.col(dir_col), dirs.select(dir_col).distinct(), marked.select("at").distinct()
+    depth = F.length(own) - F.length(F.replace(own, F.lit("/"), F.lit(""))) + 1
+    begin = F.call_function("substring_index", own, F.lit("/"), F.col("__n"))
+    up = dirs.withColumn("__n", F.explode(F.sequence(F.lit(1), depth))).withColumn("at", begin)
+    most = up.where(F.col("__n") < depth).agg(F.call_function("approx_top_k", F.col("at"), F.lit(CROWDED), F.lit(TRACKED)).alias("t")).select(F.inline("t")).select(F.col("item").alias("at"))
+    crowded = most.join(marks.select(F.col("at").alias("__at")), F.col("at") == F.col("__at"), "left").select("at", F.col("__at").isNotNull().alias("__marked"))
+    met = up.join(F.broadcast(crowded), "at", "left")
+    hits = met.where("__marked").select(dir_col, "__n").unionByName(met.where("__marked IS NULL").join(marks, "at").select(dir_col, "__n"))
+    return hits.groupBy(dir_col).agg(F.max("__n").alias("__n")).select(dir_col, begin.alias("at"))
 
 
 def latest_row(df: DataFrame, by: list[str], time: str, order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import workload
 from fieldecho.functions.timefn import HOUR
+from fieldecho.operators import relate
 from fieldecho.operators.intervals import mean_length, stab_join
 from fieldecho.plans import analysis, localize, refine
 from fieldecho.signal import combos, solve, spectra
@@ -49,6 +50,20 @@ def test_refining_shuffles_sums_and_not_the_rows_of_a_recorder(spark, monkeypatc
     assert steps > 2
 
 
+def test_folders_above_all_others_are_not_joined_by_key(spark, monkeypatch):
+    paths = [f"/m/{k % 40}/sub{k}" for k in range(200)] + ["", "/", "abc", "abc/d", "/a/", "/a//b", "/m", "//m", None]
+    marks = ["/m", "/m/7", "/m/7/sub47", "/m/3", "", "abc", "/a/", "/nowhere", "/m/1/sub"]
+    dirs, marked = spark.createDataFrame([(p,) for p in paths], "dir string"), spark.createDataFrame([(m,) for m in marks + marks], "at string")
+    up = lambda p: ["/".join(p.split("/")[:n + 1]) for n in range(len(p.split("/")))]
+    want = {p: max((a for a in up(p) if a in marks), key=len) for p in paths if p is not None and set(up(p)) & set(marks)}
+    out = relate.nearest_ancestor(dirs, marked)
+    assert "BroadcastHashJoin [at" in "".join(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftOuter" in line)
+    assert {r.dir: r["at"] for r in out.collect()} == want and out.count() == len(want)
+    monkeypatch.setattr(relate, "CROWDED", 2)
+    assert {r.dir: r["at"] for r in relate.nearest_ancestor(dirs, marked).collect()} == want
+    assert relate.nearest_ancestor(dirs.limit(0), marked).count() == 0 == relate.nearest_ancestor(dirs, marked.limit(0)).count()
+
+
 def test_buckets_follow_the_length_of_the_intervals(spark):
     iv = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000).alias("lo"), (F.col("id") * 10_000_000 + 12_000_000).alias("hi"), F.col("id").alias("iv"))
     pts = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000 + 1).alias("t"), "id")
