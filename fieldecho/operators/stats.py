@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .running import with_neighbours
 
 _CLAMP = 1.7e308
@@ -53,8 +54,8 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
     percentile and key, never one bucket table with all counts. Null and NaN values are ignored; infinities sort last.
     """
     v = F.col(value).cast("double")
-    counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
-              .withColumn("__b", _value_bucket(F.col("__v"))))
+    counts = cut_lineage(df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
+                         .withColumn("__b", _value_bucket(F.col("__v"))))  # read twice: ``df`` may be a join
     coarse = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     coarse = coarse.withColumn("__total", F.sum("__m").over(Window.partitionBy(*by))).withColumn("__base", F.lit(0).cast("bigint"))
     # wanted zero-based ranks: floor(pos) and the next one
@@ -67,7 +68,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
     even = F.when((wide > 0) & (wide <= _CLAMP), wide)
     need = _wanted(coarse.withColumn("__want", F.array_distinct(F.array(*ranks))), by, "__b", ["__total", "__lo", even.alias("__wide")])
     met = counts.join(_named(need, by, "__b", "__before", "__want", "__total", "__lo", "__wide"), _same(by, "__b"))
-    met = met.select(*by, "__b", "__v", "__n", "__before", "__want", "__total", _fine(F.col("__v"), F.col("__lo"), F.col("__wide")).alias("__f"))
+    met = cut_lineage(met.select(*by, "__b", "__v", "__n", "__before", "__want", "__total", _fine(F.col("__v"), F.col("__lo"), F.col("__wide")).alias("__f")))
     keys = [*by, "__b"]
     cut = met.groupBy(*keys, "__f").agg(F.sum("__n").alias("__m"), F.first("__before").alias("__base"), F.first("__want").alias("__want"), F.first("__total").alias("__total"))
     last = _wanted(cut, keys, "__f", ["__total"])

@@ -12,6 +12,7 @@ import workload
 from fieldecho.functions.timefn import HOUR
 from fieldecho.operators import relate
 from fieldecho.operators.intervals import mean_length, stab_join
+from fieldecho.operators.stats import exact_percentiles
 from fieldecho.plans import analysis, localize, refine
 from fieldecho.signal import combos, solve, spectra
 
@@ -64,6 +65,24 @@ def test_folders_above_all_others_are_not_joined_by_key(spark, monkeypatch):
     assert relate.nearest_ancestor(dirs.limit(0), marked).count() == 0 == relate.nearest_ancestor(dirs, marked.limit(0)).count()
 
 
+def test_percentiles_read_what_they_rank_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    a = spark.range(900).select((F.col("id") % 30).alias("k"), (F.col("id") * 7 % 100).cast("double").alias("v"))
+    a = a.repartition(3, "k").mapInPandas(counted, "k long, v double")
+    got = {r.k: r for r in exact_percentiles(a.join(a.select("k").distinct().hint("merge"), "k"), ["k"], "v", {"m": 0.5, "q": 0.9}).collect()}
+    n = read.value
+    for k, r in got.items():
+        v = [i * 7 % 100 for i in range(900) if i % 30 == k]
+        assert r.n == 30 and np.allclose((r.m, r.q), np.percentile(v, (50, 90)))
+    assert len(got) == 30 and n <= 2 * 900  # once for each side of the join
+
+
 def test_buckets_follow_the_length_of_the_intervals(spark):
     iv = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000).alias("lo"), (F.col("id") * 10_000_000 + 12_000_000).alias("hi"), F.col("id").alias("iv"))
     pts = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000 + 1).alias("t"), "id")
