@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import DAY, HOUR, SECOND
+from ..session import cut_lineage
 from .running import Run, running, with_neighbours
 
 
@@ -146,11 +147,11 @@ def resolve_intervals(df: DataFrame, by: list[str], picks: list[Column], lo: str
              .unionByName(iv.where("__hi IS NOT NULL").select(*by, F.col("__hi").alias("at"))))
     if cover_all:
         edges = edges.unionByName(iv.select(*by, low.alias("at")))
-    segs = with_neighbours(edges.distinct(), by, "at", width, next="seg_hi")
+    edges = cut_lineage(edges.distinct())  # read three times
+    segs = with_neighbours(edges, by, "at", width, next="seg_hi")
     inner = iv.select(*by, "__lo", "__hi", *[c for c in df.columns if c not in (*by, lo, hi)])
     ends = df.agg(F.struct(F.min(F.least(lo, hi)).alias("a"), F.max(F.greatest(lo, hi)).alias("z")).alias("s")).scalar()
-    covered = stab_join(segs.where(F.col("at") != low).select(*by, "at"), inner, by, "at",
-                        "__lo", "__hi", width, "inner", span=(ends["a"], ends["z"]))
+    covered = stab_join(edges.where(F.col("at") != low), inner, by, "at", "__lo", "__hi", width, "inner", span=(ends["a"], ends["z"]))
     # intervals open below also cover the segment that starts at minus infinity
     since_ever = inner.where("__lo IS NULL").withColumn("at", low)
     agg = (covered.unionByName(since_ever).groupBy(*by, "at")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import workload
 from fieldecho.functions.timefn import HOUR
 from fieldecho.operators import relate
-from fieldecho.operators.intervals import mean_length, stab_join
+from fieldecho.operators.intervals import mean_length, resolve_intervals, stab_join
 from fieldecho.operators.stats import exact_percentiles
 from fieldecho.plans import analysis, localize, refine
 from fieldecho.signal import combos, solve, spectra
@@ -83,6 +83,26 @@ def test_percentiles_read_what_they_rank_once(spark):
     assert len(got) == 30 and n <= 2 * 900  # once for each side of the join
 
 
+def test_bounds_of_overlapping_intervals_are_gathered_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    iv = spark.range(60).select((F.col("id") % 6).alias("k"), (F.col("id") * 7 % 50).alias("lo"), F.when(F.col("id") % 5 != 0, F.col("id") * 7 % 50 + 9).alias("hi"), F.col("id").alias("ord"))
+    segs = resolve_intervals(iv.mapInPandas(counted, "k long, lo long, hi long, ord long"), ["k"], [F.max("ord").alias("ord")], width=20, cover_all=True).collect()
+    n = read.value
+    at = lambda k, t: [s for s in segs if s.k == k and (s.lo is None or s.lo <= t) and (s.hi is None or t < s.hi)]
+    for k in range(6):
+        for t in range(-3, 70):
+            held = [i for i in range(k, 60, 6) if i * 7 % 50 <= t and (i % 5 == 0 or t < i * 7 % 50 + 9)]
+            (s,) = at(k, t)
+            assert (s.ord, s.matched) == (max(held, default=None), bool(held))
+    assert n <= 60 * 6  # three kinds of bounds, the intervals twice, their ends
+
+
 def test_buckets_follow_the_length_of_the_intervals(spark):
     iv = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000).alias("lo"), (F.col("id") * 10_000_000 + 12_000_000).alias("hi"), F.col("id").alias("iv"))
     pts = spark.range(2000).select(F.lit("a").alias("g"), (F.col("id") * 10_000_000 + 1).alias("t"), "id")
