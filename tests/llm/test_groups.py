@@ -228,6 +228,21 @@ def test_group_reader_carries_over():
     assert flat == [[0, 1, 2], [3], [4, 5, 6, 7, 8, 9], [10, 11]]
 
 
+def test_group_reader_gathers_batches():
+    import pyarrow as pa
+    rng = random.Random(8)
+    keys = [k for k in range(900) for _ in range(rng.choice((2, 2, 3, 40)))]
+    n = len(keys)
+    whole = pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "lo": pa.array([0] * n, pa.int64()), "hi": pa.array([0] * n, pa.int64()), "id": pa.array(range(n), pa.int64())})
+    few = [whole.slice(i, 100) for i in range(0, n, 100)]
+    for rows, size, most in ((3000, 1 << 30, n // 2900 + 2), (1 << 30, 32 * 3000, n // 2900 + 2), (1 << 30, 1 << 30, 1)):
+        got = list(blocks.groups(iter(few), rows, size))
+        assert len(got) <= most and [i for t, _ in got for i in t["id"].to_pylist()] == list(range(n))
+        for t, edges in got:
+            parts = [t["key"].to_pylist()[a:b] for a, b in zip(edges[:-1], edges[1:])]
+            assert all(len(set(p)) == 1 and len(p) == keys.count(p[0]) for p in parts) and edges[-1] == t.num_rows
+
+
 def test_majority_of_bits():
     from fieldecho.llm.bits import majority, spread
     rng = np.random.default_rng(0)
