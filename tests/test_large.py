@@ -276,3 +276,46 @@ def test_directions_are_even_and_drawn_once(spark):
     # even over the sphere: no mean direction, the same second moments on every axis
     assert np.abs(unit.mean(0)).max() < 0.02 and np.abs(unit.T @ unit / len(unit) - np.eye(3) / 3).max() < 0.02
     assert len(np.unique(unit.round(9), axis=0)) == len(unit)
+
+
+def test_all_peaks_enter_and_equal_closures_go_to_the_taller_ones(spark, monkeypatch):
+    """Calls that repeat themselves close around every triangle in several ways; rounded delays must not choose among them."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for event in range(24):
+        src, call = np.array([10.0 + event, 5.0 + event, 5.0 + event % 17]), rng.normal(size=200)
+        call[40:] += 0.7 * call[:-40]
+        for name, *at in RECORDERS:
+            late = round(np.linalg.norm(np.array(at) - src) / 343 * 2000)
+            rows.append((str(event), name, *at, [float(v) for v in np.r_[np.zeros(100 + late), call, np.zeros(700 - late)]]))
+    clips = spark.createDataFrame(rows, "event_id string, recorder string, x double, y double, z double, samples array<double>")
+    events = clips.select("event_id", F.lit(343.0).alias("speed")).distinct()
+    cfg = localize.LocalizeConfig(rate=2000, use_profile=False, qualcut=1.0, peak_min_distance=5, fit_speed=False)
+    got = localize.localize(clips, events, cfg).select("total_peak_combos", "best_score", "peak_indexes").collect()
+    assert len(got) == 24 and all(r["total_peak_combos"] > 1 for r in got)
+    assert all(r["best_score"] == 0 and set(r["peak_indexes"]) == {0} for r in got)
+
+
+def test_localize_events_drops_no_peak(spark, tmp_path, monkeypatch):
+    call = [float(v) for v in np.tile(np.random.default_rng(1).normal(size=32), 2)]
+    spark.createDataFrame([(k, call) for k in range(3)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    held, whole = [], localize.localize
+    monkeypatch.setattr(localize, "localize", lambda *a, **kw: held.append(whole(*a, **kw)) or held[-1])
+    rows = workload.QUERIES["localize_events"](spark, str(tmp_path)).collect()
+    assert {(r["off_by"], r["error_ms"]) for r in rows} == {(0, 0)} and len(rows) == 3
+    assert all(max(r["combo_sizes"]) > 1 for r in held[0].select("combo_sizes").collect())
+
+
+@pytest.mark.parametrize("options", [{}, {"n_best": 3, "include_disjoint": True}, {"prefer_zeros": True}, {"max_outlier_pairs": 1}])
+def test_closures_counted_in_samples_are_the_same_one_by_one(options):
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    lags = np.random.default_rng(5).integers(-4, 5, size=(40, 18)) / 2000
+    many = combos.choose_many(lags, (3,) * 6, pairs, **options, rate=2000)
+    for row, got in zip(lags, many):
+        peaks = list(row.reshape(6, 3))
+        assert got == combos.choose(peaks, pairs, **options, rate=2000)
+        ids = np.indices((3,) * 6).reshape(6, -1).T
+        score = [max(abs(round(2000 * row[3 * p + c[p]]) + round(2000 * row[3 * q + c[q]]) - round(2000 * row[3 * r + c[r]])) for p, q, r in combos.triangle_rows(pairs)) for c in ids]
+        if not options:
+            k = int(np.argmin(score))
+            assert got[0][1:] == (score[k] / 2000, tuple(ids[k]))
