@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from conftest import prose
 
-from fieldecho.llm import blocks, lines, near, simhash
+from fieldecho.llm import blocks, edits, lines, near, simhash
 from fieldecho.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -340,3 +340,39 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffled() - before and got.count() == 5000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == conf
+
+
+def _edited(rng: random.Random, a: str, letters: str, share: float) -> str:
+    b = list(a)
+    for _ in range(int(len(a) * share) + rng.randint(0, 1)):
+        k = rng.randrange(len(b) + 1)
+        b[k:k + rng.randint(0, 1)] = [rng.choice(letters) for _ in range(rng.randint(0, 1))]
+    if rng.random() < 0.2:  # a stretch that only one of them has
+        k = rng.randrange(len(b) + 1)
+        b[k:k] = [rng.choice(letters) for _ in range(rng.randint(1, 50))]
+    return "".join(b)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdef ", "abcdefghijklmnopqrstuvwxyzäöü 漢字"])
+def test_edits_in_a_window_are_the_edits_of_the_whole_column(letters):
+    rng = random.Random(letters)
+    held, most = [], []
+    for _ in range(120):
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 500)))
+        held += [a, _edited(rng, a, letters, rng.choice([0, 0.05, 0.2, 0.4]))]
+        most.append(max(0, lines.edit_distance(*held[-2:]) + rng.choice([-30, -3, -1, 0, 0, 1, 5, 40])))
+    at = np.arange(0, len(held), 2)
+    got = edits.Lines(held).within(at, at + 1, np.array(most))
+    assert got.tolist() == [lines.edit_distance(a, b) <= k for a, b, k in zip(held[::2], held[1::2], most)]
+
+
+def test_edits_of_long_lines_are_counted_together(monkeypatch):
+    rng = random.Random(4)
+    held, letters = [], "abcdefghijklmnop "
+    for k in range(80):
+        a = "".join(rng.choice(letters) for _ in range(1500))
+        held += [a, _edited(rng, a, letters, 0.1) if k % 2 else "".join(rng.choice(letters) for _ in range(1500))]
+    want = [lines.similar(a, b, 0.8) for a, b in zip(held[::2], held[1::2])]
+    monkeypatch.setattr(lines, "edits_within", lambda *_: pytest.fail("counted one by one"))
+    at = np.arange(0, len(held), 2)
+    assert lines.checker(held, 0.8)(at, at + 1).tolist() == want == [k % 2 > 0 for k in range(80)]
